@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, shared
+from . import bpe, langid, secrets, shared
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, in it and under its encodings."""
+    found = secrets.scan_documents(spark, shared.table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["via"] == "")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.withColumn("base", base).select("doc_id", *map(count, secrets.KINDS), F.sha2(secrets.told("base"), 256).alias("base_sha256"), secrets.told("spans").alias("spans"), "unopened")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +30,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (shared.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op7_byte_bpe, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_byte_bpe, op8_language_id)}
 ORACLES: dict[str, str] = {}
