@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, secrets, shared
+from . import bpe, langid, quality, secrets, shared
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base", base).select("doc_id", *map(count, secrets.KINDS), F.sha2(secrets.told("base"), 256).alias("base_sha256"), secrets.told("spans").alias("spans"), "unopened")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole text, learned from the labels outside the held-out fold."""
+    docs, labels = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels")
+    vectors, net = quality.train(spark, docs, labels, usable=shared.fold("doc_id", 3) != 1)
+    found = quality.score(spark, docs, vectors, net)
+    return found.select("doc_id", (shared.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every whole text."""
     return bpe.digest_documents(spark, shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -30,5 +38,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (shared.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_byte_bpe, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op7_byte_bpe, op8_language_id)}
 ORACLES: dict[str, str] = {}
