@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, quality, secrets, shared, toxicity
+from . import bpe, embdup, langid, neardup, quality, secrets, shared, toxicity
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +46,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (shared.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and keepers among all vectors of equal labels."""
+    return embdup.near_duplicates(spark, shared.table(spark, sf_dir, "embeddings"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near copies over all documents: one row for each, with its class and its component's least id."""
     return neardup.near_duplicates(spark, shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op4_toxicity, op7_byte_bpe, op8_language_id, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op4_toxicity, op7_byte_bpe, op8_language_id, op9_embedding_duplicates, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
