@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdup, langid, neardup, quality, secrets, shared, toxicity
+from . import bpe, embdup, langid, mixing, neardup, quality, secrets, shared, toxicity
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (shared.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "posterior")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
+    return mixing.taken(spark, mixing.mix(spark, shared.table(spark, sf_dir, "documents")))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every whole text."""
     return bpe.digest_documents(spark, shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -56,5 +61,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op4_toxicity, op7_byte_bpe, op8_language_id, op9_embedding_duplicates, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op4_toxicity, op5_mixing, op7_byte_bpe, op8_language_id, op9_embedding_duplicates, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
