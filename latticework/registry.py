@@ -1,12 +1,5 @@
 """All queries of the engine over the driver's tables, with the SQL that each must equal."""
 
-from __future__ import annotations
+from latticework.plans.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
