@@ -281,7 +281,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray
     every = np.concatenate([patterns, known]) if known is not None and len(known) else patterns
     parent = np.full(VOTERS, -1)
     for step in range(rounds):
-        if step == rounds // 2:
+        if step in (2, rounds // 2):  # early, before echoes have drawn the hidden label to themselves; then once more
             parent = _tree(v, n, expected)
         model = _maximised(v, n, expected, parent)
         expected = np.where(free, model.posterior(every), expected)
