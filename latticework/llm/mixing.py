@@ -210,7 +210,8 @@ def pieces(m: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(first / block_words), F.floor((last - 1) / block_words)))
     parts = m.docs.select("*", F.explode_outer(blocks).alias("block"))
     taken = m.slots.groupBy("source_at", "block").agg(F.count_if(F.col("words") >= block_words).alias("full"), F.max(F.when(F.col("words") < block_words, F.col("words"))).alias("part"))
-    parts = parts.join(taken, ["source_at", "block"], "left")
+    # Slots look few to the planner, which sees only the shards; they grow with the words, so they are never broadcast.
+    parts = parts.join(taken.hint("merge"), ["source_at", "block"], "left")
     at = F.col("block") * block_words
     lo, hi = F.greatest(first, at), F.least(last, at + block_words)
     middle = F.least(F.greatest(at + F.coalesce("part", F.lit(0)), lo), hi)
