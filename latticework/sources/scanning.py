@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,17 @@ LONGEST_FILE = 300_000
 SKIPPED = [".git", ".gradle", ".idea", ".mvn", ".next", ".nuxt", ".pytest_cache", ".tox", ".venv", "__pycache__", "bin", "build", "coverage", "dist", "node_modules", "obj", "out", "target", "vendor", "venv"]
 
 
-def files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """(path, text): files under a root, relative to it, by extension; skipped folders and files of more than 300 000 bytes stay out."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= LONGEST_FILE)
-    path = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
+def files(spark: SparkSession, root: str, extensions: list[str] | None = None, hidden: tuple[str, ...] = (".github",)) -> DataFrame:
+    """(path, text): files under a root, relative to it, by extension; skipped folders and files of more than 300 000 bytes stay out.
+
+    Spark leaves out names that start with a dot; the folders in `hidden` are read if they are there.
+    """
+    root = root.rstrip("/")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{root}/{h}") for h in hidden]
+    there = [root, *(p.toString() for p in paths if p.getFileSystem(conf).exists(p))]
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there).filter(F.col("length") <= LONGEST_FILE)
+    path = F.regexp_replace("path", "^.*?" + re.escape(root.split("://")[-1]) + "/", "")
     skipped = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED)))
     df = df.select(path.alias("path"), F.decode("content", "utf-8").alias("text"), skipped.alias("skipped")).filter("NOT skipped").drop("skipped")
     return df.filter(F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1))).isin(extensions)) if extensions else df
