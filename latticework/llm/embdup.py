@@ -128,7 +128,7 @@ def near_duplicates(spark: SparkSession, table: DataFrame, key: str = "vec_id",
     good = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v")).groupBy("id").agg(F.min(F.struct("v", "label")).alias("r")).select("id", "r.v", "r.label")
     # Equal vectors of one label are one row with a count.
     heads = shared.cut(good.groupBy("label", "v").agg(F.min("id").alias("head"), F.count("*").alias("n")))
-    copies = shared.cut(good.join(heads, ["label", "v"]).select("id", "head", "n"))
+    copies = shared.cut(good.join(heads.hint("merge"), ["label", "v"]).select("id", "head", "n"))
     n = heads.count()
     taken = shared.bounded(heads, "head", n, PIVOTS * 2).select("head", "v").orderBy(F.xxhash64("head"), "head").limit(PIVOTS * 4).collect()
     by_width: dict[int, list] = {}
@@ -173,7 +173,7 @@ def near_duplicates(spark: SparkSession, table: DataFrame, key: str = "vec_id",
     dot = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     gap = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot))) - F.col("ra") - F.col("rb")
     pairs = a.join(b, ["label", "width"]).filter((F.col("tile_a") <= F.col("tile_b")) & ((F.col("tile_a") == F.col("tile_b")) | (gap <= float(np.arccos(threshold)) + 1e-6))).select("label", "width", "tile_a", "tile_b")
-    load = lambda side: tiles.select("label", "width", F.col("tile").alias(f"tile_{side}"), F.col("data").alias(f"data_{side}"), F.col("ids").alias(f"ids_{side}"), F.col("ns").alias(f"ns_{side}"))
+    load = lambda side: tiles.select("label", "width", F.col("tile").alias(f"tile_{side}"), F.col("data").alias(f"data_{side}"), F.col("ids").alias(f"ids_{side}"), F.col("ns").alias(f"ns_{side}")).hint("merge")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = pairs.repartition(parts, F.xxhash64("label", "tile_a", "tile_b")).join(load("a"), ["label", "width", "tile_a"]).join(load("b"), ["label", "width", "tile_b"])
     work = work.select((F.col("tile_a") == F.col("tile_b")).alias("same"), "data_a", "data_b", "ids_a", "ids_b", "ns_a", "ns_b", "width")
@@ -184,7 +184,7 @@ def near_duplicates(spark: SparkSession, table: DataFrame, key: str = "vec_id",
         shared.small_batches(spark)
     linked = done.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("linked"))
     parts = components.connected_components(done.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    of_head = copies.join(linked.withColumnRenamed("id", "head"), "head", "left").join(parts.withColumnRenamed("id", "head"), "head", "left")
+    of_head = copies.join(linked.withColumnRenamed("id", "head").hint("merge"), "head", "left").join(parts.withColumnRenamed("id", "head").hint("merge"), "head", "left")
     of_head = of_head.select("id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "head").alias("component_id"))
-    out = every.join(of_head, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = every.join(of_head.hint("merge"), "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
