@@ -30,7 +30,7 @@ def candidates(documents: DataFrame, task: DataFrame, edges: DataFrame, hops: in
 
     documents: (service, content_text); task: (query_id, query); edges: (source, target) by service name.
     """
-    docs = documents.withColumn("doc", F.monotonically_increasing_id())
+    docs = documents.select("service", "content_text").distinct().withColumn("doc", F.xxhash64("service", "content_text"))
     hits = retrieval.bm25(docs, task, "doc", "content_text", limit=20)
     seeds = hits.join(docs.select("doc", "service"), "doc").groupBy("service").agg(F.max("score").alias("score"))
     around = retrieval.keyword_graph(seeds.select(F.col("service").alias("node")), edges, hops, limit).withColumnRenamed("node", "service")
