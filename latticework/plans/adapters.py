@@ -75,3 +75,25 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(service, kind, count): events by user and type as run-time counters."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("service"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("count"), "ts")
+
+
+def line_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Fact tables from order lines: suppliers are services, a part is a source symbol, the return flag tells what a line states.
+
+    N: an HTTP call (POST if the line is open), A: a write, and a publication if of more than 30 pieces, R: a policy, a retry if of more than 25.
+    """
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    evidence = F.struct(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line")).alias("evidence")
+    at = [F.col("l_suppkey").alias("service_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("source")]
+    s = table(spark, sf_dir, "supplier")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    edge = [at[0], F.col("l_orderkey").alias("id"), at[1].alias("from_symbol"), F.lit("static").alias("origin"), evidence]
+    written = l.filter("l_returnflag = 'A'")
+    return {
+        "services": s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("repository_id"), F.col("s_name").alias("name")),
+        "repositories": table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")),
+        "persistence_entities": l.join(p, "l_partkey").select(F.col("l_suppkey").alias("service_id"), F.col("p_name").alias("name"), F.when(F.col("p_type") == "SMALL", "unknown").otherwise(F.col("p_type")).alias("engine")).distinct(),
+        "static_service_calls": l.filter("l_returnflag = 'N'").select(*at, F.lit("store").alias("target_service"), F.lit("http").alias("protocol"), F.when(F.col("l_linestatus") == "O", "POST").otherwise("GET").alias("target_method"), F.lit("/").alias("target_path"), evidence),
+        "static_resilience_policies": l.filter("l_returnflag = 'R'").select(*at, F.when(F.col("l_quantity") > 25, "retry").otherwise("timeout").alias("kind"), evidence),
+        "flow_edges": written.select(*edge, F.lit("table").alias("to_symbol"), F.lit("writes").alias("kind")).unionByName(written.filter("l_quantity > 30").select(*edge, F.lit("channel").alias("to_symbol"), F.lit("publishes").alias("kind"))),
+    }

@@ -334,6 +334,45 @@ def runtime_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.merged(adapters.observations(spark, sf_dir).filter("count > 0"), ["service", "kind"])
 
 
+# --- detectors ------------------------------------------------------------------------------------------------------
+
+
+def _found(spark: SparkSession, sf_dir: str, detector: str) -> DataFrame:
+    from latticework.plans import detectors
+
+    out = detectors.DETECTORS[detector](detectors.Facts(spark, adapters.line_facts(spark, sf_dir)))
+    return out.select("kind", F.array_join("services", ",").alias("services"), "subject", F.size("evidence").alias("evidence"))
+
+
+@query("""WITH e AS (SELECT DISTINCT s_name, lower(p_name) AS entity, p_type AS engine FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_type <> 'SMALL')
+    SELECT 'shared_database' AS kind, string_agg(s_name, ',' ORDER BY s_name) AS services, entity || ' ' || engine AS subject, 0 AS evidence FROM e GROUP BY entity, engine HAVING count(*) > 1""")
+def detected_shared_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "shared_database")
+
+
+@query("""SELECT 'possible_missing_http_resilience_policy' AS kind, s_name AS services, 'P' || l_partkey || ' ' || CASE WHEN l_linestatus = 'O' THEN 'POST' ELSE 'GET' END || ' store/' AS subject, 1 AS evidence FROM lineitem c JOIN supplier ON l_suppkey = s_suppkey
+    WHERE l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM lineitem p WHERE p.l_returnflag = 'R' AND p.l_suppkey = c.l_suppkey AND p.l_partkey = c.l_partkey)""")
+def detected_calls_without_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "calls_without_policy")
+
+
+@query("""WITH p AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25 GROUP BY 1, 2) SELECT 'possible_retry_on_non_idempotent_http_call' AS kind, s_name AS services, 'P' || c.l_partkey || ' POST store/' AS subject, 1 + least(n, 3) AS evidence
+    FROM lineitem c JOIN p ON c.l_suppkey = p.l_suppkey AND c.l_partkey = p.l_partkey JOIN supplier ON c.l_suppkey = s_suppkey WHERE l_returnflag = 'N' AND l_linestatus = 'O'""")
+def detected_retries_on_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "retries_on_non_idempotent_calls")
+
+
+@query("""WITH g AS (SELECT l_suppkey, l_partkey, count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 25) AS r, count(*) FILTER (WHERE l_returnflag = 'A') AS w, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 30) AS p FROM lineitem GROUP BY 1, 2)
+    SELECT 'possible_retry_on_write_publish_flow' AS kind, s_name AS services, 'P' || l_partkey AS subject, least(r, 3) + least(w, 3) + least(p, 3) AS evidence FROM g JOIN supplier ON l_suppkey = s_suppkey WHERE r > 0 AND p > 0""")
+def detected_retry_write_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "retry_write_publish")
+
+
+@query("""WITH g AS (SELECT l_suppkey, l_partkey, count(*) AS w, count(*) FILTER (WHERE l_quantity > 30) AS p FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) SELECT 'possible_non_atomic_service_publish' AS kind, s_name AS services, 'P' || l_partkey AS subject, least(w, 3) + least(p, 3) AS evidence FROM g JOIN supplier ON l_suppkey = s_suppkey WHERE p > 0""")
+def detected_non_atomic_publishing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "non_atomic_service_publish")
+
+
 # --- text and vectors -----------------------------------------------------------------------------------------------
 
 
