@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; a batch of long documents must fit in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +32,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """The same rows, read from a table written to the shared folder: the lineage ends there, and lost executors cost nothing.
+
+    Not checkpoint(): its plans carry estimates of sizes, which joins multiply round after round until the driver's heap is full
+    of their digits; a written table has the size of its files.
+    """
+    folder = new_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._cut_folder = folder
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete the files of cut tables that nothing reads any more."""
+    for df in tables:
+        folder = getattr(df, "_cut_folder", None)
+        if folder:
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

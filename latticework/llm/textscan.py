@@ -10,8 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-#: Code points of one chunk; work arrays take some 60 bytes for each.
-CHUNK = 1 << 19
+#: Code points of one chunk; work arrays take some 60 bytes for each, and should fit in a cache.
+CHUNK = 1 << 17
 _LAST = 0x323B0  # beyond it lie only tags, variation selectors and private use
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
