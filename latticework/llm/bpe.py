@@ -25,6 +25,8 @@ from . import shared, textscan
 
 #: Slices kept with their ids by each worker; beyond it new ones are merged again when they return.
 CACHE = 300_000
+#: Code points of one chunk, within which equal slices are looked up once.
+CHUNK = 1 << 18
 #: Slices of more bytes are merged one at a time, with a heap.
 LONG = 192
 NONE = np.int32(2**31 - 1)
@@ -259,7 +261,7 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) for each piece of a text, in order; texts without ids give nothing."""
-        for chunk in textscan.chunks(texts):
+        for chunk in textscan.chunks(texts, CHUNK):
             ids, counts = self.encode_chunk(chunk)
             ends = np.cumsum(counts)
             for row, a, b in zip(chunk.rows.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
@@ -317,21 +319,29 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, path: str, key: st
     return encoded.select(encoded[key].alias("key"), encoded[ids].alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def digest_documents(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids, and keeps only digests of both."""
+def digest_documents(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids: encodes, decodes the ids, and digests both."""
     sent = spark.sparkContext.broadcast(read_ranks(path))
     shared.small_batches(spark)
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(sent)
         for batch in batches:
             n = [0] * batch.num_rows
             sums = [(hashlib.sha256(), hashlib.sha256()) for _ in n]
+            parts: list[list[np.ndarray]] = [[] for _ in n]
             for row, ids in vocab.encode_batch(batch.column(1).to_pylist()):
                 n[row] += len(ids)
                 sums[row][0].update(ids.astype("<u4").tobytes())
                 sums[row][1].update(vocab.decode(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([a.hexdigest() for a, _ in sums]), pa.array([b.hexdigest() for _, b in sums])], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    parts[row].append(ids.astype(np.int32))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([a.hexdigest() for a, _ in sums], pa.string()), pa.array([b.hexdigest() for _, b in sums], pa.string())]
+            if with_ids:
+                columns.append(pa.array([np.concatenate(p) if p else np.empty(0, np.int32) for p in parts], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)

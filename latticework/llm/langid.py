@@ -166,3 +166,18 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_
 
     schema = ", ".join([f"key {docs.schema[key].dataType.simpleString()}", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
     return docs.select(*kept).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def identified(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose language is told with at least this score, unchanged; those that are `und` go."""
+    sent = spark.sparkContext.broadcast(model)
+    shared.small_batches(spark)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            found = [scorer.score(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

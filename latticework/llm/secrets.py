@@ -313,16 +313,20 @@ def scan_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", te
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, spans {SPANS}, unopened long").withColumnRenamed("key", key)
 
 
-def redact_documents(spark: SparkSession, docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """The same rows and columns with every secret in `text` replaced by the mark; null stays null."""
+def redact_documents(spark: SparkSession, docs: DataFrame, text: str = "text", length: str | None = "n_chars", mark: str = "[REDACTED]") -> DataFrame:
+    """The same rows and columns with every secret in `text` replaced by the mark; null stays null. The length column, if there is one, follows changed texts."""
     shared.small_batches(spark)
-    at = docs.columns.index(text)
+    at, n = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t and redact(t, scan(t)[0], mark) for t in batch.column(at).to_pylist()]
+            old = batch.column(at).to_pylist()
+            new = [t and redact(t, scan(t)[0], mark) for t in old]
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
+            columns[at] = pa.array(new, pa.string())
+            if n is not None:
+                lengths = [x if a == b else len(b) for x, a, b in zip(columns[n].to_pylist(), old, new, strict=True)]
+                columns[n] = pa.array(lengths, batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
