@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.sources.folders import workers_find_us
+
 SCHEMA = "kind string, path string, start_line int, end_line int, fields map<string,string>"
 Fact = tuple[str, int, int, dict[str, str]]
 
@@ -462,6 +464,7 @@ def extract(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
             kind, paths, start, end, fields = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(paths, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(fields, pa.map_(pa.string(), pa.string()))], ["kind", "path", "start_line", "end_line", "fields"])
 
+    workers_find_us(files.sparkSession)
     return files.filter(f"{path} IS NOT NULL").select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
