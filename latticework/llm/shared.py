@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.sources.folders import checkpoint_folder, workers_find_us
+
 #: Rows and bytes of one Arrow batch; a batch of long documents must fit in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
@@ -17,18 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for workers of a few hundred MB."""
+    """Keep Arrow batches small enough for workers of a few hundred MB, and let the workers find this package."""
+    workers_find_us(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/latticework-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return checkpoint_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
