@@ -5,8 +5,8 @@ import __spark_entry__
 
 def test_names_agree():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    has_llm = importlib.util.find_spec("latticework.llm") is not None
-    assert ("op1_secret_scan" in __spark_entry__.queries()) == has_llm
+    spec = importlib.util.find_spec("latticework.llm")
+    assert ("op1_secret_scan" in __spark_entry__.queries()) == bool(spec and spec.origin)
 
 
 def test_entry(spark):
