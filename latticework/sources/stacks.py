@@ -1,0 +1,61 @@
+"""Which folders are services, and of which stack: rules on marker files, the first stack that fits wins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from latticework.operators.relational import keyword_kind
+from latticework.sources import scanning
+
+# Stacks in the order in which they are tried.
+STACKS = ["node", "python", "jvm", "go"]
+# Parts of vendor names and the kind of resource each tells, the first that fits.
+VENDOR_KINDS = [("sqs", "queue"), ("rabbit", "queue"), ("kafka", "queue"), ("pubsub", "queue"), ("s3", "storage"), ("storage", "storage"), ("bucket", "storage"), ("lambda", "compute"), ("stripe", "saas"), ("twilio", "saas"), ("sendgrid", "saas"), ("auth0", "saas"), ("paypal", "saas"), ("dynamo", "db_managed"), ("firestore", "db_managed"), ("rds", "db_managed")]
+SERVICE_SUFFIXES = ["-service", "-svc", "-api", "-worker"]
+
+
+def markers(files: DataFrame) -> DataFrame:
+    """(path, stack, priority): files that make their folder a service; of main packages below cmd/, the folder above counts."""
+    name = F.substring_index("path", "/", -1)
+    has = lambda *words: F.lower("text").rlike("|".join(words))
+    node = (name == "package.json") & F.get_json_object("text", "$.scripts.start").isNotNull() & has('"express"', '"fastify"', '"@nestjs/')
+    python = name.isin("requirements.txt", "pyproject.toml") & has("fastapi", "flask", "django")
+    jvm = name.isin("pom.xml", "build.gradle", "build.gradle.kts") & has("spring-boot")
+    go = name == "go.mod"
+    chain = F.when(node, STACKS[0]).when(python, STACKS[1]).when(jvm, STACKS[2]).when(go, STACKS[3])
+    found = files.withColumn("stack", chain).filter("stack IS NOT NULL")
+    # A Go module is a service only with a main package at its root or below cmd/.
+    main = files.filter(F.col("path").rlike(r"(^|/)(cmd/[^/]+/)?main\.go$")).select(F.regexp_replace("path", r"(cmd/[^/]+/)?main\.go$", "").alias("_root")).distinct()
+    found = found.withColumn("_root", F.regexp_replace("path", r"[^/]*$", "")).join(main.withColumn("_main", F.lit(True)), "_root", "left").filter("stack <> 'go' OR _main")
+    priority = F.array_position(F.array(*map(F.lit, STACKS)), F.col("stack"))
+    return found.select("path", "stack", priority.alias("priority"))
+
+
+def discovered(files: DataFrame) -> DataFrame:
+    """(root, stack, name) of every service in a tree."""
+    return scanning.services(markers(files))
+
+
+def resource_type(names: DataFrame, name: str = "name") -> DataFrame:
+    """(name, kind): what a vendor's name tells about the resource; `other` if nothing."""
+    rules = names.sparkSession.createDataFrame([(k, v, i) for i, (k, v) in enumerate(VENDOR_KINDS)], "keyword string, kind string, priority int")
+    return keyword_kind(names, rules, name).withColumn("kind", F.coalesce("kind", F.lit("other")))
+
+
+def target_kind(name: Column, known: Column) -> Column:
+    """internal for known services and names that look like one, external for vendors, else unknown."""
+    vendor, suffix = F.lit(False), F.lit(False)
+    for k, _ in VENDOR_KINDS:
+        vendor = vendor | F.lower(name).contains(k)
+    for s in SERVICE_SUFFIXES:
+        suffix = suffix | F.lower(name).endswith(s)
+    return F.when(known, "internal").when(vendor, "external").when(suffix, "internal").otherwise("unknown")
+
+
+def prefixed_owner(files: DataFrame, services: DataFrame) -> DataFrame:
+    """Files with the one service whose root holds them; null if none does, or several roots are nested around it."""
+    from latticework.operators.relational import owner_by_prefix
+
+    out = owner_by_prefix(files, services.select(F.col("root").alias("root_path"), "name"))
+    return out.withColumn("owner", F.when(F.col("roots") == 1, F.col("owner")))

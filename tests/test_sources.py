@@ -171,3 +171,35 @@ def test_stream_equals_batch_and_replays_add_up(spark, tmp_path):
         counters.into_catalog(stream(), c, f"{tmp_path}/{turn}", static, lambda d: seen.append(rows(d, "to_symbol", "state"))).awaitTermination()
     assert rows(c.read("runtime_flow_observations"), "source", "observed_count") == [("broker", 2), ("otel", 4)]
     assert seen[-1] == [("b", "observed_only"), ("c", "static_only")]
+
+
+def test_stacks_and_kinds(spark):
+    from latticework.sources import stacks
+
+    files = [
+        ("shop/web/package.json", '{"scripts": {"start": "node ."}, "dependencies": {"express": "4"}}'), ("shop/lib/package.json", '{"dependencies": {"express": "4"}}'), ("shop/py/requirements.txt", "FastAPI==1\n"), ("shop/j/pom.xml", "<artifactId>spring-boot-starter</artifactId>"),
+        ("shop/go/go.mod", "module x"), ("shop/go/cmd/app/main.go", "package main"), ("shop/golib/go.mod", "module y"), ("shop/web/src/a.ts", ""),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    found = stacks.discovered(df)
+    assert rows(found, "root", "stack") == [("shop/go", "go"), ("shop/j", "jvm"), ("shop/py", "python"), ("shop/web", "node")]
+    assert rows(stacks.prefixed_owner(df.filter("path LIKE '%a.ts' OR path LIKE 'shop/lib%'"), found), "path", "owner") == [("shop/lib/package.json", None), ("shop/web/src/a.ts", "web")]
+    names = spark.createDataFrame([("Stripe API",), ("jobs-service",), ("who knows",)], "name string")
+    assert rows(stacks.resource_type(names), "name", "kind") == [("Stripe API", "saas"), ("jobs-service", "other"), ("who knows", "other")]
+    assert rows(names.select("name", stacks.target_kind(F.col("name"), F.lit(False)).alias("k"))) == [("Stripe API", "external"), ("jobs-service", "internal"), ("who knows", "unknown")]
+
+
+def test_exports(spark, tmp_path):
+    from latticework.sources import export
+
+    edges = spark.createDataFrame([("a-b", "c", "http"), ("c", "a-b", "channel:paid")], "source string, target string, via string")
+    d = export.topology(edges, spark.createDataFrame([("c",)], "service string")).collect()[0]["diagram"]
+    assert d.splitlines() == ["flowchart LR", '  a_b["a-b"]', '  c["c"]', "  a_b -->|http| c", "  c -. paid .-> a_b", "  style c stroke:#c00"]
+    p = spark.createDataFrame([(1, "orders", '[{"name": "id", "type": "int"}]')], "service_id long, name string, schema_json string")
+    assert export.entities(p).collect()[0]["diagram"].splitlines() == ["erDiagram", "  orders {", "    int id", "  }"]
+    services = spark.createDataFrame([(1, "a", "does a")], "id long, name string, short_desc string")
+    apis = spark.createDataFrame([(1, "GET", "/x", None)], "service_id long, method string, path string, summary string")
+    pages = export.pages(services, apis)
+    assert rows(pages, "path") == [("a/GET__x.md",), ("a/index.md",)]
+    export.written(pages, f"{tmp_path}/out")
+    assert spark.read.text(f"{tmp_path}/out").count() > 2
