@@ -30,7 +30,7 @@ from . import shared
 UNKNOWN = "und"
 GRAMS = 5
 #: Words whose scores a worker keeps.
-CACHE = 400_000
+CACHE = 120_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -43,11 +43,19 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass
+class Terms:
+    """Terms by their row in one array of log frequencies."""
+
+    at: dict[str, int]
+    logs: np.ndarray
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: Terms
+    grams: list[Terms]
 
 
 def _counted(rows: Iterator[tuple[str, Counter]]) -> pa.RecordBatch:
@@ -78,14 +86,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(iter(by.items()))
 
 
-def _table(rows: list, langs: list[str]) -> dict[str, np.ndarray]:
+def _table(rows, langs: list[str]) -> Terms:
     """Smoothed log frequencies of each term in each language."""
-    at = {x: i for i, x in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for r in rows:
-        counts.setdefault(r.term, np.zeros(len(langs)))[at[r.lang]] = r.n
-    total = sum(counts.values(), np.zeros(len(langs))) + 0.5 * max(1, len(counts))
-    return {t: np.log((c + 0.5) / total).astype(np.float32) for t, c in counts.items()}
+    terms, row = np.unique(rows.term.to_numpy(object).astype(str), return_inverse=True)
+    counts = np.zeros((len(terms), len(langs)))
+    counts[row, np.searchsorted(langs, rows.lang.to_numpy(object).astype(str))] = rows.n.to_numpy(float)
+    logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(terms))))
+    return Terms({t: i for i, t in enumerate(terms.tolist())}, logs.astype(np.float32))
 
 
 def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 4000, most_words: int = 30_000, most_grams: int = 40_000) -> Model:
@@ -95,7 +102,7 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, [])
+        return Model([], Terms({}, np.zeros((0, 0))), [])
     share = F.create_map([F.lit(x) for k in langs for x in (k, min(1.0, most_docs / sizes[k]))])
     sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     schema = "lang string, term string, n long"
@@ -105,10 +112,9 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
     grams = words.mapInArrow(_count_grams, schema).groupBy("lang", "term").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
     grams = grams.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most_grams)
-    by_size: list[list] = [[] for _ in range(GRAMS + 1)]
-    for r in grams.select("lang", "term", "n").collect():
-        by_size[len(r.term)].append(r)
-    return Model(langs, _table(top.select("lang", "term", "n").collect(), langs), [_table(x, langs) for x in by_size])
+    grams = grams.select("lang", "term", "n").toPandas()
+    size = grams.term.str.len()
+    return Model(langs, _table(top.select("lang", "term", "n").toPandas(), langs), [_table(grams[size == k], langs) for k in range(GRAMS + 1)])
 
 
 class Scorer:
@@ -120,12 +126,13 @@ class Scorer:
         self.vectors = np.zeros((1 << 14, len(model.langs)), np.float32)
 
     def vector(self, word: str) -> np.ndarray:
-        if (v := self.model.words.get(word)) is not None:
-            return v
+        if (row := self.model.words.at.get(word)) is not None:
+            return self.model.words.logs[row]
         for n in range(GRAMS, 0, -1):
-            known = [v for g in grams_of(word, n) if (v := self.model.grams[n].get(g)) is not None]
+            table = self.model.grams[n]
+            known = [row for g in grams_of(word, n) if (row := table.at.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return table.logs[known].mean(axis=0)
         return np.zeros(len(self.model.langs), np.float32)
 
     def rows_of(self, words: list[str]) -> list[int]:
