@@ -3,8 +3,9 @@
 The text itself is the first layer of a worklist. From each layer further ones are made: the layer with its %XX escapes
 decoded, the layer with its Unicode escapes and character references decoded, and for each run of base64 letters what it
 decodes to, unpacked if it is compressed. Every new layer is scanned again, until none is left; a layer with a content seen
-before is not taken up again, so cycles end. Each character of a layer carries the span of the text that it came from, so
-what is found is told in code points of the text, end exclusive.
+before at the very same place of the text is not taken up again, so cycles end, and equal contents at other places are told
+there too. Each character of a layer carries the span of the text that it came from, so what is found is told in code points
+of the text, end exclusive.
 
 Defined results: null counts as the empty text, which has no spans. Of one kind, matches in one layer are leftmost and do
 not overlap; a match that is too short is dropped after it has consumed its characters. A decoded match that has the very
@@ -102,6 +103,15 @@ class Layer:
             return at, at + 1
         return self.starts, self.ends
 
+    def name(self) -> bytes:
+        """A digest of the content and of the place of each character in the first text."""
+        out = sha256(self.text.encode("utf-8", "surrogatepass"))
+        if self.starts is not None and len(self.text):
+            one = self.starts[0] == self.starts[-1] and self.ends[0] == self.ends[-1]  # spans ascend
+            for x in (self.starts, self.ends):
+                out.update(b"|" + np.ascontiguousarray(x[:1] if one else x).tobytes())
+        return out.digest()
+
     def replaced(self, changes: list[tuple[int, int, list[tuple[str, int, int]]]], via: str) -> Layer:
         """A layer in which each (start, end) has become characters, each with its own span."""
         starts, ends = self.arrays()
@@ -267,7 +277,8 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int, str]], int]:
         return [], 0
     spans: dict[tuple[int, int, int], str] = {}
     unopened = [0]
-    work, seen = [Layer(text, None, None, "")], {sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    work: list[Layer] = [Layer(text, None, None, "")]
+    seen = {work[0].name()}
     while work:
         layer = work.pop()
         flagged = _flagged(layer.text)
@@ -276,7 +287,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int, str]], int]:
             spans.setdefault((a, kind, b), layer.via)
         made = [x for x in (_from_url(layer), _from_escapes(layer)) if x]
         for child in [*made, *_from_base64(layer, flagged, unopened)]:
-            name = sha256(child.text.encode("utf-8", "surrogatepass")).digest()
+            name = child.name()
             if name not in seen:
                 seen.add(name)
                 work.append(child)

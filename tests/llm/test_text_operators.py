@@ -99,6 +99,21 @@ def test_secrets_end_on_cycles_and_bombs():
     assert secrets.scan(bomb)[1] == 1
 
 
+def test_secrets_under_equal_encodings_are_told_at_each_place():
+    blob = base64.b64encode(SECRET.encode()).decode()
+    outer = base64.b64encode(f"see {blob} there".encode()).decode()
+    packed = base64.b64encode(zlib.compress(SECRET.encode() * 3)).decode()
+    for parts in ([blob, blob], [blob, outer], [outer, blob, outer], [packed, blob, packed]):
+        text = " and\n".join(parts)
+        spans, _ = secrets.scan(text)
+        at = 0
+        for part in parts:
+            at = text.index(part, at)
+            assert any(k == "assign" and at <= a < b <= at + len(part) for k, a, b, _ in spans)
+            at += len(part)
+        assert not secrets.scan(secrets.redact(text, spans))[0]
+
+
 def test_secrets_on_tables(spark):
     texts = [None, "", "nothing", f"x {SECRET}", f"x {SECRET}", "y " * 200_000 + SECRET, "a" * 100_000]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
