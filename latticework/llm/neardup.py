@@ -7,8 +7,8 @@ if the alignment of their words, in a band as wide as the similarity allows, cos
 
 The job is done on classes of equal word sequences, so exact copies cost nothing more. In a bucket of one sketch each class
 is compared with the bucket's least id; classes that turn out unlike it are regrouped among themselves and compared again
-with a few leaders, round after round, until a round links nothing new. So nothing is capped, and no bucket is expanded into
-all its pairs.
+with leaders among them, ever more of them, round after round, until each bucket is of one part. So nothing is capped; pairs
+whose counts of words rule a link out are never aligned.
 
 Defined results: null and empty texts, and texts without a word, are alone: each is its own class (they are not copies of
 each other). Texts of fewer than five words have one shingle of all their words. Rows that repeat an id count once; if their
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from . import components, shared, textscan
 
 SHINGLE, SEVERAL, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
-#: With how many of a bucket's classes each other one is compared in a round after the first.
+#: With how many of a bucket's classes each other one is compared in the second round; in each later one so many times more.
 LEADERS = 4
+#: Classes of words that are counted to rule pairs out.
+BINS = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,6 +162,35 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "name", "sketches"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, counts): the number of words and, for each of BINS classes of words, how many there are, 255 at most."""
+    for batch in batches:
+        found = []
+        for words in word_hashes(batch.column(1).to_pylist()):
+            bins = np.bincount((words >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS)
+            found.append(len(words).to_bytes(4, "little") + np.minimum(bins, 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "counts"])
+
+
+def possible(a: list[bytes], b: list[bytes], similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether the lengths and counts of two word sequences leave it open that they are alike; false is certain."""
+    kind = np.dtype([("n", "<u4"), ("bins", np.uint8, BINS)])
+    x, y = (np.frombuffer(b"".join(c), kind) for c in (a, b))
+    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    band = ((1 - similarity) * np.maximum(nx, ny) + 1e-9).astype(np.int64)
+    more = x["bins"].astype(np.int16) - y["bins"]
+    return (abs(nx - ny) <= band) & (np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= band)
+
+
+def _possible(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = possible(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,47 +216,57 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     sketched = signed.filter("name IS NOT NULL").join(heads, "id", "left_semi").select("id", F.posexplode("sketches").alias("at", "sketch"))
     sketched = sketched.select("id", F.xxhash64("at", "sketch").alias("bucket"))
     # A class's sketches need to meet only where a bucket holds another class too.
-    buckets = sketched.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    leader = lambda c: F.struct(F.col(c).alias("id"), F.col(c).alias("part"))
-    buckets = buckets.select("bucket", F.array(leader("least")).alias("leaders"))
-    members = shared.cut(sketched.join(buckets, "bucket").withColumn("part", F.col("id")))
+    buckets = sketched.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).filter("leader < most").drop("most")
+    members = shared.cut(sketched.join(buckets.select("bucket"), "bucket", "left_semi").select("id", "bucket", F.col("id").alias("part")))
+    leaders = shared.cut(members.groupBy("bucket").agg(F.min("id").alias("leader")).withColumn("leader_part", F.col("leader")))
     shared.forget(signed)
     shared.release(spark)
-    meeting = lambda m: m.select(F.explode(F.array_append("leaders.id", F.col("id"))).alias("id")).distinct()
+    meeting = lambda m: m.select("id").distinct()
     texts = shared.cut(rows.join(meeting(members), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    counts = None
     # (id, part): the least id that links have reached so far, for classes with links alone.
     parts = spark.createDataFrame([], "id long, part long")
+    most = LEADERS
     while not members.isEmpty():
-        met = members.select("id", "part", F.explode("leaders").alias("l")).filter("l.part <> part")
-        pairs = shared.cut(met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct())
+        met = members.join(leaders, "bucket").filter("leader_part <> part").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+        if counts is not None:  # later rounds compare many that are unlike: most need no alignment, and no text
+            met = met.join(counts.select(F.col("id").alias("b"), F.col("counts").alias("counts_b")), "b").join(counts.select(F.col("id").alias("a"), F.col("counts").alias("counts_a")), "a")
+            met = met.select("a", "b", "counts_a", "counts_b").mapInArrow(_possible(similarity), "a long, b long")
+        pairs = shared.cut(met.distinct())
         texts_a, texts_b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         met = pairs.join(texts_b, "b").join(texts_a, "a").select("a", "b", "text_a", "text_b")
         alike = met.mapInArrow(_verified(similarity), "a long, b long, alike boolean").filter("alike").select("a", "b")
         alike = shared.cut(alike)
-        if alike.isEmpty():
-            break
-        # What was a part so far is one vertex now.
-        fresh = alike.join(_part(parts, "a"), "a", "left").join(_part(parts, "b"), "b", "left")
-        fresh = fresh.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
-        merged = shared.cut(components.connected_components(fresh)).select(F.col("id").alias("v"), F.col("component_id").alias("part"))
-        known = parts.unionByName(merged.select(F.col("v").alias("id"), F.col("v").alias("part"))).withColumnRenamed("part", "v")
-        known = known.join(merged, "v", "left").select("id", F.coalesce("part", "v").alias("part"))
-        old = pairs, alike, parts, members
-        parts = shared.cut(known.groupBy("id").agg(F.min("part").alias("part")))
-        # Those that are not of the part of a leader of their bucket meet again among themselves.
-        now = members.select("id", "bucket", "leaders").join(_part(parts, "id"), "id", "left").select("id", "bucket", "leaders", F.coalesce("id_part", "id").alias("part"))
-        led = members.select("bucket", F.explode("leaders.id").alias("leader")).distinct().join(_part(parts, "leader"), "leader", "left")
-        led = led.select("bucket", F.coalesce("leader_part", "leader").alias("part")).distinct()
-        again = now.join(led, ["bucket", "part"], "left_anti").select("id", "bucket", "part")
-        chosen = [F.min(F.when(F.pmod(F.xxhash64("id"), F.lit(LEADERS)) == k, F.struct("id", "part"))) for k in range(LEADERS)]
-        ahead = again.groupBy("bucket").agg(F.array_compact(F.array(*chosen)).alias("leaders"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("bucket", "leaders")
-        members = shared.cut(again.join(ahead, "bucket"))
+        old = pairs, alike, members, leaders, texts, counts
+        if not alike.isEmpty():
+            # What was a part so far is one vertex now.
+            fresh = alike.join(_part(parts, "a"), "a", "left").join(_part(parts, "b"), "b", "left")
+            fresh = fresh.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+            merged = shared.cut(components.connected_components(fresh)).select(F.col("id").alias("v"), F.col("component_id").alias("part"))
+            known = parts.unionByName(merged.select(F.col("v").alias("id"), F.col("v").alias("part"))).withColumnRenamed("part", "v")
+            known = known.join(merged, "v", "left").select("id", F.coalesce("part", "v").alias("part"))
+            old = *old, parts
+            parts = shared.cut(known.groupBy("id").agg(F.min("part").alias("part")))
+        # A leader has met all others of its bucket, so it retires. With links or without, the rest goes on until a bucket is of one part.
+        now = members.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("id", "bucket")
+        now = now.join(_part(parts, "id"), "id", "left").select("id", "bucket", F.coalesce("id_part", "id").alias("part"))
+        led = leaders.select("bucket", "leader").join(_part(parts, "leader"), "leader", "left").select("bucket", F.coalesce("leader_part", "leader").alias("part")).distinct()
+        now = now.join(led, ["bucket", "part"], "left_anti").select("id", "bucket", "part")
+        # Leaders are some of those outside of a bucket's largest part, more in each round; at last all of them.
+        sizes = now.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
+        open_ = sizes.filter("top.n < n").select("bucket", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("others"))
+        again = shared.cut(now.join(open_, "bucket"))
+        chosen = again.filter("part <> top").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("others") < most * (1 << 20))
+        leaders = shared.cut(chosen.select("bucket", F.col("id").alias("leader"), F.col("part").alias("leader_part")))
+        members = again.select("id", "bucket", "part")
+        members._cut_folder = again._cut_folder
+        most *= LEADERS
         # Few of the texts take part in later rounds.
-        old = *old, texts
         texts = shared.cut(texts.join(meeting(members), "id", "left_semi"))
+        counts = shared.cut(texts.mapInArrow(_counted, "id long, counts binary") if counts is None else counts.join(meeting(members), "id", "left_semi"))
         shared.forget(*old)
         shared.release(spark)
-    shared.forget(texts, members)
+    shared.forget(texts, members, leaders, counts)
     out = classes.join(parts.select(F.col("id").alias("class_id"), "part"), "class_id", "left")
     part = F.coalesce("part", "class_id")
     return out.select(F.col("id").alias(key), "class_id", part.alias("component_id"), (F.col("id") == part).alias("kept"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == sorted(set(got.values()))
 
 
+def in_one_bucket(monkeypatch):
+    """All texts with words share their only sketch, so every pair is a candidate."""
+    signed = neardup._signed
+
+    def run(batches):
+        for b in signed(batches):
+            one = [None if x is None else [1] for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(one, pa.list_(pa.int64()))], b.schema.names)
+
+    monkeypatch.setattr(neardup, "_signed", run)
+
+
+def parts_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [x["component_id"] for x in neardup.near_duplicates(spark, docs).orderBy("doc_id").collect()]
+
+
+def test_near_duplicates_go_on_after_a_round_without_links(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    r = random.Random(11)
+    some = [text_of(r, 40) for _ in range(12)]
+    texts = [" ".join(w) for w in [*some, *([*w[:-1], "else"] for w in some[6:])]]
+    assert parts_of(spark, texts) == [*range(12), *range(6, 12)]
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(10, 40)] + [(5, 5), (None, 3)]
     got = {r["id"]: r["component_id"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
