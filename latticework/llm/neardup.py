@@ -247,11 +247,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
             known = known.join(merged, "v", "left").select("id", F.coalesce("part", "v").alias("part"))
             old = *old, parts
             parts = shared.cut(known.groupBy("id").agg(F.min("part").alias("part")))
-        # A leader has met all others of its bucket, so it retires. With links or without, the rest goes on until a bucket is of one part.
+        # A leader has met all others of its bucket, so it retires. All the rest, those of its part too, goes on until a bucket is of one part.
         now = members.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("id", "bucket")
         now = now.join(_part(parts, "id"), "id", "left").select("id", "bucket", F.coalesce("id_part", "id").alias("part"))
-        led = leaders.select("bucket", "leader").join(_part(parts, "leader"), "leader", "left").select("bucket", F.coalesce("leader_part", "leader").alias("part")).distinct()
-        now = now.join(led, ["bucket", "part"], "left_anti").select("id", "bucket", "part")
         # Leaders are some of those outside of a bucket's largest part, more in each round; at last all of them.
         sizes = now.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
         open_ = sizes.filter("top.n < n").select("bucket", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("others"))

@@ -91,6 +91,15 @@ def test_near_duplicates_go_on_after_a_round_without_links(spark, monkeypatch):
     assert parts_of(spark, texts) == [*range(12), *range(6, 12)]
 
 
+def test_near_duplicates_link_through_members_that_joined_a_leader(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    chain = [text_of(random.Random(12), 40)]
+    for k in range(8):  # each is like the one before it alone
+        chain.append([*chain[-1]])
+        chain[-1][5 * k : 5 * k + 5] = [f"new{k}x{i}" for i in range(5)]
+    assert parts_of(spark, [" ".join(w) for w in chain]) == [0] * 9
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(10, 40)] + [(5, 5), (None, 3)]
     got = {r["id"]: r["component_id"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
