@@ -1,8 +1,9 @@
 """Near duplicates among texts by order MinHash, checked by banded alignment.
 
-A text's words (runs of letters and digits, in lower case) give five-word shingles, each labelled with how often it came
+A text's words (runs of letters and digits, in lower case) give three-word shingles, each labelled with how often it came
 before in the text. A sketch takes the `SEVERAL` labelled shingles of least hash and keeps them in the order of the text;
-`SKETCHES` of them, by different hashes, stand for the text. Two texts that share a sketch are a candidate pair, and linked
+`SKETCHES` of them, by different hashes, stand for the text. Texts of up to `EXACT` words have all their shingles stand for
+them, as one of them at least is left in any text that is alike. Two texts that share a sketch are a candidate pair, and linked
 if the alignment of their words, in a band as wide as the similarity allows, costs at most 1 - similarity of the longer one.
 
 The job is done on classes of equal word sequences, so exact copies cost nothing more. In a bucket of one sketch each class
@@ -11,7 +12,7 @@ with leaders among them, ever more of them, round after round, until each bucket
 whose counts of words rule a link out are never aligned.
 
 Defined results: null and empty texts, and texts without a word, are alone: each is its own class (they are not copies of
-each other). Texts of fewer than five words have one shingle of all their words. Rows that repeat an id count once; if their
+each other). Rows that repeat an id count once; if their
 texts differ, the least is taken. Rows with a null id have no result. Further columns are ignored.
 """
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from . import components, shared, textscan
 
-SHINGLE, SEVERAL, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
+SHINGLE, SEVERAL, SKETCHES, SIMILARITY = 3, 2, 48, 0.8
+#: Up to how many words a text stands for all its shingles; from EXACT * SIMILARITY words on, texts have sketches.
+EXACT = 30
 #: With how many of a bucket's classes each other one is compared in the second round; in each later one so many times more.
 LEADERS = 4
 #: Classes of words that are counted to rule pairs out.
@@ -92,6 +95,21 @@ def sketches(words: np.ndarray, count: int = SKETCHES) -> np.ndarray:
     return out
 
 
+def meetings(words: np.ndarray) -> np.ndarray:
+    """Where a text meets others: its sketches, and for a short one its plain shingles.
+
+    If the longer of two texts has n words, at most n / 5 edits leave a run of 3 equal words up to n = 30, but for n = 5: there of 2.
+    """
+    out = [sketches(words)] if len(words) >= EXACT * SIMILARITY else []
+    for k in (2, SHINGLE):
+        if k <= len(words) <= (5 if k == 2 else EXACT):
+            h = np.full(len(words) - k + 1, k, np.uint64)
+            for j in range(k):
+                h = textscan.mix(h * np.uint64(31) + words[j : j + len(h)])
+            out.append(np.unique(h))
+    return np.concatenate([np.empty(0, np.uint64), *out])
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether the edit distance of two word sequences is at most (1 - similarity) of the longer one's length.
 
@@ -158,7 +176,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.arange(1, len(words) + 1, dtype=np.uint64) * _STEP
             sums = (int(textscan.mix(words + place * np.uint64(s)).sum(dtype=np.uint64)) for s in (1, 7))
             names.append(b"".join(x.to_bytes(8, "big") for x in (*sums, len(words))))
-            found.append(sketches(words).astype(np.int64))
+            found.append(meetings(words).astype(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "name", "sketches"])
 
 
@@ -213,8 +231,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     classes = shared.cut(named.join(first, "name", "left").select("id", F.coalesce("class_id", "id").alias("class_id")))
     # Only the first of each class goes on.
     heads = classes.filter("id = class_id").select("id")
-    sketched = signed.filter("name IS NOT NULL").join(heads, "id", "left_semi").select("id", F.posexplode("sketches").alias("at", "sketch"))
-    sketched = sketched.select("id", F.xxhash64("at", "sketch").alias("bucket"))
+    sketched = signed.filter("name IS NOT NULL").join(heads, "id", "left_semi").select("id", F.explode("sketches").alias("bucket"))
     # A class's sketches need to meet only where a bucket holds another class too.
     buckets = sketched.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).filter("leader < most").drop("most")
     members = shared.cut(sketched.join(buckets.select("bucket"), "bucket", "left_semi").select("id", "bucket", F.col("id").alias("part")))

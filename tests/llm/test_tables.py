@@ -66,6 +66,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == sorted(set(got.values()))
 
 
+def test_near_duplicates_are_candidates_down_to_the_threshold():
+    r = random.Random(13)
+    for n in [*range(5, 36), 60, 200]:
+        for share in (0.2, 0.15, 0.1):
+            met = 0
+            for _ in range(30):
+                words = text_of(r, n)
+                copy = list(words)
+                for at in r.sample(range(n), int(n * share + 1e-9)):
+                    copy[at] = f"new{r.randrange(10**9)}"
+                a, b = neardup.word_hashes([" ".join(words), " ".join(copy)])
+                assert neardup.aligned(a, b)
+                met += len(np.intersect1d(neardup.meetings(a), neardup.meetings(b))) > 0
+            assert met == 30 if n <= 30 else met >= 29
+
+
+def test_near_duplicates_of_few_words_are_found(spark):
+    words = "a b c d e f g h i".split()
+    assert parts_of(spark, [" ".join(words), " ".join([*words[:4], "x", *words[5:]]), "k l m n o", "k l x n o"]) == [0, 0, 2, 2]
+
+
 def in_one_bucket(monkeypatch):
     """All texts with words share their only sketch, so every pair is a candidate."""
     signed = neardup._signed
