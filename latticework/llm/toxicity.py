@@ -80,10 +80,39 @@ class Seen:
     sums: np.ndarray
 
 
+class Signs:
+    """Counts of letter case and signs over the chunks of some texts, and the votes that they give."""
+
+    def __init__(self, n: int):
+        self.letters, self.upper, self.shouts, self.masked = (np.zeros(n) for _ in range(4))
+
+    def add(self, chunk: textscan.Chunk) -> None:
+        n = len(self.letters)
+        letter = textscan.classes()[chunk.cp] == textscan.LETTER
+        at = np.repeat(chunk.rows, np.diff(chunk.bounds))
+        self.letters += np.bincount(at[letter], minlength=n)
+        self.upper += np.bincount(at[letter & (textscan.folded()[chunk.cp] != chunk.cp)], minlength=n)
+        bang = chunk.cp == ord("!")
+        self.shouts += np.bincount(at[:-1][bang[1:] & bang[:-1]], minlength=n)
+        sign = np.isin(chunk.cp, [ord(c) for c in "*@#$"])
+        self.masked += np.bincount(at[1:-1][letter[:-2] & sign[1:-1] & letter[2:]], minlength=n)
+
+    def votes(self) -> np.ndarray:
+        fires = {SHOUTING: self.upper > 0.5 * np.maximum(self.letters, 1), MASKED: self.masked > 0, EXCLAIMING: self.shouts >= 3}
+        return sum(f.astype(np.int64) << v for v, f in fires.items())
+
+
+def sign_votes(texts: list[str | None]) -> np.ndarray:
+    signs = Signs(len(texts))
+    for chunk in textscan.chunks(texts):
+        signs.add(chunk)
+    return signs.votes()
+
+
 def look(texts: list[str | None], lexicons: Lexicons, weights: np.ndarray | None = None) -> Seen:
     n = len(texts)
     hits = np.zeros((5, n))
-    words, sums, letters, upper, shouts, masked = (np.zeros(n) for _ in range(6))
+    words, sums, signs = np.zeros(n), np.zeros(n), Signs(n)
     for chunk in textscan.chunks(texts):
         bucket, row, whole, word_row = features(chunk)
         words += np.bincount(word_row, minlength=n)
@@ -93,21 +122,14 @@ def look(texts: list[str | None], lexicons: Lexicons, weights: np.ndarray | None
         some = np.flatnonzero(bits)
         for i in range(5):
             hits[i] += np.bincount(row[some[(bits[some] & (1 << i)) > 0]], minlength=n)
-        letter = textscan.classes()[chunk.cp] == textscan.LETTER
-        at = np.repeat(chunk.rows, np.diff(chunk.bounds))
-        letters += np.bincount(at[letter], minlength=n)
-        upper += np.bincount(at[letter & (textscan.folded()[chunk.cp] != chunk.cp)], minlength=n)
-        bang = chunk.cp == ord("!")
-        shouts += np.bincount(at[:-1][bang[1:] & bang[:-1]], minlength=n)
-        sign = np.isin(chunk.cp, [ord(c) for c in "*@#$"])
-        masked += np.bincount(at[1:-1][letter[:-2] & sign[1:-1] & letter[2:]], minlength=n)
+        signs.add(chunk)
     some = np.maximum(words, 1)
     learned = hits[1] + hits[2] + hits[3] + hits[4]
     fires = {
         INSULT: hits[0] > 0, SLUR_HEAVY: hits[0] >= 3, WORDS_A: hits[1] > 0, WORDS_B: hits[2] > 0, BEGIN_A: hits[3] / some > 0.004, BEGIN_B: hits[4] / some > 0.004,
-        BEGIN_DENSE: (hits[3] + hits[4]) / some > 0.012, WORDS_MANY: hits[1] + hits[2] >= 3, SHOUTING: upper > 0.5 * np.maximum(letters, 1), MASKED: masked > 0, EXCLAIMING: shouts >= 3, CLEAN: (learned + hits[0] == 0) & (words >= 5),
+        BEGIN_DENSE: (hits[3] + hits[4]) / some > 0.012, WORDS_MANY: hits[1] + hits[2] >= 3, CLEAN: (learned + hits[0] == 0) & (words >= 5),
     }
-    return Seen(sum(f.astype(np.int64) << v for v, f in fires.items()), words, sums)
+    return Seen(sum(f.astype(np.int64) << v for v, f in fires.items()) | signs.votes(), words, sums)
 
 
 # --- the sample: lexicons -------------------------------------------------------------------------------------------
@@ -125,6 +147,8 @@ class Sample:
     weight: np.ndarray
     words: np.ndarray
     votes: np.ndarray
+    #: The votes of sign patterns, which no lexicon changes.
+    signs: np.ndarray
 
 
 def _pack(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -148,17 +172,18 @@ def _pack(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
 def _sampled(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None, most: int, key: str, text: str) -> Sample:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed, words = _pack(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(words, pa.int64()), pa.array(packed, pa.binary())], ["key", "y", "weight", "words", "x"])
+            texts = batch.column(1).to_pylist()
+            packed, words = _pack(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(words, pa.int64()), pa.array(sign_votes(texts), pa.int64()), pa.array(packed, pa.binary())], ["key", "y", "weight", "words", "signs", "x"])
 
     chosen = labelled.sample(docs, labels, label, usable, most, key, text)
-    rows = chosen.select("key", "text", "y", "weight").mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, y int, weight double, words long, x binary").toPandas().sort_values(["key", "x"])
+    rows = chosen.select("key", "text", "y", "weight").mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, y int, weight double, words long, signs long, x binary").toPandas().sort_values(["key", "x"])
     terms = [np.frombuffer(b, np.int32, len(b) // 5) for b in rows.x]
     counts = [np.frombuffer(b, np.uint8, len(b) // 5, len(b) // 5 * 4) for b in rows.x]
     none = [np.empty(0, np.int32)]
     term = np.concatenate(none + terms)
     n = len(rows)
-    return Sample(np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms]), term & (BUCKETS - 1), np.concatenate([np.empty(0, np.uint8), *counts]), (term >> 18) > 0, rows.y.to_numpy(int), rows.weight.to_numpy(float), rows.words.to_numpy(float), np.zeros(n, np.int64))
+    return Sample(np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms]), term & (BUCKETS - 1), np.concatenate([np.empty(0, np.uint8), *counts]), (term >> 18) > 0, rows.y.to_numpy(int), rows.weight.to_numpy(float), rows.words.to_numpy(float), np.zeros(n, np.int64), rows.signs.to_numpy(np.int64))
 
 
 def learn_lexicons(sample: Sample) -> Lexicons:
@@ -181,13 +206,13 @@ def learn_lexicons(sample: Sample) -> Lexicons:
 
 
 def votes_of(sample: Sample, lexicons: Lexicons) -> np.ndarray:
-    """The lexicon votes of the sampled texts, from their counted features; sign patterns stay silent."""
+    """The lexicon votes of the sampled texts, from their counted features, and those of their sign patterns."""
     n = len(sample.y)
     bits = np.where(sample.whole, lexicons.words[sample.bucket], lexicons.beginnings[sample.bucket])
     hits = [np.bincount(sample.row, sample.count * ((bits >> i) & 1), n) for i in range(5)]
     some = np.maximum(sample.words, 1)
     fires = {INSULT: hits[0] > 0, SLUR_HEAVY: hits[0] >= 3, WORDS_A: hits[1] > 0, WORDS_B: hits[2] > 0, BEGIN_A: hits[3] / some > 0.004, BEGIN_B: hits[4] / some > 0.004, BEGIN_DENSE: (hits[3] + hits[4]) / some > 0.012, WORDS_MANY: hits[1] + hits[2] >= 3, CLEAN: (sum(hits) == 0) & (sample.words >= 5)}
-    return sum(f.astype(np.int64) << v for v, f in fires.items())
+    return sum(f.astype(np.int64) << v for v, f in fires.items()) | sample.signs
 
 
 def cross_votes(sample: Sample) -> np.ndarray:
@@ -197,7 +222,7 @@ def cross_votes(sample: Sample) -> np.ndarray:
         mine = np.arange(len(sample.y)) % 2 == half
         of = ~mine[sample.row]
         place = np.cumsum(~mine) - 1
-        other = Sample(place[sample.row[of]], sample.bucket[of], sample.count[of], sample.whole[of], sample.y[~mine], sample.weight[~mine], sample.words[~mine], sample.votes[~mine])
+        other = Sample(place[sample.row[of]], sample.bucket[of], sample.count[of], sample.whole[of], sample.y[~mine], sample.weight[~mine], sample.words[~mine], sample.votes[~mine], sample.signs[~mine])
         out[mine] = votes_of(sample, learn_lexicons(other))[mine]
     return out
 
@@ -272,7 +297,6 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray
     if known is not None and len(known):
         kv = ((known[:, None] >> np.arange(VOTERS)) & 1).astype(np.int64)
         start = _maximised(kv, known_weight, known_y.astype(float), np.full(VOTERS, -1))
-        start.fires[:, :, [SHOUTING, MASKED, EXCLAIMING]] = 0.5
         expected = start.posterior(patterns)
         share = n.sum() / max(known_weight.sum(), 1e-9)
         v, n = np.concatenate([v, kv]), np.concatenate([n, known_weight * share])

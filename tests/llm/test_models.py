@@ -70,3 +70,16 @@ def test_features_are_counted_alike_in_sample_and_scan():
     packed, words = toxicity._pack(texts)
     assert words.tolist() == [3, 0, 2]
     assert [len(b) // 5 for b in packed][1] == 0
+
+
+def test_sign_patterns_are_learned(spark):
+    r = np.random.default_rng(8)
+    texts = [" ".join(["".join(r.choice(list("abcdefghij"), 6)) for _ in range(30)] + ["i*d*i*o*t"] * (i % 2)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.train(spark, docs, labels)
+    assert model.vote_weights[toxicity.MASKED] > 0.1
+    signs = 1 << toxicity.SHOUTING | 1 << toxicity.MASKED | 1 << toxicity.EXCLAIMING
+    odd = ["quiet words here", "quiet w*o*rds here", None, "QUIET WORDS!!!!"]
+    expected = [0, 1 << toxicity.MASKED, 0, 1 << toxicity.SHOUTING | 1 << toxicity.EXCLAIMING]
+    assert (toxicity.look(odd, model.lexicons).votes & signs).tolist() == toxicity.sign_votes(odd).tolist() == expected
