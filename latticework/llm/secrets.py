@@ -2,7 +2,7 @@
 
 The text itself is the first layer of a worklist. From each layer further ones are made: the layer with its %XX escapes
 decoded, the layer with its Unicode escapes and character references decoded, and for each run of base64 letters what it
-decodes to, unpacked if it is compressed. Every new layer is scanned again, until none is left; a layer with a content seen
+decodes to, from each of the four alignments, unpacked where compressed data begins. Every new layer is scanned again, until none is left; a layer with a content seen
 before at the very same place of the text is not taken up again, so cycles end, and equal contents at other places are told
 there too. Each character of a layer carries the span of the text that it came from, so what is found is told in code points
 of the text, end exclusive.
@@ -17,7 +17,6 @@ ignored. One guard is needed against archives that expand without bound: a compr
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -182,73 +181,92 @@ class TooLarge(Exception):
     pass
 
 
-def unpacked(data: bytes) -> tuple[bytes, str] | None:
-    """What compressed bytes hold, and the format; None if they are not compressed, or damaged."""
+def _kind(data: bytes | memoryview) -> str | None:
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
+        return "zlib"
+    return "bzip2" if data[:3] == b"BZh" else "xz" if data[:6] == b"\xfd7zXZ\x00" else "zstd" if data[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+_MACHINES = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
+
+
+def unpacked(data: bytes | memoryview) -> tuple[bytes, str] | None:
+    """What all members of compressed bytes hold, up to the first damaged one, and the format; None if they are not compressed, or the first is damaged."""
+    kind, out = _kind(data), b""
+    if kind is None:
+        return None
     try:
-        if data[:2] == b"\x1f\x8b":
-            kind, machine = "gzip", zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
-            kind, machine = "zlib", zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            kind, machine = "bzip2", bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            kind, machine = "xz", lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(MOST_UNPACKED + 1)
-            kind, machine = "zstd", None
-        else:
-            return None
-        if machine is not None:
-            out = machine.decompress(data, MOST_UNPACKED + 1)
+        if kind == "zstd":
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
+                while part := reader.read(1 << 20):
+                    out += part
+                    if len(out) > MOST_UNPACKED:
+                        raise TooLarge(kind)
+        while kind != "zstd" and _kind(data) == kind:
+            machine = _MACHINES[kind]()
+            out += machine.decompress(data, MOST_UNPACKED + 1 - len(out))
+            if len(out) > MOST_UNPACKED:
+                raise TooLarge(kind)
+            data = machine.unused_data
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > MOST_UNPACKED:
-        raise TooLarge(kind)
+        return (out, kind) if out else None
     return out, kind
 
 
-def _readable(data: bytes) -> str | None:
-    """Text in UTF-8, or in UTF-16 if every other byte is zero; None if it does not look like text."""
-    try:
-        if len(data) >= 8 and len(data) % 2 == 0 and data[1::2].count(0) * 10 >= len(data) * 4:
-            text = data.decode("utf-16-le")
-        else:
-            text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not c.isprintable() and c not in "\t\n\r" for c in text)
-    return text if text and odd * 10 <= len(text) else None
+#: What bytes must hold for a match or for a further layer.
+_COULD = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
+#: Base64 of the first bytes of compressed data; a run is opened at each, and after each separator.
+_PACKED = re.compile(r"H4sI|Qlpo|/Td6WFo|KLUv/|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+_SEPARATOR = re.compile(r"[/_-]")
+_LONE = re.compile("[\udc80-\udcff]")
+
 
+def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray | None]]:
+    """Texts that bytes may be, with the size of each character: in UTF-8, where bytes that belong to none become U+FFFD, and in UTF-16 (None) if every other byte is zero."""
+    if _COULD.search(data):
+        text = data.decode("utf-8", "surrogateescape")
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        lone = (cp >= 0xDC80) & (cp <= 0xDCFF)
+        yield _LONE.sub("\ufffd", text), np.where(lone, 1, 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000))
+    for at, code in ((1, "utf-16-le"), (0, "utf-16-be")):
+        if len(data) >= 8 and data[at::2].count(0) * 10 >= len(data) * 4:
+            yield data[: len(data) // 2 * 2].decode(code, "replace"), None
 
-def _opened(layer: Layer, spans: list[tuple[int, int]]) -> Iterator[Layer]:
-    """What one run of base64 letters (or the lines of one) decodes to."""
-    body = "".join(layer.text[a:b] for a, b in spans).translate(str.maketrans("-_", "+/"))
+
+def _opened(layer: Layer, spans: list[tuple[int, int]], unopened: list[int]) -> Iterator[Layer]:
+    """What one run of base64 letters (or the lines of one) decodes to, from each of four alignments, and unpacked from each place where compressed data may begin."""
+    raw = "".join(layer.text[a:b] for a, b in spans)
+    body = raw.translate(str.maketrans("-_", "+/"))
     where = np.concatenate([np.arange(a, b) for a, b in spans])
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return
     starts, ends = layer.arrays()
-    via, whole = "base64", False
-    while (found := unpacked(data)) is not None:
-        data, kind = found
-        via, whole = f"{via}>{kind}", True
-    text = _readable(data)
-    if text is None:
-        return
-    n = len(text)
-    if whole or len(text.encode("utf-8")) != len(data):
-        first, last = np.full(n, starts[where].min()), np.full(n, ends[where].max())
-    else:
-        cp = textscan.codepoints(text)
-        width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-        stop = np.cumsum(width)
-        first = starts[where[(stop - width) * 4 // 3]]
-        last = ends[where[np.minimum((stop * 4 + 2) // 3, len(where)) - 1]]
-    yield Layer(text, first, last, f"{layer.via}>{via}".lstrip(">"))
+    heads = {0} | {m.start() for m in _PACKED.finditer(body)} | {m.end() for m in _SEPARATOR.finditer(raw)}
+    of: list[list[int]] = [[], [], [], []]
+    for head in sorted(heads):
+        of[head % 4].append(head)
+    for k in range(4):
+        some = body[k : len(body) - ((len(body) - k) % 4 == 1)]
+        data, at = base64.b64decode(some + "=" * (-len(some) % 4)), where[k:]
+        via = f"{layer.via}>base64".lstrip(">")
+        for text, width in _texts(data):
+            if width is None:
+                first, last = (np.broadcast_to(x, len(text)) for x in (starts[at].min(), ends[at].max()))
+            else:
+                stop = np.cumsum(width)
+                first, last = starts[at[(stop - width) * 4 // 3]], ends[at[np.minimum((stop * 4 + 2) // 3, len(at)) - 1]]
+            yield Layer(text, first, last, via)
+        for head in of[k]:
+            found, inner, kinds = None, memoryview(data)[(head - k) // 4 * 3 :], via
+            try:
+                while (step := unpacked(inner)) is not None and step[0] != inner:
+                    inner, kinds = step[0], f"{kinds}>{step[1]}"
+                    found = inner
+            except TooLarge:
+                unopened[0] += 1
+                continue
+            for text, _ in _texts(found) if found else ():
+                yield Layer(text, *(np.broadcast_to(x, len(text)) for x in (starts[where[head:]].min(), ends[where[head:]].max())), kinds)
 
 
 def _from_base64(layer: Layer, flagged: list[tuple[int, np.ndarray]], unopened: list[int]) -> Iterator[Layer]:
@@ -265,10 +283,7 @@ def _from_base64(layer: Layer, flagged: list[tuple[int, np.ndarray]], unopened:
     if lines:
         groups.append(lines)
     for group in groups:
-        try:
-            yield from _opened(layer, group)
-        except TooLarge:
-            unopened[0] += 1
+        yield from _opened(layer, group, unopened)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int, str]], int]:

@@ -1,6 +1,7 @@
 """BPE, secrets and language ID against the library, plain versions and hand-made cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -114,6 +115,15 @@ def test_secrets_under_equal_encodings_are_told_at_each_place():
         assert not secrets.scan(secrets.redact(text, spans))[0]
 
 
+@pytest.mark.parametrize("data", [SECRET.encode() + b" ", b"caf\xe9 " + SECRET.encode() + b" ", b"\x00" * 300 + SECRET.encode() + b" ", gzip.compress(b"\x00" * 300 + SECRET.encode()), gzip.compress(b"first member") + gzip.compress(SECRET.encode()), bz2.compress(b"first member") + bz2.compress(SECRET.encode())])
+@pytest.mark.parametrize("before", ["", "/blob/", "id-", "KEY_", "x", "xy", "xyz"])
+def test_secrets_in_glued_or_odd_base64(data, before):
+    text = before + base64.b64encode(data).decode()
+    spans, unopened = secrets.scan(text)
+    assert any(k == "assign" and a >= 0 and b <= len(text) for k, a, b, _ in spans) and not unopened
+    assert not [s for s in secrets.scan(secrets.redact(text, spans))[0] if s[0] == "assign"]
+
+
 def test_secrets_on_tables(spark):
     texts = [None, "", "nothing", f"x {SECRET}", f"x {SECRET}", "y " * 200_000 + SECRET, "a" * 100_000]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
