@@ -257,15 +257,21 @@ def _sliced(text: str, cuts: list[tuple[int, int, int]]) -> Iterator[str]:
 def mixed_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", **options) -> DataFrame:
     """The mix as documents: a row for each turn in which words of a document are taken, with those words as its text.
 
-    Of rows that repeat an id one is mixed. The length column, if there is one, is set to the new text's.
+    Of rows that repeat an id the least is mixed; every row with a null id is a document of its own. The length column, if there is one, is set to the new text's.
     """
     shared.small_batches(spark)
-    docs = docs.dropDuplicates([key])
-    m = mix(spark, docs, key, text, source, **options)
+    columns, schema = docs.columns, docs.schema
+    with_id = docs.filter(docs[key].isNotNull()).groupBy(key).agg(F.min(F.struct(*(c for c in columns if c != key))).alias("_least"))
+    with_id = with_id.select(*(F.col(c) if c == key else F.col(f"_least.{c}").alias(c) for c in columns), F.lit(1).alias("_copy"))
+    # Equal rows without an id differ by a number alone; a null hash leaves the order of the others as it is.
+    no_id = docs.filter(docs[key].isNull()).groupBy(*columns).agg(F.count("*").cast("int").alias("_n"))
+    no_id = no_id.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    docs = with_id.unionByName(no_id)
+    docs = docs.select(*columns, F.struct(F.col(key).alias("id"), F.when(F.col(key).isNull(), F.sha2(F.to_json(F.struct(*columns, "_copy")), 256)).alias("row")).alias("_row"))
+    m = mix(spark, docs, "_row", text, source, **options)
     plan = pieces(m, options.get("block_words", BLOCK_WORDS)).filter("times > 0").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("_cuts"))
-    joined = docs.join(plan, docs[key].eqNullSafe(plan["id"])).drop("id")
-    at, n = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
-    schema = docs.schema
+    joined = docs.join(plan, docs["_row"] == plan["id"]).select(*columns, "_cuts")
+    at, n = columns.index(text), columns.index(length) if length in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -253,6 +253,14 @@ def test_mix(spark):
     assert mixing.taken(spark, mixing.mix(spark, df.limit(0))).collect() == []
 
 
+def test_mix_keeps_every_row_without_an_id(spark):
+    rows = [(None, f"text{i} " * 300, "a") for i in range(5)] + [(None, "same words " * 150, "a")] * 2 + [(1, "one " * 300, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed_documents(spark, df).collect()
+    assert sum(len(x["text"].split()) for x in got) == 8 * 300
+    assert sorted(map(str, mixing.mixed_documents(spark, df.repartition(3)).collect())) == sorted(map(str, got))
+
+
 def test_pipeline_stages(spark):
     r = random.Random(10)
     base = [" ".join(r.choices(["the", "of", "house", "and", "water", "stone", "green", "river"], k=60)) + " " + " ".join(text_of(r, 60)) for _ in range(12)]
