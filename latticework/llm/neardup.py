@@ -5,15 +5,18 @@ before in the text. A sketch takes the `SEVERAL` labelled shingles of least hash
 `SKETCHES` of them, by different hashes, stand for the text. Texts of up to `EXACT` words have all their shingles stand for
 them, as one of them at least is left in any text that is alike. Two texts that share a sketch are a candidate pair, and linked
 if the alignment of their words, in a band as wide as the similarity allows, costs at most 1 - similarity of the longer one.
+Shingles are of three words, not of five, because an edit in every fifth word leaves a similarity of 0.8 and no shingle of five.
 
-The job is done on classes of equal word sequences, so exact copies cost nothing more. In a bucket of one sketch each class
-is compared with the bucket's least id; classes that turn out unlike it are regrouped among themselves and compared again
-with leaders among them, ever more of them, round after round, until each bucket is of one part. So nothing is capped; pairs
-whose counts of words rule a link out are never aligned.
+The job is done on classes of equal word sequences, so exact copies cost nothing more. It has two steps, and neither caps or
+drops a candidate pair. First each class is compared with the least id of every bucket (the texts that share one sketch);
+links found so make parts. Then, in every bucket that still holds several parts, all classes of different parts meet in
+tiles: a tile is a bounded number of classes, two tiles are compared as matrices of word counts, which rule nearly all pairs
+out, and only classes that have a possible partner meet again with their words, to be aligned. Pairs that one part already
+holds are not compared, and what a pair of tiles gives back is a spanning forest of its links.
 
 Defined results: null and empty texts, and texts without a word, are alone: each is its own class (they are not copies of
-each other). Rows that repeat an id count once; if their
-texts differ, the least is taken. Rows with a null id have no result. Further columns are ignored.
+each other). Rows that repeat an id count once: the row of the least text that is not null is taken. Rows with a null id have
+no result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from . import components, shared, textscan
 SHINGLE, SEVERAL, SKETCHES, SIMILARITY = 3, 2, 48, 0.8
 #: Up to how many words a text stands for all its shingles; from EXACT * SIMILARITY words on, texts have sketches.
 EXACT = 30
-#: With how many of a bucket's classes each other one is compared in the second round; in each later one so many times more.
-LEADERS = 4
 #: Classes of words that are counted to rule pairs out.
 BINS = 128
+#: About how many classes make a tile when counts are compared, and how many bytes of words when words are.
+TILE, TILE_BYTES = 1024, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,47 +167,68 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return False
 
 
+_COUNTS = np.dtype([("n", "<u4"), ("bins", np.uint8, BINS)])
+
+
+def counted(words: np.ndarray) -> bytes:
+    """The number of words (32-bit hashes) and, for each of BINS classes of words, how many there are, 255 at most."""
+    bins = np.minimum(np.bincount(words.astype(np.int64) % BINS, minlength=BINS), 255)
+    return len(words).to_bytes(4, "little") + bins.astype(np.uint8).tobytes()
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, name, sketches): two 64-bit hashes and the length of the word sequence, and its sketches; nulls without words."""
+    """(id, name, sketches, counts, words); all but the id are null for a text without words.
+
+    The name is two 64-bit hashes and the length of the word sequence; words are told apart by 32 bits from there on.
+    """
     for batch in batches:
-        names, found = [], []
+        names, found, counts, stored = [], [], [], []
         for words in word_hashes(batch.column(1).to_pylist()):
             if not len(words):
-                names.append(None)
-                found.append(None)
+                for column in (names, found, counts, stored):
+                    column.append(None)
                 continue
             place = np.arange(1, len(words) + 1, dtype=np.uint64) * _STEP
             sums = (int(textscan.mix(words + place * np.uint64(s)).sum(dtype=np.uint64)) for s in (1, 7))
+            short = (words >> np.uint64(32)).astype(np.uint32)
             names.append(b"".join(x.to_bytes(8, "big") for x in (*sums, len(words))))
             found.append(meetings(words).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "name", "sketches"])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, counts): the number of words and, for each of BINS classes of words, how many there are, 255 at most."""
-    for batch in batches:
-        found = []
-        for words in word_hashes(batch.column(1).to_pylist()):
-            bins = np.bincount((words >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS)
-            found.append(len(words).to_bytes(4, "little") + np.minimum(bins, 255).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "counts"])
+            counts.append(counted(short))
+            stored.append(short.tobytes())
+        columns = [batch.column(0), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.binary()), pa.array(stored, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "name", "sketches", "counts", "words"])
 
 
-def possible(a: list[bytes], b: list[bytes], similarity: float = SIMILARITY) -> np.ndarray:
-    """Whether the lengths and counts of two word sequences leave it open that they are alike; false is certain."""
-    kind = np.dtype([("n", "<u4"), ("bins", np.uint8, BINS)])
-    x, y = (np.frombuffer(b"".join(c), kind) for c in (a, b))
-    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+def possible(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether lengths and counts leave it open that a's and b's word sequences, one by one, are alike; false is certain."""
+    nx, ny = a["n"].astype(np.int64), b["n"].astype(np.int64)
     band = ((1 - similarity) * np.maximum(nx, ny) + 1e-9).astype(np.int64)
-    more = x["bins"].astype(np.int16) - y["bins"]
+    more = a["bins"].astype(np.int16) - b["bins"]
     return (abs(nx - ny) <= band) & (np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= band)
 
 
+def possible_of_all(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The matrix of `possible` for every one of a with every one of b."""
+    nx, ny = (x["n"].astype(np.int64) for x in (a, b))
+    band = ((1 - similarity) * np.maximum(nx[:, None], ny[None, :]) + 1e-9).astype(np.int64)
+    out = abs(nx[:, None] - ny[None, :]) <= band
+    if len(a) * len(b) <= 1 << 12:
+        same = np.minimum(a["bins"][:, None, :], b["bins"][None, :, :]).sum(axis=2, dtype=np.int64)
+    else:
+        same = np.zeros((len(a), len(b)), np.uint16)
+        left, right = np.ascontiguousarray(a["bins"].T), np.ascontiguousarray(b["bins"].T)
+        for x, y in zip(left, right, strict=True):
+            same += np.minimum.outer(x, y)
+    for sums in (a["bins"].sum(axis=1, dtype=np.int64)[:, None], b["bins"].sum(axis=1, dtype=np.int64)[None, :]):
+        out &= sums - same <= band
+    return out
+
+
 def _possible(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = possible(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), _COUNTS) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(possible(a, b, similarity)))
 
     return run
 
@@ -212,79 +236,153 @@ def _possible(similarity: float):
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            left, right = word_hashes(texts[0]), word_hashes(texts[1])
-            alike = [aligned(x, y, similarity) for x, y in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
+            texts = ([np.frombuffer(w, np.uint32) for w in batch.column(i).to_pylist()] for i in (2, 3))
+            alike = [aligned(x, y, similarity) for x, y in zip(*texts, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return run
 
 
+def _side(batch: pa.RecordBatch, column: int, row: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The ids, parts and contents of one tile."""
+    items = batch.column(column)[row].values
+    return items.field("id").to_numpy(), items.field("part").to_numpy(), items.field("content").to_pylist()
+
+
+def _flagged(similarity: float):
+    """(bucket, id, part, bytes) of each class of two tiles that may be like one of another part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, same = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row in range(batch.num_rows):
+                ids, parts, content = _side(batch, 2, row)
+                ids_b, parts_b, content_b = (ids, parts, content) if same[row] else _side(batch, 3, row)
+                a, b = (np.frombuffer(b"".join(c), _COUNTS) for c in (content, content_b))
+                in_b, found = np.zeros(len(b), bool), []
+                for i in range(0, len(a), 256):
+                    open_ = possible_of_all(a[i : i + 256], b, similarity)
+                    open_ &= parts[i : i + 256, None] != parts_b[None, :]
+                    found.append(open_.any(axis=1))
+                    in_b |= open_.any(axis=0)
+                in_a = np.concatenate(found)
+                out = [np.concatenate([x[in_a], y[in_b & (not same[row])]]) for x, y in ((ids, ids_b), (parts, parts_b), (a["n"].astype(np.int64) * 4, b["n"].astype(np.int64) * 4))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out[0]), buckets[row])), *map(pa.array, out)], ["bucket", "id", "part", "bytes"])
+
+    return run
+
+
+def _linked(similarity: float):
+    """(a, b): links between classes of different parts of two tiles; those that only repeat what others join are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, made = batch.column(1).to_pylist(), []
+            for row in range(batch.num_rows):
+                ids, parts, content = _side(batch, 2, row)
+                words = [np.frombuffer(w, np.uint32) for w in content]
+                if not same[row]:
+                    ids_b, parts_b, content_b = _side(batch, 3, row)
+                    words_b = [np.frombuffer(w, np.uint32) for w in content_b]
+                else:
+                    ids_b, parts_b, words_b = ids, parts, words
+                up = {p: p for p in {*parts.tolist(), *parts_b.tolist()}}
+
+                def top(p: int, up: dict[int, int] = up) -> int:
+                    while up[p] != p:
+                        up[p] = p = up[up[p]]
+                    return p
+
+                a, b = (np.frombuffer(b"".join(map(counted, w)), _COUNTS) for w in (words, words_b))
+                open_ = possible_of_all(a, b, similarity) & (parts[:, None] != parts_b[None, :])
+                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(open_) if same[row] else open_)), strict=True):
+                    p, q = top(int(parts[i])), top(int(parts_b[j]))
+                    if p != q and aligned(words[i], words_b[j], similarity):
+                        up[max(p, q)] = min(p, q)
+                        made.append((int(ids[i]), int(ids_b[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _in_tiles(members: DataFrame, contents: DataFrame, most: int, work, schema: str) -> DataFrame:
+    """`work` on every two tiles of a bucket that hold different parts, once; written as a table.
+
+    members are (bucket, id, part, weight), contents (id, content). A part heavier than a tile has tiles of its own, dealt by
+    the hash of the id, which need not meet each other; all other parts of a bucket are dealt whole, by their hash.
+    """
+    spark = members.sparkSession
+    of_part = members.groupBy("bucket", "part").agg(F.sum("weight").alias("w"))
+    of_bucket = of_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("w") <= most, F.col("w"))).alias("rest"))
+    heavy = F.col("w") > most
+    deals = of_part.join(of_bucket.filter("parts > 1"), "bucket")
+    deals = deals.select("bucket", "part", F.when(heavy, F.col("part")).alias("own"), F.ceil(F.when(heavy, F.col("w")).otherwise(F.col("rest")) / most).cast("long").alias("deals"))
+    placed = members.join(deals, ["bucket", "part"]).withColumn("deal", F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("part")).otherwise(F.col("id"))), "deals"))
+    placed = placed.select("id", "part", "bucket", "own", F.xxhash64("bucket", "own", "deal").alias("tile")).join(contents, "id")
+    tiles = placed.groupBy("tile", "bucket", "own").agg(F.collect_list(F.struct("id", "part", "content")).alias("items"))
+    tiles = shared.cut(tiles)
+    a, b = (tiles.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("tile", "own"))) for x in "ab")
+    apart = F.col("own_a").isNull() | F.col("own_b").isNull() | (F.col("own_a") != F.col("own_b"))
+    pairs = a.join(b.hint("merge"), "bucket").filter((F.col("tile_a") <= F.col("tile_b")) & apart).select("bucket", "tile_a", "tile_b")
+    left, right = (tiles.select(F.col("tile").alias(f"tile_{x}"), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab")
+    same = F.col("tile_a") == F.col("tile_b")
+    met = pairs.join(left, "tile_a").join(right, "tile_b").select("bucket", same.alias("same"), "items_a", F.when(~same, F.col("items_b")).alias("items_b"))
+    out = shared.cut(met.mapInArrow(work, schema))
+    shared.forget(tiles)
+    return out
+
+
+def one_row_an_id(rows: DataFrame) -> DataFrame:
+    """(id, text) with the least text that is not null for every id that repeats."""
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    repeated = shared.cut(repeated)
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, "id", "left_anti").unionByName(rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(key, class_id, component_id, kept): the least id of equal word sequences, that of all texts reached by links, and whether the row is the one kept."""
     shared.small_batches(spark)
-    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).filter("id IS NOT NULL")
-    signed = shared.cut(rows.mapInArrow(_signed, "id long, name binary, sketches array<long>"))
-    named = signed.groupBy("id").agg(F.min("name").alias("name"))
-    first = named.filter("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("class_id"))
-    classes = shared.cut(named.join(first, "name", "left").select("id", F.coalesce("class_id", "id").alias("class_id")))
+    rows = one_row_an_id(docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).filter("id IS NOT NULL"))
+    signed = shared.cut(rows.mapInArrow(_signed, "id long, name binary, sketches array<long>, counts binary, words binary"))
+    first = signed.filter("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("class_id"))
+    classes = shared.cut(signed.select("id", "name").join(first, "name", "left").select("id", F.coalesce("class_id", "id").alias("class_id")))
     # Only the first of each class goes on.
     heads = classes.filter("id = class_id").select("id")
-    sketched = signed.filter("name IS NOT NULL").join(heads, "id", "left_semi").select("id", F.explode("sketches").alias("bucket"))
+    sketched = signed.filter("name IS NOT NULL").select("id", "sketches").join(heads, "id", "left_semi").select("id", F.explode("sketches").alias("bucket"))
     # A class's sketches need to meet only where a bucket holds another class too.
     buckets = sketched.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).filter("leader < most").drop("most")
-    members = shared.cut(sketched.join(buckets.select("bucket"), "bucket", "left_semi").select("id", "bucket", F.col("id").alias("part")))
-    leaders = shared.cut(members.groupBy("bucket").agg(F.min("id").alias("leader")).withColumn("leader_part", F.col("leader")))
-    shared.forget(signed)
+    members = shared.cut(sketched.join(buckets, "bucket").filter("id <> leader"))
+    shared.release(spark)
+
+    # First step: every class with the leaders of its buckets.
+    pairs = members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    of = lambda c, side: signed.select(F.col("id").alias(side), F.col(c).alias(f"{c}_{side}"))
+    pairs = pairs.join(of("counts", "b"), "b").join(of("counts", "a"), "a").select("a", "b", "counts_a", "counts_b")
+    pairs = shared.cut(pairs.mapInArrow(_possible(similarity), "a long, b long"))
+    alike = pairs.join(of("words", "b"), "b").join(of("words", "a"), "a").select("a", "b", "words_a", "words_b")
+    alike = shared.cut(alike.mapInArrow(_verified(similarity), "a long, b long"))
+    parts = shared.cut(components.connected_components(alike).withColumnRenamed("component_id", "part"))
+    shared.forget(pairs, alike)
+
+    # Second step: in buckets of several parts, all classes of different parts; leaders have met all others.
+    placed = members.select("id", "bucket").join(parts, "id", "left").select("id", "bucket", F.coalesce("part", "id").alias("part"), F.lit(1).cast("long").alias("weight"))
+    placed = shared.cut(placed)
+    flagged = _in_tiles(placed, signed.select("id", F.col("counts").alias("content")), TILE, _flagged(similarity), "bucket long, id long, part long, bytes long")
+    again = shared.cut(flagged.groupBy("bucket", "id", "part").agg(F.max("bytes").alias("weight")))
+    links = _in_tiles(again, signed.select("id", F.col("words").alias("content")), TILE_BYTES, _linked(similarity), "a long, b long")
+    # What was a part so far is one vertex now.
+    fresh = links.join(_part(parts, "a"), "a", "left").join(_part(parts, "b"), "b", "left")
+    fresh = fresh.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    merged = shared.cut(components.connected_components(fresh))
+    shared.forget(signed, members, placed, flagged, again, links)
     shared.release(spark)
-    meeting = lambda m: m.select("id").distinct()
-    texts = shared.cut(rows.join(meeting(members), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    counts = None
-    # (id, part): the least id that links have reached so far, for classes with links alone.
-    parts = spark.createDataFrame([], "id long, part long")
-    most = LEADERS
-    while not members.isEmpty():
-        met = members.join(leaders, "bucket").filter("leader_part <> part").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        if counts is not None:  # later rounds compare many that are unlike: most need no alignment, and no text
-            met = met.join(counts.select(F.col("id").alias("b"), F.col("counts").alias("counts_b")), "b").join(counts.select(F.col("id").alias("a"), F.col("counts").alias("counts_a")), "a")
-            met = met.select("a", "b", "counts_a", "counts_b").mapInArrow(_possible(similarity), "a long, b long")
-        pairs = shared.cut(met.distinct())
-        texts_a, texts_b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        met = pairs.join(texts_b, "b").join(texts_a, "a").select("a", "b", "text_a", "text_b")
-        alike = met.mapInArrow(_verified(similarity), "a long, b long, alike boolean").filter("alike").select("a", "b")
-        alike = shared.cut(alike)
-        old = pairs, alike, members, leaders, texts, counts
-        if not alike.isEmpty():
-            # What was a part so far is one vertex now.
-            fresh = alike.join(_part(parts, "a"), "a", "left").join(_part(parts, "b"), "b", "left")
-            fresh = fresh.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
-            merged = shared.cut(components.connected_components(fresh)).select(F.col("id").alias("v"), F.col("component_id").alias("part"))
-            known = parts.unionByName(merged.select(F.col("v").alias("id"), F.col("v").alias("part"))).withColumnRenamed("part", "v")
-            known = known.join(merged, "v", "left").select("id", F.coalesce("part", "v").alias("part"))
-            old = *old, parts
-            parts = shared.cut(known.groupBy("id").agg(F.min("part").alias("part")))
-        # A leader has met all others of its bucket, so it retires. All the rest, those of its part too, goes on until a bucket is of one part.
-        now = members.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("id", "bucket")
-        now = now.join(_part(parts, "id"), "id", "left").select("id", "bucket", F.coalesce("id_part", "id").alias("part"))
-        # Leaders are some of those outside of a bucket's largest part, more in each round; at last all of them.
-        sizes = now.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
-        open_ = sizes.filter("top.n < n").select("bucket", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("others"))
-        again = shared.cut(now.join(open_, "bucket"))
-        chosen = again.filter("part <> top").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("others") < most * (1 << 20))
-        leaders = shared.cut(chosen.select("bucket", F.col("id").alias("leader"), F.col("part").alias("leader_part")))
-        members = again.select("id", "bucket", "part")
-        members._cut_folder = again._cut_folder
-        most *= LEADERS
-        # Few of the texts take part in later rounds.
-        texts = shared.cut(texts.join(meeting(members), "id", "left_semi"))
-        counts = shared.cut(texts.mapInArrow(_counted, "id long, counts binary") if counts is None else counts.join(meeting(members), "id", "left_semi"))
-        shared.forget(*old)
-        shared.release(spark)
-    shared.forget(texts, members, leaders, counts)
-    out = classes.join(parts.select(F.col("id").alias("class_id"), "part"), "class_id", "left")
-    part = F.coalesce("part", "class_id")
-    return out.select(F.col("id").alias(key), "class_id", part.alias("component_id"), (F.col("id") == part).alias("kept"))
+
+    out = classes.join(parts.select(F.col("id").alias("class_id"), "part"), "class_id", "left").select("id", "class_id", F.coalesce("part", "class_id").alias("part"))
+    out = out.join(merged.select(F.col("id").alias("part"), "component_id"), "part", "left")
+    component = F.coalesce("component_id", "part")
+    return out.select(F.col("id").alias(key), "class_id", component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def _part(parts: DataFrame, name: str) -> DataFrame:
@@ -294,10 +392,12 @@ def _part(parts: DataFrame, name: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near copies, that of the least id, with its columns; rows with a null id stay, uncompared.
 
-    Of rows that repeat an id the one with the least text stays.
+    Of rows that repeat an id the one that was compared stays, that of the least text that is not null; of several with that
+    text, the least one by its columns as JSON.
     """
-    kept = near_duplicates(spark, docs, key, text, similarity).filter("kept").select(F.col(key).alias("_kept"))
-    rows = docs.join(kept, docs[key].cast("long") == kept["_kept"], "left_semi")
-    rest = [c for c in docs.columns if c not in (key, text)]
-    one = rows.groupBy(key).agg(F.min(F.struct(text, *rest)).alias("_row")).select(*(F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in docs.columns))
-    return one.unionByName(docs.filter(F.col(key).isNull()))
+    kept_name, row_name = shared.free_names(docs, "kept", "row")
+    compared = near_duplicates(spark, docs, key, text, similarity).filter("kept").select(F.col(key).alias(kept_name))
+    rows = docs.join(compared, docs[key].cast("long") == compared[kept_name], "left_semi")
+    order = F.struct(docs[text].isNull(), docs[text], F.to_json(F.struct(*(docs[c] for c in docs.columns))))
+    one = rows.groupBy(docs[key]).agg(F.min_by(F.struct(*(docs[c] for c in docs.columns)), order).alias(row_name)).select(f"{row_name}.*")
+    return one.unionByName(docs.filter(docs[key].isNull()))

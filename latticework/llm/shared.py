@@ -63,9 +63,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with marks put before them until none is a column of the table."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def fold(key: str, parts: int) -> Column:
-    """crc32 of an id, as text, modulo `parts`: the split of documents into folds."""
-    return F.crc32(F.col(key).cast("string")) % parts
+    """crc32 of an id, as text, modulo `parts`: the split of documents into folds; a null id is in none of them (-1)."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % parts, F.lit(-1))
 
 
 def bounded(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:

@@ -94,7 +94,7 @@ def in_one_bucket(monkeypatch):
     def run(batches):
         for b in signed(batches):
             one = [None if x is None else [1] for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(one, pa.list_(pa.int64()))], b.schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(one, pa.list_(pa.int64())), *b.columns[3:]], b.schema.names)
 
     monkeypatch.setattr(neardup, "_signed", run)
 
@@ -121,6 +121,53 @@ def test_near_duplicates_link_through_members_that_joined_a_leader(spark, monkey
     assert parts_of(spark, [" ".join(w) for w in chain]) == [0] * 9
 
 
+def test_near_duplicates_in_many_small_tiles(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "TILE_BYTES", 400)
+    r = random.Random(14)
+    bases = [text_of(r, 40) for _ in range(12)]
+    texts = [[*w[:k], f"new{k}", *w[k + 1 :]] for w in bases for k in range(r.choice([1, 2, 9]))]
+    texts = [texts[0], *(" ".join(t) for t in r.sample(texts, len(texts)))]
+    texts[0] = " ".join(text_of(r, 40))
+    words = [t.split() for t in texts]
+    want = [min(j for j, b in enumerate(words) if distance(a, b) <= 8) for a in words]
+    assert parts_of(spark, texts) == want
+
+
+def test_two_copies_among_unlike_texts_with_a_shared_passage(spark):
+    """Ten unlike texts share a passage with two copies of each other; the copies have the highest ids."""
+    r = random.Random(15)
+    shared_words = text_of(r, 120)
+    texts = [" ".join([*shared_words, *text_of(r, 160)]) for _ in range(10)]
+    copy = [*shared_words, *text_of(r, 10)]
+    texts += [" ".join(copy), " ".join([*copy[:50], "other", *copy[51:]])]
+    assert parts_of(spark, texts) == [*range(10), 10, 10]
+
+
+def test_repeated_ids_with_different_texts_are_one_row(spark):
+    rows = [(1, "b a text that stands alone here", "x"), (1, "zz yy xx ww vv uu", "y"), (2, "zz yy xx ww vv uu", "z"), (3, None, "n"), (3, "some words of a third", "s"), (3, "some words of a third", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark, docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3}
+    kept = sorted(map(tuple, neardup.deduplicated(spark, docs).collect()))
+    assert kept == [(1, "b a text that stands alone here", "x"), (2, "zz yy xx ww vv uu", "z"), (3, "some words of a third", "a")]
+
+
+def test_counts_never_rule_out_what_is_alike():
+    r = random.Random(16)
+    some = [textscan.mix(np.array([r.randrange(30) for _ in range(r.randint(1, 60))], np.uint64)) for _ in range(80)]
+    short = [(w >> np.uint64(32)).astype(np.uint32) for w in some]
+    a = np.frombuffer(b"".join(map(neardup.counted, short)), neardup._COUNTS)
+    every = neardup.possible_of_all(a, a)
+    for i in range(len(a)):
+        row = neardup.possible(np.repeat(a[i : i + 1], len(a)), a)
+        assert (row == every[i]).all()
+        assert all(every[i, j] for j in range(len(a)) if neardup.aligned(short[i], short[j]))
+    big = np.concatenate([a] * 2)
+    assert (neardup.possible_of_all(big, big)[: len(a), : len(a)] == every).all()
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(10, 40)] + [(5, 5), (None, 3)]
     got = {r["id"]: r["component_id"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
