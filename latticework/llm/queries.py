@@ -14,7 +14,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_documents(spark, shared.table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["via"] == "")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.withColumn("base", base).select("doc_id", *map(count, secrets.KINDS), F.sha2(secrets.told("base"), 256).alias("base_sha256"), secrets.told("spans").alias("spans"), "unopened")
+    return found.withColumn("base", base).select("doc_id", *map(count, secrets.KINDS), F.sha2(secrets.told("base"), 256).alias("base_sha256"), secrets.told("spans").alias("spans"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,28 +2,34 @@
 
 The text itself is the first layer of a worklist. From each layer further ones are made: the layer with its %XX escapes
 decoded, the layer with its Unicode escapes and character references decoded, and for each run of base64 letters what it
-decodes to, from each of the four alignments, unpacked where compressed data begins. Every new layer is scanned again, until none is left; a layer with a content seen
-before at the very same place of the text is not taken up again, so cycles end, and equal contents at other places are told
-there too. Each character of a layer carries the span of the text that it came from, so what is found is told in code points
-of the text, end exclusive.
+decodes to, from each of the four alignments, unpacked where compressed data begins. Every new layer is scanned again, until
+none is left; a layer with a content seen before at the very same place of the text is not taken up again, and compressed
+data that unpacks to what was unpacked before on the way is left alone, so cycles end; equal contents at other places are
+told there too. Each character of a layer carries the span of the text that it came from, so what is found is told in code
+points of the text, end exclusive.
+
+Layers are made one after the other, depth first, so that one chain of them is held at a time. Unpacked data of any size is
+read as a stream, in windows of `WINDOW` bytes that overlap by `OVERLAP`; so are long decoded runs. Nothing is left unopened;
+an encoded run inside such data that is longer than the overlap and crosses a window's end is read as its two parts.
 
 Defined results: null counts as the empty text, which has no spans. Of one kind, matches in one layer are leftmost and do
 not overlap; a match that is too short is dropped after it has consumed its characters. A decoded match that has the very
 span of one in the text itself is told once, as the latter. Repeated rows give repeated results; further columns are
-ignored. One guard is needed against archives that expand without bound: a compressed run that unpacks to more than
-`MOST_UNPACKED` bytes is not opened, and counted in `unopened`.
+ignored, whatever their names. Damaged compressed data counts as far as it can be read.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import gzip
+import io
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +44,8 @@ KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX, LEAST_BASE64 = 6, 20, 24, 16
-MOST_UNPACKED = 64 << 20
-MAIL_LINE = 60
+#: Bytes of decoded data that are scanned at once, and by how many two windows overlap.
+WINDOW, OVERLAP = 4 << 20, 1 << 20
 
 _ESCAPED_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
@@ -102,6 +108,10 @@ class Layer:
             return at, at + 1
         return self.starts, self.ends
 
+    def spans_at(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans from the characters at `first` to those at `last`, as starts and ends."""
+        return (first, last + 1) if self.starts is None else (self.starts[first], self.ends[last])
+
     def name(self) -> bytes:
         """A digest of the content and of the place of each character in the first text."""
         out = sha256(self.text.encode("utf-8", "surrogatepass"))
@@ -177,11 +187,8 @@ def _from_escapes(layer: Layer) -> Layer | None:
     return layer.replaced(changes, "unicode") if changes else None
 
 
-class TooLarge(Exception):
-    pass
-
-
-def _kind(data: bytes | memoryview) -> str | None:
+def _kind(data: bytes) -> str | None:
+    """The format of compressed data that begins like this."""
     if data[:2] == b"\x1f\x8b":
         return "gzip"
     if len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
@@ -189,30 +196,120 @@ def _kind(data: bytes | memoryview) -> str | None:
     return "bzip2" if data[:3] == b"BZh" else "xz" if data[:6] == b"\xfd7zXZ\x00" else "zstd" if data[:4] == b"\x28\xb5\x2f\xfd" else None
 
 
-_MACHINES = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
+class _Pipe(io.RawIOBase):
+    """A stream over chunks of bytes."""
 
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.rest = chunks, memoryview(b"")
 
-def unpacked(data: bytes | memoryview) -> tuple[bytes, str] | None:
-    """What all members of compressed bytes hold, up to the first damaged one, and the format; None if they are not compressed, or the first is damaged."""
-    kind, out = _kind(data), b""
-    if kind is None:
-        return None
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.rest:
+            chunk = next(self.chunks, None)
+            if chunk is None:
+                return 0
+            self.rest = memoryview(chunk)
+        n = min(len(buffer), len(self.rest))
+        buffer[:n] = self.rest[:n]
+        self.rest = self.rest[n:]
+        return n
+
+
+class _Zlib(io.RawIOBase):
+    """Zlib streams that follow each other."""
+
+    def __init__(self, source: io.BufferedReader):
+        self.source, self.machine = source, zlib.decompressobj()
+
+    def read1(self, size: int) -> bytes:
+        while True:
+            if self.machine.eof:
+                rest = self.machine.unused_data or self.source.read(1 << 16)
+                if _kind(rest) != "zlib":
+                    return b""
+                self.machine = zlib.decompressobj()
+            else:
+                rest = self.machine.unconsumed_tail or self.source.read(1 << 16)
+            out = self.machine.decompress(rest, size)
+            if out or not rest:
+                return out
+
+
+_DAMAGED = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
+
+
+def unpacked(chunks: Iterator[bytes], kind: str) -> Iterator[bytes]:
+    """What all members of compressed data hold, in pieces, up to the first damage."""
+    source = io.BufferedReader(_Pipe(chunks))
     try:
         if kind == "zstd":
-            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
-                while part := reader.read(1 << 20):
-                    out += part
-                    if len(out) > MOST_UNPACKED:
-                        raise TooLarge(kind)
-        while kind != "zstd" and _kind(data) == kind:
-            machine = _MACHINES[kind]()
-            out += machine.decompress(data, MOST_UNPACKED + 1 - len(out))
-            if len(out) > MOST_UNPACKED:
-                raise TooLarge(kind)
-            data = machine.unused_data
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return (out, kind) if out else None
-    return out, kind
+            reader = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
+            read = reader.read
+        else:
+            read = {"gzip": lambda f: gzip.GzipFile(fileobj=f), "zlib": _Zlib, "bzip2": bz2.BZ2File, "xz": lzma.LZMAFile}[kind](source).read1
+        while part := read(1 << 16):
+            yield part
+    except _DAMAGED:
+        return
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The data in windows that overlap."""
+    kept, size = [], 0
+    for chunk in chunks:
+        kept.append(chunk)
+        size += len(chunk)
+        if size >= WINDOW + OVERLAP:
+            whole = b"".join(kept)
+            for at in range(0, len(whole) - WINDOW - OVERLAP + 1, WINDOW):
+                yield whole[at : at + WINDOW + OVERLAP]
+            whole = whole[(len(whole) - OVERLAP) // WINDOW * WINDOW :]
+            kept, size = [whole], len(whole)
+    if size:
+        yield b"".join(kept)
+
+
+def _contents(make: Callable[[], Iterator[bytes]], kinds: str) -> Iterator[tuple[bytes, str]]:
+    """Windows of what compressed data holds, unpacked again and again, and the formats on the way; nothing if it is not compressed.
+
+    `make` gives the data anew each time. Data that was met before on the way is a cycle, and ends there.
+    """
+    met: set[bytes] = set()
+    kind, found = _kind(_head(make())), False
+    while kind is not None:
+        name = _digest(make())
+        if name in met:
+            return
+        met.add(name)
+        inner = _unpacking(make, kind)
+        head = _head(inner())
+        if not head:  # it only looked compressed
+            break
+        make, kinds, kind, found = inner, f"{kinds}>{kind}", _kind(head), True
+    if found:
+        yield from ((window, kinds) for window in _windows(make()))
+
+
+def _unpacking(make: Callable[[], Iterator[bytes]], kind: str) -> Callable[[], Iterator[bytes]]:
+    return lambda: unpacked(make(), kind)
+
+
+def _head(chunks: Iterator[bytes]) -> bytes:
+    out = b""
+    for chunk in chunks:
+        out += chunk
+        if len(out) >= 8:
+            break
+    return out
+
+
+def _digest(chunks: Iterator[bytes]) -> bytes:
+    out = sha256()
+    for chunk in chunks:
+        out.update(chunk)
+    return out.digest()
 
 
 #: What bytes must hold for a match or for a further layer.
@@ -221,6 +318,7 @@ _COULD = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[A-Za-z0-
 _PACKED = re.compile(r"H4sI|Qlpo|/Td6WFo|KLUv/|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
 _SEPARATOR = re.compile(r"[/_-]")
 _LONE = re.compile("[\udc80-\udcff]")
+_STANDARD = str.maketrans("-_", "+/")
 
 
 def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray | None]]:
@@ -235,78 +333,102 @@ def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray | None]]:
             yield data[: len(data) // 2 * 2].decode(code, "replace"), None
 
 
-def _opened(layer: Layer, spans: list[tuple[int, int]], unopened: list[int]) -> Iterator[Layer]:
+def _decoded(letters: str) -> bytes:
+    """Base64 letters to bytes; a single letter over is dropped."""
+    letters = letters[: len(letters) - (len(letters) % 4 == 1)]
+    return base64.b64decode(letters + "=" * (-len(letters) % 4))
+
+
+def _opened(layer: Layer, spans: list[tuple[int, int]]) -> Iterator[Layer]:
     """What one run of base64 letters (or the lines of one) decodes to, from each of four alignments, and unpacked from each place where compressed data may begin."""
     raw = "".join(layer.text[a:b] for a, b in spans)
-    body = raw.translate(str.maketrans("-_", "+/"))
-    where = np.concatenate([np.arange(a, b) for a, b in spans])
-    starts, ends = layer.arrays()
-    heads = {0} | {m.start() for m in _PACKED.finditer(body)} | {m.end() for m in _SEPARATOR.finditer(raw)}
-    of: list[list[int]] = [[], [], [], []]
-    for head in sorted(heads):
-        of[head % 4].append(head)
+    body = raw.translate(_STANDARD)
+    via = f"{layer.via}>base64".lstrip(">")
+    begins = np.array([a for a, _ in spans])
+    before = np.cumsum([0, *(b - a for a, b in spans)])[:-1]
+
+    def place(letter: np.ndarray) -> np.ndarray:
+        """Where in the layer letters of the run stand."""
+        line = np.searchsorted(before, letter, side="right") - 1
+        return begins[line] + letter - before[line]
+
+    def of_text(first: int, last: int) -> tuple[int, int]:
+        a, b = (int(x) for x in place(np.array([first, last])))
+        return layer.origin(a, b + 1)
+
+    step, overlap = WINDOW // 3 * 4, OVERLAP // 3 * 4
     for k in range(4):
-        some = body[k : len(body) - ((len(body) - k) % 4 == 1)]
-        data, at = base64.b64decode(some + "=" * (-len(some) % 4)), where[k:]
-        via = f"{layer.via}>base64".lstrip(">")
-        for text, width in _texts(data):
-            if width is None:
-                first, last = (np.broadcast_to(x, len(text)) for x in (starts[at].min(), ends[at].max()))
-            else:
-                stop = np.cumsum(width)
-                first, last = starts[at[(stop - width) * 4 // 3]], ends[at[np.minimum((stop * 4 + 2) // 3, len(at)) - 1]]
-            yield Layer(text, first, last, via)
-        for head in of[k]:
-            found, inner, kinds = None, memoryview(data)[(head - k) // 4 * 3 :], via
-            try:
-                while (step := unpacked(inner)) is not None and step[0] != inner:
-                    inner, kinds = step[0], f"{kinds}>{step[1]}"
-                    found = inner
-            except TooLarge:
-                unopened[0] += 1
-                continue
-            for text, _ in _texts(found) if found else ():
-                yield Layer(text, *(np.broadcast_to(x, len(text)) for x in (starts[where[head:]].min(), ends[where[head:]].max())), kinds)
-
-
-def _from_base64(layer: Layer, flagged: list[tuple[int, np.ndarray]], unopened: list[int]) -> Iterator[Layer]:
-    runs = _runs(layer.text, _BASE64, LEAST_BASE64, flagged)
-    groups = [[r] for r in runs]
-    lines: list[tuple[int, int]] = []
-    for (a, b), (c, d) in pairwise(runs):  # lines of a mail body
-        joined = b - a >= MAIL_LINE and layer.text[b:c] in ("\n", "\r\n")
-        if joined:
-            lines = [*lines, (c, d)] if lines else [(a, b), (c, d)]
-        if lines and not joined:
-            groups.append(lines)
-            lines = []
-    if lines:
-        groups.append(lines)
-    for group in groups:
-        yield from _opened(layer, group, unopened)
-
-
-def scan(text: str | None) -> tuple[list[tuple[str, int, int, str]], int]:
-    """All spans as (kind, start, end, via), by start, kind and end; via is empty for matches in the text itself. And the runs not opened."""
+        for at in range(k, max(k + 1, len(body) - overlap), step):
+            some = body[at : at + step + overlap]
+            for text, width in _texts(_decoded(some)):
+                if width is None:
+                    a, b = of_text(at, at + len(some) - 1)
+                    yield Layer(text, *(np.broadcast_to(np.int64(x), len(text)) for x in (a, b)), via)
+                else:
+                    stop = np.cumsum(width)
+                    first, last = place(at + (stop - width) * 4 // 3), place(np.minimum(at + (stop * 4 + 2) // 3, len(body)) - 1)
+                    yield Layer(text, *layer.spans_at(first, last), via)
+    heads = sorted({0} | {m.start() for m in _PACKED.finditer(body)} | {m.end() for m in _SEPARATOR.finditer(raw)})
+    for head in heads:
+        if _kind(_decoded(body[head : head + 12])) is None:
+            continue
+
+        def make(head: int = head) -> Iterator[bytes]:
+            return (_decoded(body[i : i + (1 << 18)]) for i in range(head, len(body), 1 << 18))
+
+        whole = None
+        for data, kinds in _contents(make, via):
+            whole = whole or of_text(head, len(body) - 1)
+            for text, _ in _texts(data):
+                yield Layer(text, *(np.broadcast_to(np.int64(x), len(text)) for x in whole), kinds)
+
+
+#: The next line of a mail body.
+_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]+)")
+
+
+def _from_base64(layer: Layer, flagged: list[tuple[int, np.ndarray]]) -> Iterator[Layer]:
+    """From each run alone, and from runs that are lines of one length and then one that is not longer."""
+    upto = 0
+    for run in _runs(layer.text, _BASE64, LEAST_BASE64, flagged):
+        yield from _opened(layer, [run])
+        if run[0] < upto:
+            continue
+        lines, full = [run], run[1] - run[0]
+        while lines[-1][1] - lines[-1][0] == full and (m := _LINE.match(layer.text, lines[-1][1])) and m.end() - m.start(1) <= full:
+            lines.append(m.span(1))
+        if len(lines) > 1:
+            upto = lines[-1][1]
+            yield from _opened(layer, lines)
+
+
+def _children(layer: Layer, flagged: list[tuple[int, np.ndarray]]) -> Iterator[Layer]:
+    made = (make(layer) for make in (_from_url, _from_escapes))
+    return chain((x for x in made if x is not None), _from_base64(layer, flagged))
+
+
+def scan(text: str | None) -> list[tuple[str, int, int, str]]:
+    """All spans as (kind, start, end, via), by start, kind and end; via is empty for matches in the text itself."""
     if not text:
-        return [], 0
+        return []
     spans: dict[tuple[int, int, int], str] = {}
-    unopened = [0]
-    work: list[Layer] = [Layer(text, None, None, "")]
-    seen = {work[0].name()}
+    seen: set[bytes] = set()
+    work: list[Iterator[Layer]] = [iter([Layer(text, None, None, "")])]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        name = layer.name()
+        if name in seen:
+            continue
+        seen.add(name)
         flagged = _flagged(layer.text)
         for start, kind, end in base_matches(layer.text, flagged):
             a, b = layer.origin(start, end)
             spans.setdefault((a, kind, b), layer.via)
-        made = [x for x in (_from_url(layer), _from_escapes(layer)) if x]
-        for child in [*made, *_from_base64(layer, flagged, unopened)]:
-            name = child.name()
-            if name not in seen:
-                seen.add(name)
-                work.append(child)
-    return [(KINDS[kind], a, b, via) for (a, kind, b), via in sorted(spans.items())], unopened[0]
+        work.append(_children(layer, flagged))
+    return [(KINDS[kind], a, b, via) for (a, kind, b), via in sorted(spans.items())]
 
 
 def redact(text: str, spans: list[tuple[str, int, int, str]], mark: str = "[REDACTED]") -> str:
@@ -326,17 +448,16 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 
 def scan_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans, unopened) for every row."""
+    """(key, spans) for every row."""
     shared.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan(t) for t in batch.column(1).to_pylist()]
-            spans = [[{"kind": k, "start": a, "end": b, "via": v} for k, a, b, v in s] for s, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _ARROW_SPANS), pa.array([n for _, n in found], pa.int64())], ["key", "spans", "unopened"])
+            spans = [[{"kind": k, "start": a, "end": b, "via": v} for k, a, b, v in scan(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _ARROW_SPANS)], ["key", "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, spans {SPANS}, unopened long").withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, spans {SPANS}").withColumnRenamed("key", key)
 
 
 def redact_documents(spark: SparkSession, docs: DataFrame, text: str = "text", length: str | None = "n_chars", mark: str = "[REDACTED]") -> DataFrame:
@@ -347,7 +468,7 @@ def redact_documents(spark: SparkSession, docs: DataFrame, text: str = "text", l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = batch.column(at).to_pylist()
-            new = [t and redact(t, scan(t)[0], mark) for t in old]
+            new = [t and redact(t, scan(t), mark) for t in old]
             columns = list(batch.columns)
             columns[at] = pa.array(new, pa.string())
             if n is not None:
