@@ -6,7 +6,7 @@ by an automaton of four states whose transition functions are composed by an ass
 made distinct within a chunk, and looked up in a cache; slices that it lacks are merged together, in lock step.
 
 Null counts as the empty text; an empty text has no ids. Texts of any length are handled in pieces, cut only where a
-token ends. Repeated rows give repeated results. Further columns are ignored unless they are asked for by `keep`.
+token ends: before white space, or, where there is none for long, between a letter and a digit. Repeated rows give repeated results. Further columns are ignored unless they are asked for by `keep`.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from . import shared, textscan
 
@@ -30,6 +32,8 @@ CHUNK = 1 << 18
 #: Slices of more bytes are merged one at a time, with a heap.
 LONG = 192
 NONE = np.int32(2**31 - 1)
+#: Between a letter and a digit a token always ends: where a text without white space may be cut.
+_SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?=[0-9])")
 # Letters that one or two further letters complete to a contraction, after an apostrophe.
 ONE_LETTER = "stmd"
 TWO_LETTERS = ["re", "ve", "ll"]
@@ -261,7 +265,7 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) for each piece of a text, in order; texts without ids give nothing."""
-        for chunk in textscan.chunks(texts, CHUNK):
+        for chunk in textscan.chunks(texts, CHUNK, _SAFE_CUT):
             ids, counts = self.encode_chunk(chunk)
             ends = np.cumsum(counts)
             for row, a, b in zip(chunk.rows.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
@@ -319,11 +323,19 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, path: str, key: st
     return encoded.select(encoded[key].alias("key"), encoded[ids].alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def digest_documents(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids: encodes, decodes the ids, and digests both."""
+def digest_documents(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, keep: list[str] = ()) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256), ids if asked for, and the columns in `keep`: encodes, decodes the ids, and digests both.
+
+    A kept column with the name of one of these follows under its own name, with as many marks before it as it takes.
+    """
     sent = spark.sparkContext.broadcast(read_ranks(path))
     shared.small_batches(spark)
-    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    kept: list[str] = []
+    for c in keep:
+        while c.lower() in (x.lower() for x in names + kept):
+            c = f"_{c}"
+        kept.append(c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(sent)
@@ -340,8 +352,11 @@ def digest_documents(spark: SparkSession, docs: DataFrame, path: str, key: str =
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([a.hexdigest() for a, _ in sums], pa.string()), pa.array([b.hexdigest() for _, b in sums], pa.string())]
             if with_ids:
                 columns.append(pa.array([np.concatenate(p) if p else np.empty(0, np.int32) for p in parts], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *kept])
+
+    given = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if with_ids:
+        given.add("ids", T.ArrayType(T.IntegerType()))
+    for c, name in zip(keep, kept, strict=True):
+        given.add(name, docs.schema[c].dataType)
+    return docs.select(docs[key], docs[text], *(docs[c].alias(name) for c, name in zip(keep, kept, strict=True))).mapInArrow(run, given)

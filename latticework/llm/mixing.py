@@ -9,7 +9,8 @@ pseudorandom permutation of the block indices (a Feistel network with cycle walk
 source) maps k to, and blocks are joined by index. All of it depends on hashes alone, so reruns agree.
 
 Defined results: a null text has size 0, and documents of size 0 are never taken. A null source is a source of its own, the
-last. A source without words has target 0. Rows that repeat an id are documents of their own. Further columns are ignored.
+last. A source without words has target 0. Rows that repeat an id are documents of their own for `mix` and `taken`; for
+`mixed_documents` see there. Further columns are ignored.
 The table of sources, one row each, is the only thing that is collected; it is as long as the list of weights to be set.
 """
 
@@ -254,23 +255,43 @@ def _sliced(text: str, cuts: list[tuple[int, int, int]]) -> Iterator[str]:
             yield "\n".join(text[starts[lo] : ends[hi - 1]] for lo, hi in joined)
 
 
+def _named_rows(docs: DataFrame, key: str, text: str, row_name: str, n_name: str) -> DataFrame:
+    """The rows that are mixed, each with a name: one row for each id, the least, and every row without an id.
+
+    Names are the ids; a row without one is named by a hash of all its columns, and by a number where rows are equal.
+    """
+    whole = F.struct(*(docs[c] for c in docs.columns))
+    least = F.min_by(whole, F.struct(docs[text].isNull(), docs[text], F.to_json(whole)))
+    named = lambda rows, id_, hash_, copy: rows.withColumn(row_name, F.struct(id_.alias("id"), hash_.alias("hash"), copy.cast("long").alias("copy")))
+    none, one = F.lit(None).cast("string"), F.lit(1)
+    with_id, no_id = docs.filter(docs[key].isNotNull()), docs.filter(docs[key].isNull())
+    repeated = shared.cut(with_id.groupBy(docs[key].alias(n_name)).agg(F.count("*").alias(row_name)).filter(F.col(row_name) > 1).select(n_name))
+    if not repeated.isEmpty():
+        of_id = docs[key] == repeated[n_name]
+        with_id = with_id.join(repeated, of_id, "left_anti").unionByName(with_id.join(repeated, of_id, "left_semi").groupBy(docs[key]).agg(least.alias(row_name)).select(f"{row_name}.*"))
+    out = named(with_id, F.col(key), none, one)
+    if no_id.isEmpty():
+        return out
+    hashed = no_id.groupBy(F.sha2(F.to_json(whole), 256).alias(n_name)).agg(F.first(whole).alias(row_name), F.count("*").alias(f"{n_name}s"))
+    hashed = hashed.select(n_name, f"{row_name}.*", F.explode(F.sequence(F.lit(1).cast("long"), f"{n_name}s")).alias(f"{n_name}s"))
+    return out.unionByName(named(hashed, F.col(key), F.col(n_name), F.col(f"{n_name}s")).drop(n_name, f"{n_name}s"))
+
+
 def mixed_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", **options) -> DataFrame:
     """The mix as documents: a row for each turn in which words of a document are taken, with those words as its text.
 
-    Of rows that repeat an id the least is mixed; every row with a null id is a document of its own. The length column, if there is one, is set to the new text's.
+    Of rows that repeat an id the one with the least text that is not null is mixed, and of those the least by its columns as
+    JSON; every row with a null id is a document of its own. The length column, if there is one, is set to the new text's.
+    Further columns stay, whatever their names.
     """
     shared.small_batches(spark)
     columns, schema = docs.columns, docs.schema
-    with_id = docs.filter(docs[key].isNotNull()).groupBy(key).agg(F.min(F.struct(*(c for c in columns if c != key))).alias("_least"))
-    with_id = with_id.select(*(F.col(c) if c == key else F.col(f"_least.{c}").alias(c) for c in columns), F.lit(1).alias("_copy"))
-    # Equal rows without an id differ by a number alone; a null hash leaves the order of the others as it is.
-    no_id = docs.filter(docs[key].isNull()).groupBy(*columns).agg(F.count("*").cast("int").alias("_n"))
-    no_id = no_id.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
-    docs = with_id.unionByName(no_id)
-    docs = docs.select(*columns, F.struct(F.col(key).alias("id"), F.when(F.col(key).isNull(), F.sha2(F.to_json(F.struct(*columns, "_copy")), 256)).alias("row")).alias("_row"))
-    m = mix(spark, docs, "_row", text, source, **options)
-    plan = pieces(m, options.get("block_words", BLOCK_WORDS)).filter("times > 0").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("_cuts"))
-    joined = docs.join(plan, docs["_row"] == plan["id"]).select(*columns, "_cuts")
+    row_name, cuts_name, id_name = shared.free_names(docs, "row", "cuts", "mixed_row")
+    docs = _named_rows(docs, key, text, row_name, id_name)
+    m = mix(spark, docs, row_name, text, source, **options)
+    plan = pieces(m, options.get("block_words", BLOCK_WORDS)).filter("times > 0").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias(cuts_name))
+    plan = plan.withColumnRenamed("id", id_name)
+    joined = docs.join(plan, docs[row_name].eqNullSafe(plan[id_name])).select(*columns, cuts_name)
     at, n = columns.index(text), columns.index(length) if length in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

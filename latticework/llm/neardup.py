@@ -36,7 +36,7 @@ EXACT = 30
 #: Classes of words that are counted to rule pairs out.
 BINS = 128
 #: About how many classes make a tile when counts are compared, and how many bytes of words when words are.
-TILE, TILE_BYTES = 1024, 1 << 20
+TILE, TILE_BYTES = 1024, 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,6 +167,69 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return False
 
 
+#: Texts of up to so many words are aligned many pairs at a time, and how many cells of their bands advance together.
+BATCHED, CELLS = 1024, 1 << 17
+
+
+def aligned_pairs(a: list[np.ndarray], b: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """`aligned` for each pair of word sequences; short ones in batches of like lengths."""
+    la, lb = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    longer = np.maximum(la, lb)
+    band = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    out = np.zeros(len(a), bool)
+    open_ = abs(la - lb) <= band
+    for i in np.flatnonzero(open_ & (longer > BATCHED)).tolist():
+        out[i] = aligned(a[i], b[i], similarity)
+    rest = np.flatnonzero(open_ & (longer <= BATCHED))
+    rest = rest[np.lexsort((abs(la - lb)[rest], longer[rest] >> 6))]
+    while len(rest):
+        some = rest[: max(1, CELLS // (int(band[rest[min(len(rest), 2048) - 1]]) + 1))]
+        out[some] = _banded([min(a[i], b[i], key=len) for i in some], [max(b[i], a[i], key=len) for i in some], band[some])
+        rest = rest[len(some) :]
+    return out
+
+
+def _banded(a: list[np.ndarray], b: list[np.ndarray], band: np.ndarray) -> np.ndarray:
+    """Whether each pair's edit distance, a's sequence not being the longer one, is within its band: the rows of all tables advance together.
+
+    A line of the arrays is a diagonal.
+    """
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    # A path that leaves the diagonals between its two ends by k must come back, so it costs 2 k more than they differ.
+    beyond = (band - (lb - la)) // 2
+    left, right = int(beyond.max()), int((beyond + lb - la).max())
+    x = np.full((int(la.max()), len(a)), -1, np.int32)
+    y = np.full((max(int(lb.max()), len(x)) + left + right + 1, len(a)), -1, np.int32)  # what lies outside never counts
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        x[: len(p), i] = p.view(np.int32)
+        y[left : left + len(q), i] = q.view(np.int32)
+    step = np.arange(-left, right + 1, dtype=np.int16)[:, None]
+    cost = np.repeat(np.where(step >= 0, step, 20_000).astype(np.int16), len(a), axis=1)
+    shifts = [1 << k for k in range((len(step) - 1).bit_length())]
+    out, row = np.zeros(len(a), bool), np.arange(len(a))
+    ended = la == 0
+    out[ended] = lb[ended] <= band[ended]
+    for i in range(1, len(x) + 1):
+        new = (y[i - 1 : i + left + right] != x[i - 1]).view(np.int8) + cost
+        np.minimum(new[:-1], cost[1:] + np.int16(1), out=new[:-1])
+        new -= step
+        for k in shifts:  # running minima by doubling; numpy's own accumulation is slower by far
+            np.minimum(new[k:], new[:-k], out=new[k:])
+        new += step
+        cost = new
+        ended = np.flatnonzero(la[row] == i)
+        if len(ended):
+            who = row[ended]
+            out[who] = cost[lb[who] - la[who] + left, ended] <= band[who]
+        if i % 16 == 0:
+            alive = (la[row] > i) & (cost.min(axis=0) <= band[row])
+            if alive.sum() < 0.7 * len(row):
+                row, x, y, cost = row[alive], x[:, alive], y[:, alive], cost[:, alive]
+            if not len(row):
+                break
+    return out
+
+
 _COUNTS = np.dtype([("n", "<u4"), ("bins", np.uint8, BINS)])
 
 
@@ -236,9 +299,8 @@ def _possible(similarity: float):
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ([np.frombuffer(w, np.uint32) for w in batch.column(i).to_pylist()] for i in (2, 3))
-            alike = [aligned(x, y, similarity) for x, y in zip(*texts, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            left, right = ([np.frombuffer(w, np.uint32) for w in batch.column(i).to_pylist()] for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(aligned_pairs(left, right, similarity)))
 
     return run
 
@@ -272,39 +334,77 @@ def _flagged(similarity: float):
     return run
 
 
+def _first_met(a: list[np.ndarray], b: list[np.ndarray], bucket: int) -> np.ndarray:
+    """The matrix of pairs that share no sketch less than this bucket: all others meet in another one too, and are compared there."""
+    less = [[x[x < bucket] for x in side] for side in (a, b)]
+    both = np.intersect1d(*(np.concatenate([np.empty(0, np.int64), *side]) for side in less))
+    there = []
+    for side in less:
+        m = np.zeros((len(side), len(both)), np.float32)
+        for i, x in enumerate(side):
+            m[i, np.searchsorted(both, x[np.isin(x, both)])] = 1
+        there.append(m)
+    return there[0] @ there[1].T == 0
+
+
 def _linked(similarity: float):
     """(a, b): links between classes of different parts of two tiles; those that only repeat what others join are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, made = batch.column(1).to_pylist(), []
+            buckets, same, made = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for row in range(batch.num_rows):
-                ids, parts, content = _side(batch, 2, row)
-                words = [np.frombuffer(w, np.uint32) for w in content]
-                if not same[row]:
-                    ids_b, parts_b, content_b = _side(batch, 3, row)
-                    words_b = [np.frombuffer(w, np.uint32) for w in content_b]
-                else:
-                    ids_b, parts_b, words_b = ids, parts, words
-                up = {p: p for p in {*parts.tolist(), *parts_b.tolist()}}
-
-                def top(p: int, up: dict[int, int] = up) -> int:
-                    while up[p] != p:
-                        up[p] = p = up[up[p]]
-                    return p
-
-                a, b = (np.frombuffer(b"".join(map(counted, w)), _COUNTS) for w in (words, words_b))
+                sides = []
+                for column in (2,) if same[row] else (2, 3):
+                    ids, parts, content = _side(batch, column, row)
+                    words = [np.frombuffer(c["words"], np.uint32) for c in content]
+                    counts = np.frombuffer(b"".join(c["counts"] for c in content), _COUNTS)
+                    sides.append((ids, parts, words, counts, [np.array(c["sketches"], np.int64) for c in content]))
+                (ids, parts, words, a, met), (ids_b, parts_b, words_b, b, met_b) = sides[0], sides[-1]
                 open_ = possible_of_all(a, b, similarity) & (parts[:, None] != parts_b[None, :])
-                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(open_) if same[row] else open_)), strict=True):
-                    p, q = top(int(parts[i])), top(int(parts_b[j]))
-                    if p != q and aligned(words[i], words_b[j], similarity):
-                        up[max(p, q)] = min(p, q)
-                        made.append((int(ids[i]), int(ids_b[j])))
+                if same[row]:
+                    open_ = np.triu(open_)
+                if open_.any():
+                    open_ &= _first_met(met, met_b, buckets[row])
+                for i, j in _joining(parts, words, parts_b, words_b, open_, similarity):
+                    made.append((int(ids[i]), int(ids_b[j])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _joining(parts: np.ndarray, words: list[np.ndarray], parts_b: np.ndarray, words_b: list[np.ndarray], open_: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs among the open ones that are alike and join two parts: a few of each two parts are aligned at a time, ever more of them."""
+    names, at = np.unique(np.concatenate([parts, parts_b]), return_inverse=True)
+    up, few = np.arange(len(names)), 1
+
+    def top(p: int) -> int:
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        return p
+
+    i, j = np.nonzero(open_)
+    while len(i):
+        roots = np.array([top(p) for p in range(len(names))])
+        p, q = roots[at[i]], roots[at[len(parts) + j]]
+        apart = p != q
+        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+        pair = np.minimum(p, q) * len(names) + np.maximum(p, q)
+        order = np.argsort(pair, kind="stable")
+        i, j, pair = i[order], j[order], pair[order]
+        start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
+        rank = np.arange(len(pair)) - np.repeat(start, np.diff(np.append(start, len(pair))))
+        now = rank < few
+        some = np.flatnonzero(now)
+        for k in some[aligned_pairs([words[x] for x in i[some]], [words_b[x] for x in j[some]], similarity)].tolist():
+            p, q = top(int(at[i[k]])), top(int(at[len(parts) + j[k]]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                yield int(i[k]), int(j[k])
+        i, j = i[~now], j[~now]
+        few *= 8
+
+
 def _in_tiles(members: DataFrame, contents: DataFrame, most: int, work, schema: str) -> DataFrame:
     """`work` on every two tiles of a bucket that hold different parts, once; written as a table.
 
@@ -352,12 +452,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     heads = classes.filter("id = class_id").select("id")
     sketched = signed.filter("name IS NOT NULL").select("id", "sketches").join(heads, "id", "left_semi").select("id", F.explode("sketches").alias("bucket"))
     # A class's sketches need to meet only where a bucket holds another class too.
-    buckets = sketched.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).filter("leader < most").drop("most")
-    members = shared.cut(sketched.join(buckets, "bucket").filter("id <> leader"))
+    h = F.xxhash64("id")
+    buckets = sketched.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.min_by("id", h).alias("low"), F.max_by("id", h).alias("high")).filter("leader < most")
+    leaders = F.array_distinct(F.array("leader", "most", "low", "high"))
+    members = shared.cut(sketched.join(buckets.select("bucket", "leader", leaders.alias("leaders")), "bucket").filter("id <> leader"))
     shared.release(spark)
 
     # First step: every class with the leaders of its buckets.
-    pairs = members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = members.select("id", F.explode("leaders").alias("leader")).filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     of = lambda c, side: signed.select(F.col("id").alias(side), F.col(c).alias(f"{c}_{side}"))
     pairs = pairs.join(of("counts", "b"), "b").join(of("counts", "a"), "a").select("a", "b", "counts_a", "counts_b")
     pairs = shared.cut(pairs.mapInArrow(_possible(similarity), "a long, b long"))
@@ -371,7 +473,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     placed = shared.cut(placed)
     flagged = _in_tiles(placed, signed.select("id", F.col("counts").alias("content")), TILE, _flagged(similarity), "bucket long, id long, part long, bytes long")
     again = shared.cut(flagged.groupBy("bucket", "id", "part").agg(F.max("bytes").alias("weight")))
-    links = _in_tiles(again, signed.select("id", F.col("words").alias("content")), TILE_BYTES, _linked(similarity), "a long, b long")
+    links = _in_tiles(again, signed.select("id", F.struct("words", "counts", "sketches").alias("content")), TILE_BYTES, _linked(similarity), "a long, b long")
     # What was a part so far is one vertex now.
     fresh = links.join(_part(parts, "a"), "a", "left").join(_part(parts, "b"), "b", "left")
     fresh = fresh.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))

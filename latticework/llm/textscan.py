@@ -99,15 +99,34 @@ def runs(flag: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n\t\r])")
 
 
-def split_long(text: str, limit: int = CHUNK) -> Iterator[str]:
-    """Pieces of a long text, cut only where white space follows something else: no word or token spans a cut."""
+#: A piece of a text without white space is this many limits long at most, if it may be cut elsewhere.
+_FAR = 8
+
+
+def split_long(text: str, limit: int = CHUNK, else_at: re.Pattern | None = None, anywhere: bool = False) -> Iterator[str]:
+    """Pieces of a long text, cut where white space follows something else: no word or token spans a cut.
+
+    Where there is no such place for long, the text is cut at the next match of `else_at`, or, if `anywhere`, just there: a run
+    without white space of a million characters is then more than one word, the same ones in every equal text.
+    """
     at = 0
     while len(text) - at > limit:
-        m = _CUT.search(text, at + limit)
-        if not m:
+        near = at + _FAR * limit
+        m = _CUT.search(text, at + limit, near + 1)
+        if m:
+            end = m.start()
+        elif anywhere:
+            end = near
+        else:
+            m = else_at and else_at.search(text, at + limit)
+            m = _CUT.search(text, near, m.start() if m else len(text)) or m
+            if not m:
+                break
+            end = m.start()
+        if end >= len(text):
             break
-        yield text[at : m.start()]
-        at = m.start()
+        yield text[at:end]
+        at = end
     yield text[at:] if at else text
 
 
@@ -126,13 +145,13 @@ class Chunk:
         return self.rows[np.searchsorted(self.bounds, at, side="right") - 1]
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[Chunk]:
-    """All texts, in order, in chunks of about `limit` code points; null counts as empty."""
+def chunks(texts: list[str | None], limit: int = CHUNK, else_at: re.Pattern | None = None) -> Iterator[Chunk]:
+    """All texts, in order, in chunks of about `limit` code points, with pieces as `split_long` cuts them (anywhere, if need be, without `else_at`); null counts as empty."""
     rows, parts, size = [], [], 0
     for row, text in enumerate(texts):
         if not text:
             continue
-        for part in split_long(text, limit):
+        for part in split_long(text, limit, else_at, else_at is None):
             if size and size + len(part) > limit:
                 yield Chunk(rows, parts)
                 rows, parts, size = [], [], 0

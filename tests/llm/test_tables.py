@@ -23,7 +23,7 @@ def distance(a, b):
 
 
 def test_alignment_equals_edit_distance():
-    r = random.Random(5)
+    r, pairs, want = random.Random(5), [], []
     for _ in range(400):
         a = [r.randrange(r.choice([3, 50])) for _ in range(r.randint(0, 40))]
         b = list(a)
@@ -31,7 +31,11 @@ def test_alignment_equals_edit_distance():
             at = r.randint(0, len(b))
             b[at : at + r.randint(0, 1)] = [r.randrange(50)] * r.randint(0, 1)
         x, y = (textscan.mix(np.array(z, np.uint64) + np.uint64(9)) for z in (a, b))
-        assert neardup.aligned(x, y) == (distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+        pairs.append((x, y))
+        want.append(distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+    assert [neardup.aligned(x, y) for x, y in pairs] == want
+    assert neardup.aligned_pairs(*([(z >> np.uint64(32)).astype(np.uint32) for z in side] for side in zip(*pairs, strict=True))).tolist() == want
+    assert 40 < sum(want) < 360
 
 
 def text_of(r, n):
@@ -308,6 +312,41 @@ def test_mix_keeps_every_row_without_an_id(spark):
     assert sorted(map(str, mixing.mixed_documents(spark, df.repartition(3)).collect())) == sorted(map(str, got))
 
 
+CLASHING = ["id", "row", "_row", "cuts", "mixed_row", "mixed_rows", "kept", "key", "h", "n", "bucket", "part", "hash", "copy", "size", "start", "source_at", "ids", "n_tokens", "use", "score"]
+
+
+def test_every_stage_carries_columns_named_like_its_own(spark):
+    r = random.Random(17)
+    rows = [(i, " ".join(r.choices(["the", "house", "and", "water", "of", "stone"], k=300)), "en", "ab"[i % 2], 9, *([i] * len(CLASHING)), {"a": i}) for i in range(8)]
+    rows += [rows[0], (None, *rows[1][1:]), (None, *rows[1][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING) + ", m map<string,int>")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = shared.cut(stage(spark, docs, ""))
+        assert set(CLASHING) <= set(docs.columns) or name == "tokens"
+        got = docs.collect()
+        assert got and all(x["part"] == x["id"] == x["row"] == x["m"]["a"] and (x["doc_id"] is None or x["doc_id"] == x["part"]) for x in got), name
+
+
+def test_the_mix_of_slots_by_hand(spark):
+    """`taken` is what the slots say, word by word, when documents are laid end to end in their order."""
+    r = random.Random(18)
+    docs = [(i, " ".join(text_of(r, r.choice([0, 1, 30, 700]))), r.choice(["a", "b", None])) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    m = mixing.mix(spark, df)
+    owner = {}
+    for x in m.docs.collect():
+        for k in range(x["size"]):
+            owner[x["source_at"], x["start"] + k] = x["id"]
+    n = {}
+    for x in m.slots.collect():
+        for k in range(x["words"]):
+            word = (x["source_at"], x["block"] * mixing.BLOCK_WORDS + k)
+            if word in owner:
+                n[owner[word]] = n.get(owner[word], 0) + 1
+    assert len(owner) == sum(len(t.split()) for _, t, _ in docs)
+    assert {x["doc_id"]: x["taken"] for x in mixing.taken(spark, m).collect()} == {i: n.get(i, 0) for i, _, _ in docs}
+
+
 def test_pipeline_stages(spark):
     r = random.Random(10)
     base = [" ".join(r.choices(["the", "of", "house", "and", "water", "stone", "green", "river"], k=60)) + " " + " ".join(text_of(r, 60)) for _ in range(12)]
