@@ -6,10 +6,14 @@ checkpointed, so plans stay short. Every loop is bounded by the hops or edges as
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from latticework.sources.folders import checkpointed
+from latticework.sources.folders import checkpointed, workers_find_us
 
 
 def reachable_edges(edges: DataFrame, roots: DataFrame, max_edges: int = 100, by: list[str] = (), source: str = "from_symbol", target: str = "to_symbol", order: str = "id") -> DataFrame:
@@ -86,14 +90,96 @@ def shortest_path(edges: DataFrame, start, goal, max_hops: int = 6, source: str
     return spark.createDataFrame([], schema)
 
 
-def strong_components(edges: DataFrame, by: list[str] = (), source: str = "source", target: str = "target") -> DataFrame:
+#: Edges up to which a group's components are found in one task, in memory: some 100 MB. Larger groups go by rounds of joins.
+SMALL_GRAPH = 2_000_000
+
+
+def strong_components(edges: DataFrame, by: list[str] = (), source: str = "source", target: str = "target", small: int = SMALL_GRAPH) -> DataFrame:
     """(by, node, component): strongly connected components of more than one node, named by their least node.
 
-    Forward and backward colouring: nodes take the least label that reaches them; those that their own label's node also
-    reaches backwards are its component and leave the graph. Nodes without an edge in or out are trimmed first.
+    Each graph, that is each group of `by`, is looked at as its counted edges allow: graphs of up to `small` edges whole, many
+    of them side by side, and larger ones by rounds over tables.
     """
     by = list(by)
     e = checkpointed(edges.select(*by, F.col(source).alias("u"), F.col(target).alias("v")).filter("u <> v").distinct())
+    if not by:
+        large = e.count() > small
+        return _components_in_rounds(e, by) if large else _components_at_once(e, by)
+    sizes = checkpointed(e.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select(*by))
+    if sizes.isEmpty():
+        return _components_at_once(e, by)
+    return _components_at_once(e.join(sizes, by, "left_anti"), by).unionByName(_components_in_rounds(checkpointed(e.join(sizes, by, "left_semi")), by))
+
+
+def _components_at_once(e: DataFrame, by: list[str]) -> DataFrame:
+    """One task for each graph; a graph's edges are known to be few."""
+    workers_find_us(e.sparkSession)
+    node = e.schema["u"].dataType
+    names = [f.name for f in e.schema if f.name in by]
+    schema = T.StructType([*(e.schema[c] for c in names), T.StructField("node", node), T.StructField("component", node)])
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ends = pa.chunked_array([*t.column("u").chunks, *t.column("v").chunks], type=t.schema.field("u").type).combine_chunks()
+        order = pc.array_sort_indices(ends.unique())
+        nodes = ends.unique().take(order)
+        at = pc.index_in(ends, nodes).to_numpy(zero_copy_only=False)
+        root = tarjan(len(nodes), at[: t.num_rows], at[t.num_rows :])
+        sizes = np.bincount(root, minlength=len(nodes))
+        some = np.flatnonzero(sizes[root] > 1)
+        columns = {c: pa.repeat(k.cast(t.schema.field(c).type), len(some)) for c, k in zip(names, key, strict=True)} if names else {}
+        return pa.table({**columns, "node": nodes.take(pa.array(some)), "component": nodes.take(pa.array(root[some]))})
+
+    groups = e.groupBy(*names) if names else e.groupBy()
+    return groups.applyInArrow(run, schema)
+
+
+def tarjan(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each node's strong component, for edges from u to v among 0..n-1; depth first without recursion."""
+    order = np.argsort(u, kind="stable")
+    heads = v[order].tolist()
+    begin = np.searchsorted(u[order], np.arange(n + 1)).tolist()
+    index, low, place = [-1] * n, [0] * n, begin[:-1]
+    part, open_, count = list(range(n)), [], 0
+    inside = [False] * n
+    for start in range(n):
+        if index[start] >= 0:
+            continue
+        path = [start]
+        while path:
+            x = path[-1]
+            if index[x] < 0:
+                index[x] = low[x] = count
+                count += 1
+                open_.append(x)
+                inside[x] = True
+            while place[x] < begin[x + 1]:
+                y = heads[place[x]]
+                if index[y] < 0:
+                    path.append(y)
+                    break
+                if inside[y]:
+                    low[x] = min(low[x], low[y])
+                place[x] += 1
+            else:
+                path.pop()
+                if low[x] == index[x]:
+                    members = []
+                    while True:
+                        y = open_.pop()
+                        inside[y] = False
+                        members.append(y)
+                        if y == x:
+                            break
+                    least = min(members)
+                    for y in members:
+                        part[y] = least
+    return np.array(part, np.int64)
+
+
+def _components_in_rounds(e: DataFrame, by: list[str]) -> DataFrame:
+    """Forward and backward colouring: nodes take the least label that reaches them; those that their own label's node also
+    reaches backwards are its component and leave the graph. Nodes without an edge in or out are trimmed first.
+    """
     found = None
     while True:
         while True:  # trim: a node of a cycle has edges both ways

@@ -1,5 +1,8 @@
 """All queries of the engine over the driver's tables, with the SQL that each must equal."""
 
-from latticework.plans.queries import ORACLES, QUERIES
+from latticework.plans import detector_queries, queries
+
+QUERIES = queries.QUERIES | detector_queries.QUERIES
+ORACLES = queries.ORACLES | detector_queries.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
