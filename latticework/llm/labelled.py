@@ -17,6 +17,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None
     sizes = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, most / max(1, sizes.get(y, 0))) for y in (0, 1)}
     of = lambda what: F.when(F.col("y") == 1, F.lit(what(1))).otherwise(F.lit(what(0)))
-    chosen = ids.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < of(lambda y: share[y]) * (1 << 20)).withColumn("weight", of(lambda y: 1.0 / share[y]))
+    chosen = ids.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < of(lambda y: share[y]) * (1 << 40)).withColumn("weight", of(lambda y: 1.0 / share[y]))
     texts = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return texts.join(F.broadcast(chosen), "key")

@@ -4,12 +4,19 @@ Twelve voters look at each text: fixed lexicons, lexicons of words and word begi
 labelled rows, and patterns of signs and letter case. Each fires or stays silent, so a text's votes are one of 4096
 patterns, and the votes of all texts are their counts. A generative label model explains these counts by a hidden label:
 expectation-maximisation finds how often each voter fires under either label, and voters that still depend on each other,
-given the label, are tied in a tree, each to one parent, so that echoes do not count twice. Its posteriors are the labels
-on which a linear classifier over hashed words and word beginnings is trained.
+given the label, are tied in a tree, each to one parent, so that echoes do not count twice. Known labels only say where the
+search starts, that is which hidden label is which; the model is fitted to the votes of all texts and to nothing else.
+
+Its posteriors are the labels on which a linear classifier over hashed words and word beginnings is trained, on a bounded
+sample of all texts, labelled or not. At last the known labels place the classifier's threshold: its offset is moved to
+where a score of `threshold` parts them best.
 
 Defined results: null and empty texts fire no voter, have no features and score what the classifier's intercept gives.
-Without labelled rows the fixed lexicons and patterns vote alone. Rows with the same text get the same score; ids,
-languages, sources and further columns are never looked at.
+Without labelled rows the fixed lexicons and patterns vote alone, and the offset stays. Rows with the same text get the same
+score; ids, languages, sources and further columns are never looked at.
+
+Bounded samples: `most` labelled documents of each label teach the lexicons, and `most` documents of either posterior label
+(above or below one half) the classifier.
 """
 
 from __future__ import annotations
@@ -27,9 +34,12 @@ from . import labelled, shared, textscan
 BUCKETS = 1 << 18
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: Labelled documents of each label that lexicons and classifier are fitted on.
-MOST_ROWS = 4000
+#: Labelled documents of each label that lexicons are learned from, and documents of either posterior for the classifier.
+MOST_ROWS = 2500
+#: Words, and word beginnings, that the learned lexicons hold, at most.
 LEXICON = 400
+#: The score above which a text counts as toxic.
+THRESHOLD = 0.3
 VOTERS = 12
 INSULT, SLUR_HEAVY, WORDS_A, WORDS_B, BEGIN_A, BEGIN_B, BEGIN_DENSE, WORDS_MANY, SHOUTING, MASKED, EXCLAIMING, CLEAN = range(VOTERS)
 # English words of abuse.
@@ -152,7 +162,7 @@ class Sample:
 
 
 def _pack(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct features of each text with their counts (at most 255) as bytes, and its number of words."""
+    """The distinct features of each text with their counts as bytes, four for either, and its number of words."""
     parts, words = [[np.empty(0, np.int64)] for _ in texts], np.zeros(len(texts), np.int64)
     for chunk in textscan.chunks(texts):
         bucket, row, whole, word_row = features(chunk)
@@ -165,25 +175,60 @@ def _pack(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     out = []
     for p in parts:
         term, n = np.unique(np.concatenate(p), return_counts=True)
-        out.append(term.astype(np.int32).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes())
+        out.append(term.astype(np.int32).tobytes() + n.astype(np.int32).tobytes())
     return out, words
 
 
+_SAMPLED = "y double, weight double, words long, signs long, x binary"
+
+
+def _sample_of(packed: DataFrame) -> Sample:
+    """Rows of the columns in _SAMPLED as one sparse matrix on the driver, in an order that depends on them alone."""
+    rows = packed.toPandas().sort_values(["x", "y"], kind="stable")
+    n = len(rows)
+    terms = [np.frombuffer(b, np.int32, len(b) // 8) for b in rows.x]
+    counts = [np.frombuffer(b, np.int32, len(b) // 8, len(b) // 2) for b in rows.x]
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+    none = [np.empty(0, np.int32)]
+    term = np.concatenate(none + terms)
+    del terms
+    return Sample(row, term & (BUCKETS - 1), np.concatenate(none + counts), (term >> 18) > 0, rows.y.to_numpy(float), rows.weight.to_numpy(float), rows.words.to_numpy(float), np.zeros(n, np.int64), rows.signs.to_numpy(np.int64))
+
+
+def _packed_batch(texts: list[str | None], y, weight) -> pa.RecordBatch:
+    packed, words = _pack(texts)
+    return pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(weight, pa.float64()), pa.array(words, pa.int64()), pa.array(sign_votes(texts), pa.int64()), pa.array(packed, pa.binary())], ["y", "weight", "words", "signs", "x"])
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None, most: int, key: str, text: str) -> Sample:
+    """The labelled sample."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            packed, words = _pack(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(words, pa.int64()), pa.array(sign_votes(texts), pa.int64()), pa.array(packed, pa.binary())], ["key", "y", "weight", "words", "signs", "x"])
+            yield _packed_batch(batch.column(0).to_pylist(), batch.column(1).cast(pa.float64()), batch.column(2))
 
     chosen = labelled.sample(docs, labels, label, usable, most, key, text)
-    rows = chosen.select("key", "text", "y", "weight").mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, y int, weight double, words long, signs long, x binary").toPandas().sort_values(["key", "x"])
-    terms = [np.frombuffer(b, np.int32, len(b) // 5) for b in rows.x]
-    counts = [np.frombuffer(b, np.uint8, len(b) // 5, len(b) // 5 * 4) for b in rows.x]
-    none = [np.empty(0, np.int32)]
-    term = np.concatenate(none + terms)
-    n = len(rows)
-    return Sample(np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms]), term & (BUCKETS - 1), np.concatenate([np.empty(0, np.uint8), *counts]), (term >> 18) > 0, rows.y.to_numpy(int), rows.weight.to_numpy(float), rows.words.to_numpy(float), np.zeros(n, np.int64), rows.signs.to_numpy(np.int64))
+    return _sample_of(chosen.select("text", "y", "weight").mapInArrow(run, _SAMPLED))
+
+
+def _with_posteriors(docs: DataFrame, lexicons: Lexicons, generative: LabelModel, patterns: np.ndarray, counts: np.ndarray, most: int, key: str, text: str) -> Sample:
+    """A sample of all texts, about `most` with a posterior of at least one half and as many below it; y is the posterior."""
+    high = generative.posterior(patterns) >= 0.5
+    share = [min(1.0, most / max(1, int(counts[high == h].sum()))) for h in (False, True)]
+    sent = docs.sparkSession.sparkContext.broadcast((lexicons, generative, share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicons, generative, share = sent.value
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            p = generative.posterior(look(texts, lexicons).votes)
+            own = np.where(p >= 0.5, share[1], share[0])
+            some = np.flatnonzero(batch.column(1).to_numpy() < own * (1 << 40))
+            yield _packed_batch([texts[i] for i in some.tolist()], p[some], 1 / own[some])
+
+    at = F.pmod(F.xxhash64(docs[key], docs[text]), F.lit(1 << 40))
+    rows = docs.select(docs[text].alias("text"), at.alias("at")).filter(F.col("at") < int(max(share) * (1 << 40)))
+    return _sample_of(rows.mapInArrow(run, _SAMPLED))
 
 
 def learn_lexicons(sample: Sample) -> Lexicons:
@@ -254,7 +299,7 @@ def _maximised(v: np.ndarray, n: np.ndarray, p: np.ndarray, parent: np.ndarray)
             for g in (0, 1) if parent[j] >= 0 else (0,):
                 of = w if parent[j] < 0 else w * (v[:, parent[j]] == g)
                 fires[y, g, j] = (of @ v[:, j] + 0.5) / (of.sum() + 1)
-    return LabelModel(float(np.clip(n @ p / n.sum(), 1e-4, 1 - 1e-4)), parent, np.clip(fires, 1e-4, 1 - 1e-4))
+    return LabelModel(float(np.clip(n @ p / max(n.sum(), 1e-9), 1e-4, 1 - 1e-4)), parent, np.clip(fires, 1e-4, 1 - 1e-4))
 
 
 def _tree(v: np.ndarray, n: np.ndarray, p: np.ndarray, least: float = 0.002) -> np.ndarray:
@@ -289,29 +334,30 @@ def _tree(v: np.ndarray, n: np.ndarray, p: np.ndarray, least: float = 0.002) ->
     return parent
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, known_y: np.ndarray | None = None, known_weight: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
-    """From the counts of all vote patterns; votes with known labels, if any, hold the hidden label to its meaning."""
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, start: LabelModel | None = None, rounds: int = 25) -> LabelModel:
+    """From the counts of all vote patterns; `start` says what the hidden label means, or else the fixed lexicons do."""
     v = ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(np.int64)
     n = counts.astype(float)
-    expected = np.where((patterns & (1 << INSULT | 1 << WORDS_A | 1 << WORDS_B | 1 << BEGIN_DENSE)) > 0, 0.8, 0.05)
-    if known is not None and len(known):
-        kv = ((known[:, None] >> np.arange(VOTERS)) & 1).astype(np.int64)
-        start = _maximised(kv, known_weight, known_y.astype(float), np.full(VOTERS, -1))
-        expected = start.posterior(patterns)
-        share = n.sum() / max(known_weight.sum(), 1e-9)
-        v, n = np.concatenate([v, kv]), np.concatenate([n, known_weight * share])
-        expected = np.concatenate([expected, known_y])
-    free = np.arange(len(v)) < len(patterns)
-    every = np.concatenate([patterns, known]) if known is not None and len(known) else patterns
+    telling = 1 << INSULT | 1 << WORDS_A | 1 << WORDS_B | 1 << BEGIN_DENSE
+    expected = np.where((patterns & telling) > 0, 0.8, 0.05) if start is None else start.posterior(patterns)
     parent = np.full(VOTERS, -1)
-    for step in range(rounds):
+    model = _maximised(v, n, expected, parent)
+    for step in range(rounds if len(n) else 0):
         if step in (2, rounds // 2):  # early, before echoes have drawn the hidden label to themselves; then once more
             parent = _tree(v, n, expected)
         model = _maximised(v, n, expected, parent)
-        expected = np.where(free, model.posterior(every), expected)
+        expected = model.posterior(patterns)
     return model
 
 
+def known_start(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> LabelModel | None:
+    """Where the search starts: how voters fire on rows of known labels; None unless both labels are there."""
+    if not ((y == 1).any() and (y == 0).any()):
+        return None
+    v = ((votes[:, None] >> np.arange(VOTERS)) & 1).astype(np.int64)
+    return _maximised(v, weight, y.astype(float), np.full(VOTERS, -1))
+
+
 # --- the classifier -------------------------------------------------------------------------------------------------
 
 
@@ -329,21 +375,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+#: Features of the sample that are worked on at once.
+_STEP = 1 << 20
+
+
+def _sums(sample: Sample, w: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Each text's weighted sum of features over the root of its number of words."""
+    z = np.zeros(len(sample.y))
+    for a in range(0, len(sample.row), _STEP):
+        part = slice(a, a + _STEP)
+        row = sample.row[part]
+        z[row[0] : row[-1] + 1] += np.bincount(row - row[0], sample.count[part] * w[sample.bucket[part]])
+    return z / root
+
+
 def fit_linear(sample: Sample, target: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression on counts over the root of the words and on votes, by adaptive full-batch steps, to soft labels."""
     w, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
     vw, vsquares = np.zeros(VOTERS), np.full(VOTERS, 1e-6)
     if not len(target):
         return w.astype(np.float32), vw, -2.0
-    n = len(target)
-    x = sample.count / np.sqrt(np.maximum(sample.words, 1))[sample.row]
+    root = np.sqrt(np.maximum(sample.words, 1))
     votes = ((sample.votes[:, None] >> np.arange(VOTERS)) & 1).astype(float)
     g = sample.weight / sample.weight.sum()
     offset = float(np.log((g @ target + 1e-4) / (1 - g @ target + 1e-4)))
     for _ in range(rounds):
-        z = np.bincount(sample.row, x * w[sample.bucket], n) + votes @ vw + offset
+        z = _sums(sample, w, root) + votes @ vw + offset
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) * g
-        slope = np.bincount(sample.bucket, x * error[sample.row], BUCKETS) + 1e-7 * w
+        slope, by_text = 1e-7 * w, error / root
+        for a in range(0, len(sample.row), _STEP):
+            part = slice(a, a + _STEP)
+            slope += np.bincount(sample.bucket[part], sample.count[part] * by_text[sample.row[part]], BUCKETS)
         squares += slope**2
         w -= 0.1 * slope / np.sqrt(squares)
         vote_slope = votes.T @ error + 1e-5 * vw
@@ -353,6 +415,19 @@ def fit_linear(sample: Sample, target: np.ndarray, rounds: int = 80) -> tuple[np
     return w.astype(np.float32), vw, offset
 
 
+def placed_offset(z: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: float, threshold: float = THRESHOLD) -> float:
+    """The offset at which scores of `threshold` part rows of known labels with the largest F1; the middle of the best gap."""
+    if not ((y == 1).any() and (y == 0).any()):
+        return offset
+    order = np.argsort(-z, kind="stable")
+    z, hit, w = z[order], (y == 1)[order], weight[order]
+    caught, told = np.cumsum(w * hit), np.cumsum(w)
+    f1 = np.where(np.append(z[1:] < z[:-1], True), 2 * caught / (told + caught[-1]), 0)
+    best = int(np.argmax(f1))
+    cut = (z[best] + z[best + 1]) / 2 if best + 1 < len(z) else z[best] - 1
+    return offset + float(np.log(threshold / (1 - threshold)) - cut)
+
+
 def count_votes(docs: DataFrame, lexicons: Lexicons, text: str = "text") -> DataFrame:
     """(votes, n) over all rows: at most 2 ** VOTERS rows."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicons)
@@ -369,18 +444,21 @@ def count_votes(docs: DataFrame, lexicons: Lexicons, text: str = "text") -> Data
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_ROWS) -> Model:
+    """Lexicons from labelled rows, the label model from the votes of all texts, the classifier from its posteriors."""
     shared.small_batches(spark)
-    sample = _sampled(docs, labels, label, usable, most, key, text)
-    lexicons = learn_lexicons(sample)
-    sample.votes = cross_votes(sample)
+    known = _sampled(docs, labels, label, usable, most, key, text)
+    lexicons = learn_lexicons(known)
+    known.votes = cross_votes(known)
     counted = count_votes(docs, lexicons, text).orderBy("votes").toPandas()
-    generative = fit_label_model(counted.votes.to_numpy(np.int64), counted.n.to_numpy(np.int64), sample.votes, sample.y, sample.weight)
-    # The known label counts as one more voter, right nineteen times in twenty.
-    p = np.clip(generative.posterior(sample.votes), 1e-4, 1 - 1e-4) if len(sample.y) else np.empty(0)
-    odds = np.log(p / (1 - p)) * 0.5 + np.where(sample.y == 1, 1, -1) * np.log(19)
-    weights, vote_weights, offset = fit_linear(sample, 1 / (1 + np.exp(-odds)))
-    if not len(sample.y):  # nothing to fit on: the fixed lexicon alone
-        weights[_abuse_buckets()] = 8.0
+    patterns, counts = counted.votes.to_numpy(np.int64), counted.n.to_numpy(np.int64)
+    generative = fit_label_model(patterns, counts, known_start(known.votes, known.y, known.weight))
+    sample = _with_posteriors(docs, lexicons, generative, patterns, counts, most, key, text)
+    sample.votes = votes_of(sample, lexicons)
+    weights, vote_weights, offset = fit_linear(sample, sample.y)
+    if len(known.y):
+        votes = ((known.votes[:, None] >> np.arange(VOTERS)) & 1).astype(float)
+        z = _sums(known, weights, np.sqrt(np.maximum(known.words, 1))) + votes @ vote_weights + offset
+        offset = placed_offset(z, known.y, known.weight, offset)
     return Model(lexicons, generative, weights, vote_weights, offset)
 
 
