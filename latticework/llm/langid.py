@@ -9,8 +9,8 @@ Defined results: null texts, empty texts and texts without a letter get `und` an
 is known, or that ties, gets the first language in order. Without any labelled row every text is `und`. Repeated rows
 give repeated results; further columns are ignored.
 
-The model is fitted on a bounded sample (`most_docs` labelled documents of each language, chosen by a hash of the id) and
-has a bounded size (`most_words` and `most_grams` for each language); every text is scored whole.
+The model is fitted on a bounded sample (`most_docs` labelled documents of each language, chosen by a hash of the id), of
+which it holds all words and all n-grams; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, textscan
 
 UNKNOWN = "und"
 GRAMS = 5
@@ -34,8 +34,12 @@ CACHE = 120_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def words_of(text: str | None) -> Counter:
+    """How often each word occurs; long texts are taken piece by piece."""
+    out: Counter = Counter()
+    for part in textscan.split_long(text.lower(), 1 << 20) if text else ():
+        out.update(_WORD.findall(part))
+    return out
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -88,15 +92,17 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _table(rows, langs: list[str]) -> Terms:
     """Smoothed log frequencies of each term in each language."""
-    terms, row = np.unique(rows.term.to_numpy(object).astype(str), return_inverse=True)
-    counts = np.zeros((len(terms), len(langs)))
-    counts[row, np.searchsorted(langs, rows.lang.to_numpy(object).astype(str))] = rows.n.to_numpy(float)
-    logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(terms))))
-    return Terms({t: i for i, t in enumerate(terms.tolist())}, logs.astype(np.float32))
+    at: dict[str, int] = {}
+    for t in sorted(rows.term):
+        at.setdefault(t, len(at))
+    counts = np.zeros((len(at), len(langs)))
+    counts[rows.term.map(at).to_numpy(np.int64), np.searchsorted(langs, rows.lang.to_numpy(object).astype(str))] = rows.n.to_numpy(float)
+    logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(at))))
+    return Terms(at, logs.astype(np.float32))
 
 
-def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 4000, most_words: int = 30_000, most_grams: int = 40_000) -> Model:
-    """Fit on the rows with a language (and `usable`); the model holds at most these words and n-grams of each language."""
+def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 2000) -> Model:
+    """Fit on the rows with a language (and `usable`), about `most_docs` of each language."""
     shared.small_batches(docs.sparkSession)
     rows = docs.select(docs[key].alias("key"), docs[lang].alias("lang"), docs[text].alias("text"), (F.lit(True) if usable is None else usable).alias("use")).filter("use AND lang IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -104,17 +110,12 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
     if not langs:
         return Model([], Terms({}, np.zeros((0, 0))), [])
     share = F.create_map([F.lit(x) for k in langs for x in (k, min(1.0, most_docs / sizes[k]))])
-    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40))
     schema = "lang string, term string, n long"
     words = shared.cut(sample.select("lang", "text").mapInArrow(_count_words, schema).groupBy("lang", "term").agg(F.sum("n").alias("n")))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
-    top = words.filter("n > 1").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most_words)
-    grams = words.mapInArrow(_count_grams, schema).groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
-    grams = grams.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most_grams)
-    grams = grams.select("lang", "term", "n").toPandas()
+    grams = words.mapInArrow(_count_grams, schema).groupBy("lang", "term").agg(F.sum("n").alias("n")).toPandas()
     size = grams.term.str.len()
-    return Model(langs, _table(top.select("lang", "term", "n").toPandas(), langs), [_table(grams[size == k], langs) for k in range(GRAMS + 1)])
+    return Model(langs, _table(words.toPandas(), langs), [_table(grams[size == k], langs) for k in range(GRAMS + 1)])
 
 
 class Scorer:
@@ -149,7 +150,7 @@ class Scorer:
         return rows
 
     def score(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text))
+        counts = words_of(text)
         if not counts or not self.model.langs or not any(any(map(str.isalpha, w)) for w in counts):
             return UNKNOWN, 0.0
         n = np.fromiter(counts.values(), np.float64, len(counts))
@@ -163,7 +164,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_
     """(key, keep..., lang_pred, score) for every row."""
     sent = spark.sparkContext.broadcast(model)
     shared.small_batches(spark)
-    kept = [docs[key].alias("key"), docs[text].alias("_text"), *(docs[c].alias(c) for c in keep)]
+    (text_name,) = shared.free_names(docs, "text_")
+    kept = [docs[key].alias("key"), docs[text].alias(text_name), *(docs[c].alias(c) for c in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)

@@ -8,8 +8,8 @@ if the alignment of their words, in a band as wide as the similarity allows, cos
 Shingles are of three words, not of five, because an edit in every fifth word leaves a similarity of 0.8 and no shingle of five.
 
 The job is done on classes of equal word sequences, so exact copies cost nothing more. It has two steps, and neither caps or
-drops a candidate pair. First each class is compared with the least id of every bucket (the texts that share one sketch);
-links found so make parts. Then, in every bucket that still holds several parts, all classes of different parts meet in
+drops a candidate pair. First each class is compared with the least and the largest id of every bucket (the texts that share
+one sketch); links found so make parts. Then, in every bucket that still holds several parts, all classes of different parts meet in
 tiles: a tile is a bounded number of classes, two tiles are compared as matrices of word counts, which rule nearly all pairs
 out, and only classes that have a possible partner meet again with their words, to be aligned. Pairs that one part already
 holds are not compared, and what a pair of tiles gives back is a spanning forest of its links.
@@ -452,14 +452,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     heads = classes.filter("id = class_id").select("id")
     sketched = signed.filter("name IS NOT NULL").select("id", "sketches").join(heads, "id", "left_semi").select("id", F.explode("sketches").alias("bucket"))
     # A class's sketches need to meet only where a bucket holds another class too.
-    h = F.xxhash64("id")
-    buckets = sketched.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.min_by("id", h).alias("low"), F.max_by("id", h).alias("high")).filter("leader < most")
-    leaders = F.array_distinct(F.array("leader", "most", "low", "high"))
-    members = shared.cut(sketched.join(buckets.select("bucket", "leader", leaders.alias("leaders")), "bucket").filter("id <> leader"))
+    buckets = sketched.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).filter("leader < most")
+    members = shared.cut(sketched.join(buckets, "bucket").filter("id <> leader"))
     shared.release(spark)
 
-    # First step: every class with the leaders of its buckets.
-    pairs = members.select("id", F.explode("leaders").alias("leader")).filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    # First step: every class with the two leaders of each of its buckets.
+    pairs = members.select("id", F.explode(F.array("leader", "most")).alias("leader")).filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     of = lambda c, side: signed.select(F.col("id").alias(side), F.col(c).alias(f"{c}_{side}"))
     pairs = pairs.join(of("counts", "b"), "b").join(of("counts", "a"), "a").select("a", "b", "counts_a", "counts_b")
     pairs = shared.cut(pairs.mapInArrow(_possible(similarity), "a long, b long"))

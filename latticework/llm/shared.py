@@ -83,4 +83,4 @@ def bounded(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:
     """About `most` of `rows` rows, the same ones each time, by a hash of the key; all, if there are fewer."""
     if rows <= most:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(most / rows * (1 << 30)))
+    return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) < int(most / rows * (1 << 40)))
