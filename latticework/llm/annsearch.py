@@ -2,15 +2,18 @@
 
 A vector is the sum of one full-dimensional codeword from each of `BOOKS` codebooks, plus a rest. The codebooks are fitted
 on a bounded sample: each to the residuals of those before it, and then all of them together by least squares. Every vector
-is encoded by a beam search over the sums, and kept with its own length and that of its reconstruction. A query scores a
-block of vectors by adding up entries of its lookup table (its products with all codewords), set right by the two lengths;
-the best `RERANK` of each block are scored again exactly, in double precision, on the original vectors, and the best of all
-blocks are the answer. Queries and vectors meet in blocks of bounded size.
+is encoded by a beam search over the sums, and kept with the ratio of its own length to that of its reconstruction. A query
+scores a block of vectors by adding up entries of its lookup table (its products with all codewords), set right by the ratio;
+only codes travel for that. The best `RERANK` vectors of all blocks, by these scores, are scored again exactly, in double
+precision, on the original vectors, and the best of them are the answer. Tables of every size go this way.
+
+A block holds vectors by a hash, so its share of the best `RERANK` is as large as its share of all vectors, but for chance;
+it gives six standard deviations more than that.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part. Rows that repeat an
-id count once, with the least of their vectors. Queries only meet vectors of their own length; blocks with a length that the
-sample lacks are scored exactly. Equal vectors in a block are ranked once and all counted, so copies displace nothing. Ties
-go to the smaller id; a query with fewer candidates gets them all. Further columns are ignored.
+id count once, with the least of their vectors. Queries only meet vectors of their own length; lengths that the sample lacks
+are scored exactly. Equal vectors in a block are ranked once and all counted, so copies displace nothing. Ties go to the
+smaller id; a query with fewer candidates gets them all. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from . import embdup, shared
 
 BOOKS, WORDS, BEAM = 12, 256, 4
-#: Vectors that the codebooks are fitted on, at most; vectors and queries of a block; vectors of a block scored exactly.
+#: Vectors that the codebooks are fitted on, at most; vectors and queries of a block; vectors scored exactly for each query.
 SAMPLE, BLOCK, QUERIES, RERANK = 8192, 8192, 4096, 512
 
 
@@ -101,46 +104,71 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, joint: int = 2, s
     return found
 
 
-def best_of_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: list[np.ndarray], codes: np.ndarray | None, ratio: np.ndarray, books: Codebooks | None, top: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's best in one block: x are distinct vectors, ids the rows that have each."""
+def guessed(q: np.ndarray, codes: np.ndarray, ratio: np.ndarray, books: Codebooks, most: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, vector's place, guess) of the best `most` vectors of one block for each query, by lookup tables."""
+    words = len(books.words[0])
+    table = (q.astype(np.float32) @ books.flat.T.astype(np.float32)).T.copy()
+    rows = codes.astype(np.int64) + np.arange(codes.shape[1]) * words
+    most, out = min(most, len(codes)), []
+    for a in range(0, len(q), step):
+        part = slice(a, min(a + step, len(q)))
+        guess = table[rows[:, 0], part]
+        for b in range(1, rows.shape[1]):
+            guess = guess + table[rows[:, b], part]
+        guess *= ratio[:, None].astype(np.float32)
+        best = np.argpartition(-guess, most - 1, axis=0)[:most]
+        out.append((np.repeat(np.arange(part.start, part.stop), most), best.T.ravel(), np.take_along_axis(guess, best, axis=0).T.ravel()))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def exact_best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: list[np.ndarray], at_q: np.ndarray, at_x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score): the best of the shortlisted vectors of one block for each query; ids are the rows that have each vector."""
+    order = np.argsort(at_q, kind="stable")
+    at_q, at_x = at_q[order], at_x[order]
+    score = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", q[at_q[a : a + 65536]], x[at_x[a : a + 65536]]) for a in range(0, len(at_q), 65536))])
     found_q, found_v, scores = [], [], []
-    if books is not None:
-        table = (q.astype(np.float32) @ books.flat.T.astype(np.float32)).T.copy()
-    for a in range(0, len(q), 256):
-        part = slice(a, min(a + 256, len(q)))
-        if books is None or len(x) <= rerank:
-            chosen = np.tile(np.arange(len(x)), (part.stop - part.start, 1))
-        else:
-            guess = table[codes[:, 0], part]
-            for b in range(1, codes.shape[1]):
-                guess = guess + table[b * len(books.words[0]) + codes[:, b].astype(np.int64), part]
-            guess *= ratio[:, None].astype(np.float32)
-            chosen = np.argpartition(-guess, rerank - 1, axis=0)[:rerank].T
-        for i, rows in zip(range(part.start, part.stop), chosen, strict=True):
-            exact = np.einsum("ij,j->i", x[rows], q[i])
-            # One more than `top` vectors: the query's own row may be among them, alone in its vector.
-            if len(rows) > top + 1:
-                least = np.partition(exact, len(exact) - top - 1)[len(exact) - top - 1]
-                rows, exact = rows[exact >= least], exact[exact >= least]
-            v = np.concatenate([ids[r][: top + 1] for r in rows])
-            s = np.repeat(exact, [min(len(ids[r]), top + 1) for r in rows])
-            s, v = s[v != q_ids[i]], v[v != q_ids[i]]
-            order = np.lexsort((v, -s))[:top]
-            found_q.append(np.full(len(order), q_ids[i]))
-            found_v.append(v[order])
-            scores.append(s[order])
+    for i, a, b in zip(*(z.tolist() for z in (np.unique(at_q), np.searchsorted(at_q, np.unique(at_q)), np.searchsorted(at_q, np.unique(at_q), side="right"))), strict=True):
+        rows, exact = at_x[a:b], score[a:b]
+        # One more than `top` vectors: the query's own row may be among them, alone in its vector.
+        if len(rows) > top + 1:
+            least = np.partition(exact, len(exact) - top - 1)[len(exact) - top - 1]
+            rows, exact = rows[exact >= least], exact[exact >= least]
+        v = np.concatenate([ids[r][: top + 1] for r in rows])
+        s = np.repeat(exact, [min(len(ids[r]), top + 1) for r in rows])
+        s, v = s[v != q_ids[i]], v[v != q_ids[i]]
+        order = np.lexsort((v, -s))[:top]
+        found_q.append(np.full(len(order), q_ids[i]))
+        found_v.append(v[order])
+        scores.append(s[order])
     none = [np.empty(0, np.int64)]
     return np.concatenate(none + found_q), np.concatenate(none + found_v), np.concatenate([np.empty(0), *scores])
 
 
-def _searched(books: dict, top: int, rerank: int):
+def _guesses(books, most):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for width, q_data, q_ids, data, starts, ids, codes, ratio in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                x = np.frombuffer(data, np.float64).reshape(-1, width)
-                own = np.split(np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int64)[1:])
+            for width, part, block, q_data, codes, ratio in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                q, r = np.frombuffer(q_data, np.float64).reshape(-1, width), np.frombuffer(ratio, np.float64)
                 model = books.value.get(width)
-                made = best_of_block(np.frombuffer(q_data, np.float64).reshape(-1, width), np.frombuffer(q_ids, np.int64), x, own, np.frombuffer(codes, np.uint8).reshape(len(x), -1) if model else None, np.frombuffer(ratio, np.float64), model, top, rerank)
+                if model is None:  # a length that the sample lacks: every vector is scored exactly
+                    i, j, guess = np.repeat(np.arange(len(q)), len(r)), np.tile(np.arange(len(r)), len(q)), np.full(len(q) * len(r), np.inf)
+                else:
+                    i, j, guess = guessed(q, np.frombuffer(codes, np.uint8).reshape(len(r), -1), r, model, most[width])
+                for a in range(0, len(i), 1 << 18):
+                    s = slice(a, a + (1 << 18))
+                    n = len(i[s])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(i[s].astype(np.int32)), pa.array(j[s].astype(np.int32)), pa.array(guess[s].astype(np.float32))], ["width", "part", "block", "at_q", "at_x", "guess"])
+
+    return run
+
+
+def _reranked(top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (width, q_data, q_ids, data, starts, ids) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)):
+                pairs = batch.column(6)[k].values
+                own = np.split(np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int64)[1:])
+                made = exact_best(np.frombuffer(q_data, np.float64).reshape(-1, width), np.frombuffer(q_ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, width), own, pairs.field("at_q").to_numpy(), pairs.field("at_x").to_numpy(), top)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["query_id", "vec_id", "score"])
 
     return run
@@ -155,7 +183,7 @@ def search(spark: SparkSession, table: DataFrame, is_query: Column, key: str = "
     taken: dict[int, list] = {}
     for r in shared.bounded(rows, "id", sum(n for n, _ in sizes.values()), sample).select("id", "v").orderBy("id", "v").collect():
         taken.setdefault(len(r["v"]), []).append(r["v"])
-    books = spark.sparkContext.broadcast({w: fit(np.array(v)) for w, v in taken.items() if len(v) >= 4 * BOOKS})
+    books = spark.sparkContext.broadcast({w: fit(np.array(v)) for w, v in taken.items()})
     blocks = F.create_map([F.lit(k) for w, (n, _) in sizes.items() for k in (w, -(-n // BLOCK))]) if sizes else F.lit(None).cast("map<int,int>")
     parts = F.create_map([F.lit(k) for w, (_, n) in sizes.items() for k in (w, max(1, -(-n // QUERIES)))]) if sizes else F.lit(None).cast("map<int,int>")
     h = F.xxhash64("id")
@@ -192,13 +220,27 @@ def search(spark: SparkSession, table: DataFrame, is_query: Column, key: str = "
     part = F.pmod(h, parts[F.col("width")]).cast("int").alias("part")
     stored = shared.cut(rows.select("id", "v", "width", block).groupBy("width", "block").applyInArrow(packed, "width int, block int, data binary, starts binary, ids binary, codes binary, ratio binary"))
     queries = shared.cut(rows.filter("query").select("id", "v", "width", part).groupBy("width", "part").applyInArrow(asked, "width int, part int, q_data binary, q_ids binary"))
+    # How many of the best `rerank` a block may hold.
+    most = {}
+    for w, (n, _) in sizes.items():
+        share = rerank * min(1.0, BLOCK / n)
+        most[w] = min(rerank, int(share + 6 * share**0.5 + 8))
     meet = queries.select("width", "part").join(stored.select("width", "block").hint("merge"), "width")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work = meet.repartition(n, F.xxhash64("width", "part", "block")).join(queries.hint("merge"), ["width", "part"]).join(stored.hint("merge"), ["width", "block"])
+    meet = meet.repartition(n, F.xxhash64("width", "part", "block"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     try:
-        found = shared.cut(work.select("width", "q_data", "q_ids", "data", "starts", "ids", "codes", "ratio").mapInArrow(_searched(books, top, rerank), "query_id long, vec_id long, score double"))
+        work = meet.join(queries.select("width", "part", "q_data").hint("merge"), ["width", "part"]).join(stored.select("width", "block", "codes", "ratio").hint("merge"), ["width", "block"])
+        guesses = work.select("width", "part", "block", "q_data", "codes", "ratio").mapInArrow(_guesses(books, most), "width int, part int, block int, at_q int, at_x int, guess float")
+        place = F.row_number().over(Window.partitionBy("width", "part", "at_q").orderBy(F.desc("guess"), "block", "at_x"))
+        exact = F.col("guess") == float("inf")
+        short = guesses.withColumn("place", place).filter((F.col("place") <= rerank) | exact) if len(taken) < len(sizes) else guesses.withColumn("place", place).filter(F.col("place") <= rerank)
+        pairs = short.groupBy("width", "part", "block").agg(F.collect_list(F.struct("at_q", "at_x")).alias("pairs"))
+        pairs = shared.cut(pairs)
+        work = pairs.join(queries.hint("merge"), ["width", "part"]).join(stored.select("width", "block", "data", "starts", "ids").hint("merge"), ["width", "block"])
+        found = shared.cut(work.select("width", "q_data", "q_ids", "data", "starts", "ids", "pairs").mapInArrow(_reranked(top), "query_id long, vec_id long, score double"))
     finally:
         shared.small_batches(spark)
+    shared.forget(stored, queries, pairs)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -240,6 +240,21 @@ def test_neighbours_reach_brute_force(spark, monkeypatch):
     assert annsearch.search(spark, df.limit(0), F.lit(True)).collect() == []
 
 
+def test_neighbours_by_two_in_a_hundred(spark, monkeypatch):
+    """20 nearest of 6000 vectors, of which 120 are scored exactly; and of a table of one block as of many."""
+    r = np.random.default_rng(12)
+    x = (r.normal(size=(6000, 24)) * np.linspace(0.5, 1.5, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = {q: np.argsort(-np.where(np.arange(6000) == q, -np.inf, x.astype(np.float64) @ x[q].astype(np.float64)), kind="stable")[:20] for q in range(0, 6000, 200)}
+    for block in (500, 8192):
+        monkeypatch.setattr(annsearch, "BLOCK", block)
+        got = {}
+        for row in annsearch.search(spark, df, F.col("vec_id") % 200 == 0, rerank=120).collect():
+            got.setdefault(row["query_id"], set()).add(row["vec_id"])
+        assert all(len(got[q]) == 20 for q in want)
+        assert sum(len(got[q] & set(w.tolist())) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
 def test_neighbours_with_few_candidates_and_ties(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (40, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in annsearch.search(spark, df, F.col("vec_id") == 0).orderBy("rank").collect()]
