@@ -293,6 +293,11 @@ def page(rows: DataFrame, order: list[Column | str], limit: int = constants.PAGE
     return cut.join(F.broadcast(total)).withColumn("truncated", F.col("total") > offset + limit)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in an order; for short tables, such as the new services of one repository."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def top_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= n)

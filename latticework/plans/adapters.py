@@ -56,19 +56,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(into)
 
 
-def event_edges(spark: SparkSession, sf_dir: str, kind: str = "purchase", value: float = 150) -> DataFrame:
-    """(source, target): a user and the next user with a large event of one kind; a sparse graph with one big cycle."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events").filter((F.col("event_type") == kind) & (F.col("value") > value))
-    nxt = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return e.select(F.col("user_id").alias("source"), nxt.alias("target")).filter("target IS NOT NULL").distinct()
-
-
-def hash_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, target): suppliers by arithmetic on their parts; a graph with several strong components."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 AND l_linenumber = 7")
-    return rows.select(F.col("l_suppkey").alias("source"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 65).alias("target")).distinct()
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target) of all lines: from a supplier to a part for the flag A, back for R, and from a part to its brand for N."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("p"), F.col("l_returnflag").alias("flag"), "l_partkey")
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    rows = lines.join(brands, "l_partkey")
+    source, target = F.when(F.col("flag") == "A", F.col("s")).otherwise(F.col("p")), F.when(F.col("flag") == "A", F.col("p")).when(F.col("flag") == "R", F.col("s")).otherwise(F.col("p_brand"))
+    return rows.select(source.alias("source"), target.alias("target")).distinct()
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

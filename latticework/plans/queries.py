@@ -117,9 +117,10 @@ def channel_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.channel_links(adapters.messages(spark, sf_dir)).groupBy("from_service_id", "to_service_id").agg(F.count("*").alias("channels"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem a WHERE l_returnflag = 'A' AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_partkey = a.l_partkey AND r.l_suppkey = a.l_suppkey)")
 def without_counterpart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.without(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")  # noqa: E741
+    return relational.without(l.filter("l_returnflag = 'A'").drop("l_returnflag").distinct(), l.filter("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"])
 
 
 @query("""WITH a AS (SELECT l_partkey, l_suppkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT l_partkey, l_suppkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag FROM lineitem WHERE l_linestatus <> 'F')
@@ -129,10 +130,12 @@ def without_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.without(rows.filter("l_linestatus = 'F'").drop("l_linestatus"), rows.filter("l_linestatus <> 'F'"), ["l_partkey"], ["flag"])
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'A')")
+@query("""WITH n AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N') SELECT n.l_partkey, n.l_suppkey FROM n WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_partkey = n.l_partkey AND r.l_suppkey = n.l_suppkey AND r.l_returnflag = 'R')
+    AND NOT EXISTS (SELECT 1 FROM lineitem a WHERE a.l_partkey = n.l_partkey AND a.l_suppkey = n.l_suppkey AND a.l_returnflag = 'A')""")
 def without_either(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")  # noqa: E741
-    return relational.without_any(table(spark, sf_dir, "part").select("p_partkey"), (l.filter("l_returnflag = 'R'"), ["p_partkey"]), (l.filter("l_returnflag = 'A'"), ["p_partkey"]))
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")  # noqa: E741
+    keys = ["l_partkey", "l_suppkey"]
+    return relational.without_any(l.filter("l_returnflag = 'N'").select(*keys).distinct(), (l.filter("l_returnflag = 'R'"), keys), (l.filter("l_returnflag = 'A'"), keys))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 50)")
@@ -292,34 +295,33 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graphs ---------------------------------------------------------------------------------------------------------
 
-_EVENT_EDGES = """edges AS (SELECT DISTINCT source, target FROM (SELECT user_id AS source, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS target FROM events WHERE event_type = 'purchase' AND value > 150) WHERE target IS NOT NULL)"""
+_TRADE_EDGES = """edges AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS source, CASE l_returnflag WHEN 'A' THEN 'P' || l_partkey WHEN 'R' THEN 'S' || l_suppkey ELSE p_brand END AS target
+    FROM lineitem JOIN part ON l_partkey = p_partkey), walk(node, hops) AS (SELECT min(source), 0 FROM edges UNION SELECT target, hops + 1 FROM walk JOIN edges ON node = source WHERE hops < 6)"""
 
 
-@query(f"""WITH RECURSIVE {_EVENT_EDGES}, walk(node, hops) AS (SELECT min(source), 0 FROM edges UNION SELECT target, hops + 1 FROM walk JOIN edges ON node = source WHERE hops < 6) SELECT node, min(hops) AS hops FROM walk WHERE node IS NOT NULL GROUP BY 1""")
+@query(f"WITH RECURSIVE {_TRADE_EDGES} SELECT node, min(hops) AS hops FROM walk WHERE node IS NOT NULL GROUP BY 1")
 def reachable_within_six(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = adapters.event_edges(spark, sf_dir)
+    e = adapters.trade_edges(spark, sf_dir)
     return graph.reachable_nodes(e, e.agg(F.min("source").alias("node")).filter("node IS NOT NULL"), 6)
 
 
-_HASH_EDGES = "edges AS (SELECT DISTINCT l_suppkey AS source, (l_partkey * 7 + l_suppkey) % 65 AS target FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7)"
-
-
-@query(f"""WITH RECURSIVE {_HASH_EDGES}, closure(source, target) AS (SELECT source, target FROM edges WHERE source <> target UNION SELECT c.source, e.target FROM closure c JOIN edges e ON c.target = e.source),
-    mutual AS (SELECT a.source AS node, a.target AS other FROM closure a JOIN closure b ON a.source = b.target AND a.target = b.source) SELECT node, min(other) AS component FROM mutual GROUP BY 1 HAVING count(DISTINCT other) > 1""")
-def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.strong_components(adapters.hash_edges(spark, sf_dir))
-
-
-@query(f"""WITH RECURSIVE {_HASH_EDGES}, closure(source, target, hops) AS (SELECT DISTINCT source, source, 0 FROM edges UNION SELECT c.source, e.target, c.hops + 1 FROM closure c JOIN edges e ON c.target = e.source WHERE hops < 6)
-    SELECT min(hops) AS hops FROM closure WHERE source = (SELECT min(source) FROM edges) AND target = (SELECT max(target) FROM edges) HAVING min(hops) IS NOT NULL""")
+@query(f"WITH RECURSIVE {_TRADE_EDGES} SELECT min(hops) AS hops FROM walk WHERE node = (SELECT max(target) FROM edges) HAVING min(hops) IS NOT NULL")
 def shortest_path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = adapters.hash_edges(spark, sf_dir)
+    e = adapters.trade_edges(spark, sf_dir)
     ends = e.agg(F.min("source").alias("a"), F.max("target").alias("b")).collect()[0]
     if ends["a"] is None:
         return spark.createDataFrame([], "hops int")
     return graph.shortest_path(e, ends["a"], ends["b"], 6).select("hops")
 
 
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT l_suppkey AS source, CAST(substr(p_brand, 7) AS BIGINT) AS target FROM lineitem JOIN part ON l_partkey = p_partkey), closure(source, target) AS (SELECT source, target FROM edges WHERE source <> target UNION SELECT c.source, e.target FROM closure c JOIN edges e ON c.target = e.source),
+    mutual AS (SELECT a.source AS node, least(a.source, a.target) AS other FROM closure a JOIN closure b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target) SELECT node, min(other) AS component FROM mutual GROUP BY 1""")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers lead to the suppliers whose numbers are those of their parts' brands."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 7, 9).cast("long").alias("target"))
+    return graph.strong_components(table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("source")).join(parts, "l_partkey").select("source", "target"))
+
+
 @query("""WITH o AS (SELECT user_id AS service, event_type AS kind, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS count FROM events WHERE value > 40 GROUP BY 1, 2), s AS (SELECT DISTINCT user_id AS service, event_type AS kind FROM events WHERE value < 10)
     SELECT service, kind, 'observed_only' AS state, CAST(count AS BIGINT) AS count FROM o ANTI JOIN s USING (service, kind) UNION ALL SELECT service, kind, 'static_only', NULL FROM s ANTI JOIN o USING (service, kind)""")
 def runtime_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,13 +379,14 @@ def detected_non_atomic_publishing(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 @query("""WITH post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY 1),
-    st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM len) AS words), q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS term FROM benchmark)),
-    m AS (SELECT item_id, q.term, doc_id, tf, count(*) OVER (PARTITION BY item_id, q.term) AS df FROM q JOIN post ON q.term = post.term),
-    s AS (SELECT item_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / words))), 6) AS score FROM m JOIN len USING (doc_id), st GROUP BY 1, 2)
+    st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM len) AS words), q AS (SELECT DISTINCT item_id, lower(term) AS q FROM (SELECT item_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9]+')) AS term FROM benchmark)),
+    sizes AS (SELECT DISTINCT length(q) AS k FROM q), words_ AS (SELECT DISTINCT q FROM q), hits AS (SELECT q, term FROM (SELECT term, substr(term, 1, k) AS q FROM (SELECT DISTINCT term FROM post) t, sizes WHERE length(term) >= k) JOIN words_ USING (q)),
+    w AS (SELECT q, doc_id, sum(tf) AS tf FROM hits JOIN post USING (term) GROUP BY 1, 2), f AS (SELECT q, count(*) AS df FROM w GROUP BY 1),
+    s AS (SELECT item_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / words))), 6) AS score FROM q JOIN w USING (q) JOIN f USING (q) JOIN len USING (doc_id), st GROUP BY 1, 2)
     SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 8""")
 def full_text_top_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    return retrieval.bm25(table(spark, sf_dir, "documents"), q, query_key="item_id", prefix=False, limit=8).select("item_id", "doc_id", "rank")
+    return retrieval.bm25(table(spark, sf_dir, "documents"), q, query_key="item_id", limit=8).select("item_id", "doc_id", "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])))), 6) AS score FROM embeddings, q)

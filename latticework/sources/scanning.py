@@ -11,7 +11,7 @@ from latticework.functions import constants, text
 
 LONGEST_FILE = 300_000
 # Folders that are never scanned.
-SKIPPED = [".git", ".gradle", ".idea", ".mvn", ".next", ".nuxt", ".pytest_cache", ".tox", ".venv", "__pycache__", "bin", "build", "coverage", "dist", "node_modules", "obj", "out", "target", "vendor", "venv"]
+SKIPPED = [".git", ".gradle", ".idea", ".mypy_cache", ".next", ".pytest_cache", ".turbo", ".venv", "__pycache__", "bin", "build", "coverage", "dist", "env", "node_modules", "obj", "target", "vendor", "venv"]
 
 
 def files(spark: SparkSession, root: str, extensions: list[str] | None = None, hidden: tuple[str, ...] = (".github",)) -> DataFrame:
@@ -102,32 +102,42 @@ def digest(df: DataFrame, version: str, *keys: str) -> DataFrame:
     return one.groupBy(*keys).agg(F.sha2(whole, 256).alias("digest"))
 
 
-# Words that tell what a command is for, the first kind that fits.
+# Whole words that tell what a command is for, the first kind that fits.
 COMMAND_KINDS = {
-    "migration": ["migrate", "migration", "flyway", "liquibase", "alembic", "prisma db"],
-    "client_generation": ["openapi-generator", "codegen", "generate-client", "protoc", "buf generate"],
-    "test": ["test", "pytest", "jest", "vitest", "junit"],
-    "build": ["build", "package", "compile", "assemble"],
+    "migration": ["migrate", "migration", "flyway", "liquibase"],
+    "client_generation": ["generate", "codegen", "protoc"],
+    "test": ["test", "pytest", "jest", "vitest"],
+    "build": ["build", "compile", "package"],
 }
+# Commands that tell a secret, and block marks that are no command.
+SECRET_COMMAND = r"(?i)\$\{\{\s*secrets\.|\b(?:password|token|api[_-]?key|secret)\b"
+BLOCK_MARKS = ["|", ">", "|-", ">-"]
 
 
 def command_kind(command: Column) -> Column:
-    low, chain = F.lower(command), None
+    """The kind of a command by whole words; null if none fits."""
+    chain = None
     for kind, words in COMMAND_KINDS.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | low.contains(w)
+        hit = command.rlike(rf"(?i)\b(?:{'|'.join(words)})\b")
         chain = F.when(hit, kind) if chain is None else chain.when(hit, kind)
     return chain
 
 
 def workflow_commands(df: DataFrame) -> DataFrame:
     """(path, line, command, kind): literal one-line run commands of workflow files; those with expressions or secrets stay out."""
-    rows = lines(df.filter(F.col("path").rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml$")), "path")
-    rows = rows.select("path", "line", F.regexp_extract("content", r"^\s*(?:-\s*)?run:\s*([^|>\s].*?)\s*$", 1).alias("command")).filter("command <> ''")
-    rows = rows.filter(~F.col("command").rlike(r"\$\{\{|\$\(|(?i)password|secret|token|credential"))
+    rows = lines(df.filter(F.col("path").rlike(r"(^|/)\.github/workflows/(.*/)?[^/]+\.ya?ml$")), "path")
+    command = F.regexp_replace(F.regexp_extract("content", r"^\s*(?:-\s*)?run:\s*(\S.*?)\s*$", 1), "^[\"']+|[\"']+$", "")
+    rows = rows.select("path", "line", command.alias("command")).filter("command <> ''")
+    rows = rows.filter(~F.col("command").contains("${{") & ~F.col("command").rlike(SECRET_COMMAND) & ~F.col("command").isin(BLOCK_MARKS))
     return rows.withColumn("kind", command_kind(F.col("command"))).filter("kind IS NOT NULL")
 
 
-def is_helm_template(path: Column, body: Column) -> Column:
-    return body.contains("{{") | path.rlike(r"(^|/)templates/[^/]+\.ya?ml$")
+def with_helm_marks(files: DataFrame) -> DataFrame:
+    """Files with `helm`: whether each is a template of a chart not yet rendered, by its marks or by a templates/ folder beside a Chart.yaml."""
+    charts = files.filter(F.substring_index("path", "/", -1) == "Chart.yaml").select(F.regexp_replace("path", "Chart\\.yaml$", "").alias("_chart")).distinct()
+    parts = F.split("path", "/")
+    # Every folder above a folder named templates.
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.when(F.get(parts, n - 1) == "templates", F.concat_ws("/", F.slice(parts, 1, n - 1), F.lit("")))))
+    spots = files.select("path", F.explode(F.filter(above, lambda x: x.isNotNull())).alias("_chart"))
+    inside = spots.join(charts, "_chart", "left_semi").select("path").distinct().withColumn("_inside", F.lit(True))
+    return files.join(inside, "path", "left").withColumn("helm", F.coalesce(F.col("text").contains("{{"), F.lit(False)) | F.coalesce("_inside", F.lit(False))).drop("_inside")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,12 @@ from latticework.sources import scanning
 # Stacks in the order in which they are tried.
 STACKS = ["node", "python", "jvm", "go"]
 # Parts of vendor names and the kind of resource each tells, the first that fits.
-VENDOR_KINDS = [("sqs", "queue"), ("rabbit", "queue"), ("kafka", "queue"), ("pubsub", "queue"), ("s3", "storage"), ("storage", "storage"), ("bucket", "storage"), ("lambda", "compute"), ("stripe", "saas"), ("twilio", "saas"), ("sendgrid", "saas"), ("auth0", "saas"), ("paypal", "saas"), ("dynamo", "db_managed"), ("firestore", "db_managed"), ("rds", "db_managed")]
-SERVICE_SUFFIXES = ["-service", "-svc", "-api", "-worker"]
+VENDOR_KINDS = [
+    ("stripe", "saas"), ("twilio", "saas"), ("sendgrid", "saas"), ("mailgun", "saas"), ("paypal", "saas"), ("braintree", "saas"), ("plaid", "saas"), ("slack", "saas"), ("github", "saas"), ("gitlab", "saas"),
+    ("salesforce", "saas"), ("hubspot", "saas"), ("zendesk", "saas"), ("shopify", "saas"), ("datadog", "saas"), ("segment", "saas"), ("mixpanel", "saas"), ("sentry", "saas"), ("auth0", "saas"), ("okta", "saas"),
+    ("cloudflare", "saas"), ("algolia", "saas"), ("openai", "saas"), ("anthropic", "saas"), ("amazon s3", "storage"), ("s3", "storage"), ("firebase", "db_managed"), ("elasticsearch cloud", "db_managed"),
+    ("aws", "compute"), ("azure", "compute"), ("gcp", "compute"), ("google cloud", "compute"),
+]
 
 
 def markers(files: DataFrame) -> DataFrame:
@@ -38,19 +44,25 @@ def discovered(files: DataFrame) -> DataFrame:
 
 
 def resource_type(names: DataFrame, name: str = "name") -> DataFrame:
-    """(name, kind): what a vendor's name tells about the resource; `other` if nothing."""
+    """(name, kind): what a vendor's name tells about the resource; `unknown` if nothing."""
     rules = names.sparkSession.createDataFrame([(k, v, i) for i, (k, v) in enumerate(VENDOR_KINDS)], "keyword string, kind string, priority int")
-    return keyword_kind(names, rules, name).withColumn("kind", F.coalesce("kind", F.lit("other")))
+    return keyword_kind(names, rules, name).withColumn("kind", F.coalesce("kind", F.lit("unknown")))
+
+
+def suffix(name: Column) -> Column:
+    """The last word of a name, in lower case, where a hyphen or underscore stands before it and only letters are in it; null otherwise."""
+    return F.nullif(F.regexp_extract(F.lower(name), "[-_]([a-z]+)$", 1), F.lit(""))
 
 
-def target_kind(name: Column, known: Column) -> Column:
-    """internal for known services and names that look like one, external for vendors, else unknown."""
-    vendor, suffix = F.lit(False), F.lit(False)
-    for k, _ in VENDOR_KINDS:
-        vendor = vendor | F.lower(name).contains(k)
-    for s in SERVICE_SUFFIXES:
-        suffix = suffix | F.lower(name).endswith(s)
-    return F.when(known, "internal").when(vendor, "external").when(suffix, "internal").otherwise("unknown")
+def target_kinds(names: DataFrame, services: DataFrame, name: str = "name") -> DataFrame:
+    """Names with their `target_kind`: internal for the name of a service, whatever its case, external for a vendor's, internal for one that ends like a service's, else unknown."""
+    known = services.select(F.lower("name").alias("_known")).distinct()
+    ends = services.select(suffix(F.col("name")).alias("_end")).filter("_end IS NOT NULL").distinct()
+    vendor = reduce(lambda a, b: a | b, (F.lower(name).contains(k) for k, _ in VENDOR_KINDS))
+    out = names.join(known, F.lower(name) == F.col("_known"), "left").join(ends, suffix(F.col(name)) == F.col("_end"), "left")
+    blank = F.coalesce(F.trim(name) == "", F.lit(True))
+    kind = F.when(blank, "unknown").when(F.col("_known").isNotNull(), "internal").when(vendor, "external").when(F.col("_end").isNotNull(), "internal").otherwise("unknown")
+    return out.withColumn("target_kind", kind).drop("_known", "_end")
 
 
 def prefixed_owner(files: DataFrame, services: DataFrame) -> DataFrame:

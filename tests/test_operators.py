@@ -164,3 +164,67 @@ def test_run_diff_and_differences(spark):
     b = spark.createDataFrame([("k1", 5), ("k3", 1)], "k string, n int")
     assert rows(relational.run_diff(a, b, ["k"], "n")) == [("k1", "changed", 2), ("k2", "resolved", -1), ("k3", "new", 1)]
     assert relational.run_diff(a, a, ["k"], "n").collect() == []
+
+
+def test_small_and_large_graphs_have_the_same_components(spark):
+    import random
+
+    r = random.Random(3)
+    edges = [(g, r.randrange(12), r.randrange(12)) for g in "abc" for _ in range(14)] + [("d", 1, 1), ("e", 1, 2)]
+    df = spark.createDataFrame(edges, "g string, source long, target long")
+    whole = rows(graph.strong_components(df, by=["g"]), "g", "node", "component")
+    assert whole and rows(graph.strong_components(df, by=["g"], small=0), "g", "node", "component") == whole
+    assert rows(graph.strong_components(df, by=["g"], small=12), "g", "node", "component") == whole
+    reach = {(g, a): {a} for g, a, _ in edges} | {(g, b): {b} for g, _, b in edges}
+    for _ in range(12):
+        for g, a, b in edges:
+            reach[g, a] |= reach[g, b]
+    part = {(g, a): [b for b in reach[g, a] if a in reach[g, b]] for g, a in reach}
+    assert whole == sorted(((g, a, min(p)) for (g, a), p in part.items() if len(p) > 1), key=str)
+    one = df.filter("g = 'a'").drop("g")
+    assert rows(graph.strong_components(one), "node", "component") == rows(graph.strong_components(one, small=0), "node", "component")
+    assert graph.strong_components(one.limit(0)).collect() == []
+
+
+def test_full_text_and_vectors_against_brute_force(spark):
+    import math
+    import random
+    import re
+
+    r = random.Random(4)
+    words = ["alpha", "alpine", "beta", "bet", "gamma", "al"]
+    docs = [(i, " ".join(r.choices(words, k=r.randint(0, 12)))) for i in range(25)] + [(90, None), (91, "")]
+    queries = [("q1", "Al bet"), ("q2", "gamma!"), ("q3", "zz"), ("q4", ""), ("q5", None)]
+    got = rows(retrieval.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id string, query string"), limit=5), "query_id", "doc_id", "rank", "score")
+    counts = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in docs}
+    total, want = sum(map(len, counts.values())), []
+    for name, q in queries:
+        score = {}
+        for term in dict.fromkeys(re.findall("[a-z0-9]+", (q or "").lower())):
+            tf = {i: sum(w.startswith(term) for w in c) for i, c in counts.items()}
+            df = sum(n > 0 for n in tf.values())
+            for i, n in tf.items():
+                if n:
+                    score[i] = score.get(i, 0) + max(math.log((len(docs) - df + 0.5) / (df + 0.5)), 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(counts[i]) * len(docs) / total))
+        best = sorted(score, key=lambda i: (-round(score[i], 6), i))[:5]
+        want += [(name, i, k + 1, pytest.approx(score[i], abs=1e-6)) for k, i in enumerate(best)]
+    assert [x[:3] for x in got] == sorted((w[:3] for w in want), key=str)
+    assert all(any(w == g for w in want) for g in got)
+
+    vectors = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(50, None), (51, []), (52, [0.0] * 4), (53, [1.0, 2.0]), (54, [None, 1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(vectors, "id long, vector array<double>")
+    near = retrieval.nearest(v, v.select(F.col("id").alias("query_id"), "vector"), floor=0.35, limit=6)
+    old = retrieval.BLOCK_VECTORS, retrieval.BLOCK_QUERIES
+    retrieval.BLOCK_VECTORS, retrieval.BLOCK_QUERIES = 7, 5
+    blocks = retrieval.nearest(v, v.select(F.col("id").alias("query_id"), "vector"), floor=0.35, limit=6)
+    retrieval.BLOCK_VECTORS, retrieval.BLOCK_QUERIES = old
+    assert rows(near, "query_id", "id", "rank") == rows(blocks, "query_id", "id", "rank")
+    own = {(q, i): s for q, i, s in rows(near, "query_id", "id", "score")}
+    from latticework.functions import text
+
+    pairs = v.alias("a").crossJoin(v.alias("b")).select(F.col("a.id").alias("q"), F.col("b.id").alias("i"), F.round(text.cosine(F.col("a.vector"), F.col("b.vector")), 6).alias("s")).collect()
+    full = {}
+    for p in pairs:
+        if p["s"] is not None and p["s"] >= 0.35:
+            full.setdefault(p["q"], []).append((-p["s"], p["i"]))
+    assert {(q, i) for q, x in full.items() for _, i in sorted(x)[:6]} == set(own)

@@ -184,9 +184,33 @@ def test_stacks_and_kinds(spark):
     found = stacks.discovered(df)
     assert rows(found, "root", "stack") == [("shop/go", "go"), ("shop/j", "jvm"), ("shop/py", "python"), ("shop/web", "node")]
     assert rows(stacks.prefixed_owner(df.filter("path LIKE '%a.ts' OR path LIKE 'shop/lib%'"), found), "path", "owner") == [("shop/lib/package.json", None), ("shop/web/src/a.ts", "web")]
-    names = spark.createDataFrame([("Stripe API",), ("jobs-service",), ("who knows",)], "name string")
-    assert rows(stacks.resource_type(names), "name", "kind") == [("Stripe API", "saas"), ("jobs-service", "other"), ("who knows", "other")]
-    assert rows(names.select("name", stacks.target_kind(F.col("name"), F.lit(False)).alias("k"))) == [("Stripe API", "external"), ("jobs-service", "internal"), ("who knows", "unknown")]
+
+
+def test_kinds_of_targets_by_name(spark):
+    names = spark.createDataFrame([("Stripe API",), ("jobs-service",), ("who knows",), ("BILLING-service",), ("GitHub",), ("aws lambda",), ("x-worker",), (" ",), (None,), ("my_bucket S3",)], "name string")
+    kinds = {r["name"]: r["kind"] for r in stacks.resource_type(names).collect()}
+    assert kinds == {"Stripe API": "saas", "jobs-service": "unknown", "who knows": "unknown", "BILLING-service": "unknown", "GitHub": "saas", "aws lambda": "compute", "x-worker": "unknown", " ": "unknown", None: "unknown", "my_bucket S3": "storage"}
+    services = spark.createDataFrame([("billing-service",), ("orders",), (None,)], "name string")
+    got = {r["name"]: r["target_kind"] for r in stacks.target_kinds(names, services).collect()}
+    assert got == {"Stripe API": "external", "jobs-service": "internal", "who knows": "unknown", "BILLING-service": "internal", "GitHub": "external", "aws lambda": "external", "x-worker": "unknown", " ": "unknown", None: "unknown", "my_bucket S3": "external"}
+    assert {r["target_kind"] for r in stacks.target_kinds(names, services.limit(0)).filter("name IN ('jobs-service', 'x-worker')").collect()} == {"unknown"}
+
+
+def test_kinds_of_commands_are_whole_words(spark):
+    commands = {"npm i x@latest": None, "make rebuild-docs": None, "npm test": "test", "go test ./...": "test", "./gradlew flywayMigrate": None, "flyway migrate && test": "migration", "buf generate": "client_generation", "docker BUILD .": "build", "mvn package": "build", "go vet": None}
+    df = spark.createDataFrame([(c,) for c in commands], "c string")
+    assert {r["c"]: r["k"] for r in df.select("c", scanning.command_kind(F.col("c")).alias("k")).collect()} == commands
+    flow = ".github/workflows/sub/ci.yaml"
+    text = "\n".join(["run: 'npm test'", "- run: npm test --token x", "run: |", "run: >-", "run: build ${{ matrix.x }}", "run: make"])
+    assert rows(scanning.workflow_commands(spark.createDataFrame([(flow, text), ("ci.yaml", "run: npm test")], "path string, text string"))) == [(flow, 1, "npm test", "test")]
+
+
+def test_templates_of_charts(spark):
+    files = [("chart/Chart.yaml", "name: x"), ("chart/templates/a.yaml", "kind: Deployment"), ("chart/templates/sub/b.yaml", "kind: Service"), ("other/templates/c.yaml", "kind: Job"), ("k8s/d.yaml", "name: {{ .Values.x }}"), ("k8s/e.yaml", None), ("templates/f.yaml", "kind: Job")]
+    df = spark.createDataFrame(files, "path string, text string")
+    assert [p for p, h in rows(scanning.with_helm_marks(df), "path", "helm") if h] == ["chart/templates/a.yaml", "chart/templates/sub/b.yaml", "k8s/d.yaml"]
+    at_root = df.unionByName(spark.createDataFrame([("Chart.yaml", "")], "path string, text string"))
+    assert rows(scanning.with_helm_marks(at_root).filter("path = 'templates/f.yaml'"), "helm") == [(True,)]
 
 
 def test_exports(spark, tmp_path):
