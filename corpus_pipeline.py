@@ -4,9 +4,10 @@
 2. near duplicates: of each group of near copies the document with the least id stays.
 3. secrets: every secret, under encodings too, becomes a mark; all documents stay.
 4. mix: sources are mixed to their target weights; a document appears once for each turn in which words of it are taken.
-5. tokens: every text is encoded by byte-level BPE, and the ids are decoded again.
+5. tokens: every text is encoded by byte-level BPE, and the ids are decoded again; all columns but the text go on beside them.
 
-Rows with null texts have no language and end at stage 1. Columns beyond those of documents are carried to the last stage.
+Rows with null texts have no language and end at stage 1. Columns beyond those of documents are carried through all stages;
+one that has the name of a result of stage 5 gets a mark before it there.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return bpe.digest_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True, keep=rest)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mix", mix), ("tokens", tokens)]
