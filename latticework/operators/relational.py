@@ -129,11 +129,13 @@ def keyword_kind(names: DataFrame, rules: DataFrame, name: str = "name") -> Data
 def overlapping(records: DataFrame, ranges: DataFrame, file: str = "file", start: str = "start_line", end: str = "end_line", width: int = 64) -> DataFrame:
     """Records whose lines overlap a range of the same file: an equality join on buckets of lines, never a nested loop."""
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(F.col(a), F.col(b)) / width))
-    left = records.withColumn("_id", F.xxhash64(*records.columns)).withColumn("_cell", F.explode(cells(start, end)))
+    columns = records.columns
+    # Equal records are looked up once, and come back as often as they were.
+    left = records.groupBy(*columns).agg(F.count("*").alias("_times")).withColumn("_cell", F.explode(cells(start, end)))
     right = ranges.select(F.col(file).alias("_file"), F.col(start).alias("_from"), F.col(end).alias("_to")).withColumn("_range_cell", F.explode(cells("_from", "_to")))
     hit = (left[file] == right["_file"]) & (left["_cell"] == right["_range_cell"]) & (left[start] <= right["_to"]) & (right["_from"] <= left[end])
-    cell = F.floor(F.greatest(F.col(start), F.col("_from")) / width)
-    return left.join(right, hit).filter(F.col("_cell") == cell).select(*records.columns).distinct()
+    found = left.join(right, hit, "left_semi").select(*columns, "_times").distinct()
+    return found.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*columns)
 
 
 def owner_by_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root_path", name: str = "name") -> DataFrame:
@@ -159,8 +161,11 @@ def same_identity(left: DataFrame, right: DataFrame, first: str, second: str, le
     a = left.select(F.col(left_id), F.col(first).alias("_f"), F.col(second).alias("_s"))
     b = right.select(F.col(right_id), F.col(first).alias("_g"), F.col(second).alias("_t"))
     one = a.join(b, F.col("_f") == F.col("_g")).select(left_id, right_id)
-    two = a.join(b, F.col("_s") == F.col("_t")).filter("_f IS NULL OR _g IS NULL").select(left_id, right_id)
-    return one.unionByName(two).distinct()
+    # Those that lack the first on either side meet by the second: the null rows of one side with all of the other.
+    by_second = F.col("_s") == F.col("_t")
+    two = a.filter("_f IS NULL").join(b, by_second).select(left_id, right_id)
+    three = a.filter("_f IS NOT NULL").join(b.filter("_g IS NULL"), by_second).select(left_id, right_id)
+    return one.unionByName(two).unionByName(three).distinct()
 
 
 def one_to_one(before_: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -265,6 +270,34 @@ def micro_precision_recall(predicted: DataFrame, actual: DataFrame, keys: list[s
     return both.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).withColumn("precision", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")))
 
 
+def macro_mean(rows: DataFrame, by: list[str], part: Column, whole: Column, name: str = "mean") -> DataFrame:
+    """(mean, n): the mean of each key's ratio of sums, every key alike; keys with nothing to divide by are left out."""
+    ratios = rows.groupBy(*by).agg(F.try_divide(F.sum(part).cast("double"), F.sum(whole)).alias("_ratio"))
+    return ratios.agg(F.avg("_ratio").alias(name), F.count("_ratio").alias("n"))
+
+
+def nullable_totals(rows: DataFrame, by: list[str], sums: list[str], flags: dict[str, Column]) -> DataFrame:
+    """(by, sums, shares): sums that are null where no value is, and the share of each flag."""
+    return rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums), *(F.avg(f.cast("int")).alias(name) for name, f in flags.items()))
+
+
+def grouped_sets(rows: DataFrame, by: list[str], *measures: Column) -> DataFrame:
+    """(by, measures): the measures of all keys together, of each beginning of the keys, and of everything; keys summed over are null."""
+    return rows.rollup(*by).agg(*measures)
+
+
+def nulls_first(rows: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Places within a group in ascending order in which null comes first."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*(F.asc_nulls_first(c) for c in order))))
+
+
+def probed(rows: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
+    """The first so many rows, with `more`: whether one beyond them was there, found by asking for one more and not by counting."""
+    some = rows.orderBy(*order).limit(limit + 1)
+    n = some.agg((F.count("*") > limit).alias("more"))
+    return some.orderBy(*order).limit(limit).join(F.broadcast(n))
+
+
 # --- sets and pages -------------------------------------------------------------------------------------------------
 
 

@@ -293,6 +293,67 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.top_per_group(table(spark, sf_dir, "lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 8).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
 
 
+@query("""WITH r AS (SELECT l_suppkey, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / count(*) AS ratio FROM lineitem GROUP BY 1) SELECT round(avg(ratio), 9) AS mean, count(ratio) AS n FROM r""")
+def macro_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = relational.macro_mean(table(spark, sf_dir, "lineitem"), ["l_suppkey"], (F.col("l_returnflag") == "R").cast("int"), F.lit(1))
+    return out.withColumn("mean", F.round("mean", 9))
+
+
+@query("SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS DOUBLE) AS closed, round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END), 9) AS urgent FROM orders GROUP BY 1")
+def nullable_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("closed", F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("double")))
+    return relational.nullable_totals(o, ["o_custkey"], ["closed"], {"urgent": F.col("o_orderpriority") == "1-URGENT"}).withColumn("urgent", F.round("urgent", 9))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def grouped_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.grouped_sets(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY flag ASC NULLS FIRST, l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST) AS place FROM (SELECT *, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag FROM lineitem)")
+def nulls_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"))
+    return relational.nulls_first(rows, ["l_orderkey"], ["flag", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "place")
+
+
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) > 50 FROM orders) AS more FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.probed(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 50)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 20")
+def latest_twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.latest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), 20, "o_orderkey")
+
+
+@query("SELECT max(o_orderkey) AS latest, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) FROM orders)) AS previous FROM orders")
+def latest_and_previous_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    last = relational.latest(o, 1, "o_orderkey").collect()
+    previous = relational.before(o, last[0]["o_orderkey"], "o_orderkey").agg(F.max("o_orderkey").alias("previous")) if last else o.agg(F.max("o_orderkey").alias("previous"))
+    return o.agg(F.max("o_orderkey").alias("latest")).join(F.broadcast(previous))
+
+
+@query("""WITH n AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT) AS id FROM part), e AS (SELECT DISTINCT l_suppkey AS source, CAST(substr(p_brand, 7) AS BIGINT) AS target, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS rank FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT source, target, CASE min(rank) WHEN 0 THEN 'static' ELSE 'inferred' END AS origin FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) GROUP BY 1, 2""")
+def edges_among_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with both ends among the suppliers that brands are named after; static ones before inferred ones."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 7, 9).cast("long").alias("target"))
+    e = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("source"), F.when(F.col("l_returnflag") == "A", "static").otherwise("inferred").alias("origin")).join(parts, "l_partkey")
+    return graph.edges_among(e, parts.select(F.col("target").alias("node")))
+
+
+@query("""SELECT l_suppkey, l_linenumber, count(*) AS n, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1, 2""")
+def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(lower(trim(regexp_replace(url, '[^a-zA-Z0-9]+', '-', 'g'), '-')), ''), 'service') AS slug, len(html) - len(replace(html, chr(10), '')) + 1 AS lines FROM pages WHERE html IS NOT NULL AND url IS NOT NULL""")
+def slugs_and_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").filter("html IS NOT NULL AND url IS NOT NULL")
+    return p.select("page_id", text.slug(F.col("url")).alias("slug"), text.line_of(F.col("html"), F.length("html")).cast("long").alias("lines"))
+
+
 # --- graphs ---------------------------------------------------------------------------------------------------------
 
 _TRADE_EDGES = """edges AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS source, CASE l_returnflag WHEN 'A' THEN 'P' || l_partkey WHEN 'R' THEN 'S' || l_suppkey ELSE p_brand END AS target

@@ -29,11 +29,21 @@ class Catalog:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def current(self, table: str) -> str | None:
-        if not self._exists(f"{self._versions(table)}"):
+    def _latest(self, table: str):
+        """The newest version's number, path and mark, or None."""
+        if not self._exists(self._versions(table)):
             return None
-        rows = self.spark.read.schema("n long, path string").json(self._versions(table)).orderBy(F.desc("n")).limit(1).collect()
-        return rows[0]["path"] if rows else None
+        rows = self.spark.read.schema("n long, path string, mark string").json(self._versions(table)).orderBy(F.desc("n"), "path").limit(1).collect()
+        return rows[0] if rows else None
+
+    def current(self, table: str) -> str | None:
+        found = self._latest(table)
+        return found["path"] if found else None
+
+    def mark(self, table: str) -> str | None:
+        """What the newest version says it came of, if it says so."""
+        found = self._latest(table)
+        return found["mark"] if found else None
 
     def read(self, table: str) -> DataFrame:
         """The current rows in the declared schema; columns added since a version was written are null."""
@@ -41,13 +51,26 @@ class Catalog:
         path = self.current(table)
         return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
-    def overwrite(self, table: str, rows: DataFrame) -> None:
+    def overwrite(self, table: str, rows: DataFrame, mark: str | None = None) -> None:
+        """A new version; `mark` is stored in the same write that makes it the current one."""
         schema = schemas.struct(table)
         rows = rows.select(*(rows[f.name].cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
         path = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
         rows.write.parquet(path)
-        known = self.spark.read.schema("n long, path string").json(self._versions(table)).agg(F.max("n")).collect()[0][0] if self._exists(self._versions(table)) else 0
-        self.spark.createDataFrame([((known or 0) + 1, path)], "n long, path string").coalesce(1).write.mode("append").json(self._versions(table))
+        last = self._latest(table)
+        self.spark.createDataFrame([((last["n"] if last else 0) + 1, path, mark)], "n long, path string, mark string").coalesce(1).write.mode("append").json(self._versions(table))
+
+    def vacuum(self, table: str, keep: int = 1) -> int:
+        """Data of all but the newest versions goes, once nobody reads it any more; how many versions went."""
+        if not self._exists(self._versions(table)):
+            return 0
+        rows = self.spark.read.schema("n long, path string, mark string").json(self._versions(table)).orderBy(F.desc("n"), "path").collect()
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        gone = [r["path"] for r in rows[max(1, keep) :]]
+        for path in gone:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        return len(gone)
 
     def append(self, table: str, rows: DataFrame) -> None:
         self.overwrite(table, self.read(table).unionByName(self._shaped(table, rows)))
@@ -107,18 +130,21 @@ class Catalog:
 
 
 def upserted(now: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The union in which a new row takes the place of an old one of its key; of new rows of one key any one."""
+    """The union in which a new row takes the place of an old one of its key; of several new rows of one key the last by its columns as JSON."""
     rest = [c for c in now.columns if c not in keys]
     both = now.withColumn("_v", F.lit(0)).unionByName(rows.withColumn("_v", F.lit(1)))
-    one = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_v")).alias("_row"))
+    one = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_v", F.to_json(F.struct(*rest)))).alias("_row"))
     return one.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in now.columns))
 
 
 def pruned(now: DataFrame, keep: DataFrame, keys: list[str], within: DataFrame | None = None, by: str = "service_id") -> DataFrame:
-    kept = now.join(keep.select(*keys).distinct(), keys, "left_semi").select(*now.columns)
+    """Rows whose key is kept, and all rows of owners outside of `within`; rows that repeat stay repeated."""
+    kept = keep.select(*keys).distinct()
     if within is None:
-        return kept
-    return kept.unionByName(now.join(within.select(by).distinct(), by, "left_anti").select(*now.columns)).distinct()
+        return now.join(kept, keys, "left_semi").select(*now.columns)
+    owners = within.select(by).distinct()
+    inside = now.join(owners, by, "left_semi").join(kept, keys, "left_semi").select(*now.columns)
+    return inside.unionByName(now.join(owners, by, "left_anti").select(*now.columns))
 
 
 def find_or_create(now: DataFrame, rows: DataFrame, first: str, second: str) -> DataFrame:

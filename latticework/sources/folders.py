@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -11,9 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset, as in tests."""
+    """This application's own folder in spark.checkpoint.dir; a local one only where that is unset and the master is local, as in tests.
+
+    The folder goes when the application ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or f"file://{tempfile.gettempdir()}/latticework-checkpoints").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/latticework-checkpoints"
+    folder = f"{found.rstrip('/')}/latticework-{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        _OWN.add(folder)
+        atexit.register(_removed, spark.sparkContext, folder)
+    return folder
+
+
+_OWN: set[str] = set()
+
+
+def _removed(context, folder: str) -> None:
+    """Best effort: an application that was killed leaves its folder behind."""
+    with contextlib.suppress(Exception):
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def workers_find_us(spark: SparkSession) -> None:

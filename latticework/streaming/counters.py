@@ -55,10 +55,12 @@ def live(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
 
 
 def into_catalog(stream: DataFrame, catalog: Catalog, checkpoint: str, static: DataFrame | None = None, on_divergence=None) -> StreamingQuery:
-    """Adds each micro-batch to the stored counters; `on_divergence` gets the edges that only one side knows, after each."""
+    """Adds each micro-batch to the stored counters once, though it be retried; `on_divergence` gets the edges that only one side knows, after each."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        catalog.overwrite("runtime_flow_observations", added(catalog.read("runtime_flow_observations"), merged(parsed(batch))))
+    def write(batch: DataFrame, number: int) -> None:
+        mark = f"{checkpoint} {number}"
+        if catalog.mark("runtime_flow_observations") != mark:  # else this batch is there already, and comes again after a failure
+            catalog.overwrite("runtime_flow_observations", added(catalog.read("runtime_flow_observations"), merged(parsed(batch))), mark)
         if static is not None and on_divergence is not None:
             from latticework.operators.graph import divergence
 

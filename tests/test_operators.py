@@ -228,3 +228,15 @@ def test_full_text_and_vectors_against_brute_force(spark):
         if p["s"] is not None and p["s"] >= 0.35:
             full.setdefault(p["q"], []).append((-p["s"], p["i"]))
     assert {(q, i) for q, x in full.items() for _, i in sorted(x)[:6]} == set(own)
+
+
+def test_repeated_records_overlap_as_often_as_they_are(spark):
+    records = spark.createDataFrame([("a", 1, 200), ("a", 1, 200), ("b", 1, 2), ("a", 300, 310)], "file string, start_line int, end_line int")
+    ranges = spark.createDataFrame([("a", 100, 120), ("a", 150, 190)], "file string, start_line int, end_line int")
+    assert rows(relational.overlapping(records, ranges)) == [("a", 1, 200)] * 2
+
+
+def test_identity_by_either_key(spark):
+    left = spark.createDataFrame([(1, "x", 5), (2, None, 5), (3, "y", 6)], "i long, f string, s int")
+    right = spark.createDataFrame([(10, "x", 9), (11, None, 5), (12, "z", 5), (13, "y", None)], "j long, f string, s int")
+    assert rows(relational.same_identity(left, right, "f", "s", "i", "j")) == [(1, 10), (1, 11), (2, 11), (2, 12), (3, 13)]

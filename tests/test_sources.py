@@ -227,3 +227,18 @@ def test_exports(spark, tmp_path):
     assert rows(pages, "path") == [("a/GET__x.md",), ("a/index.md",)]
     export.written(pages, f"{tmp_path}/out")
     assert spark.read.text(f"{tmp_path}/out").count() > 2
+
+
+def test_versions_marks_and_repeated_rows(spark, tmp_path):
+    from latticework.sources import catalog as catalogs
+
+    c = catalogs.Catalog(spark, f"file://{tmp_path}/catalog")
+    ci = lambda *r: spark.createDataFrame(list(r), "repository_id long, kind string")
+    c.overwrite("ci_commands", ci((1, "test"), (1, "test"), (2, "build")), "first")
+    assert c.mark("ci_commands") == "first" and c.mark("services") is None
+    c.prune("ci_commands", ci((1, "test")), ["repository_id", "kind"], ci((1, "")), "repository_id")
+    assert rows(c.read("ci_commands"), "repository_id", "kind") == [(1, "test"), (1, "test"), (2, "build")] and c.mark("ci_commands") is None
+    assert c.vacuum("ci_commands") == 1 and c.read("ci_commands").count() == 3
+    now = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(2, "x"), (2, "y"), (3, "z")], "id long, v string")
+    assert rows(catalogs.upserted(now, new, ["id"])) == [(1, "a"), (2, "y"), (3, "z")]
