@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,23 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-@dataclass
 class Terms:
-    """Terms by their row in one array of log frequencies."""
+    """Terms with the log frequencies of each in each language; a worker looks them up in a dict that it builds once."""
+
+    def __init__(self, terms: pa.Array, logs: np.ndarray):
+        self.terms, self.logs, self._at = terms, logs, None
+
+    @property
+    def at(self) -> dict[str, int]:
+        if self._at is None:
+            self._at = dict(zip(self.terms.to_pylist(), range(len(self.terms)), strict=True))
+        return self._at
 
-    at: dict[str, int]
-    logs: np.ndarray
+    def __getstate__(self):
+        return self.terms, self.logs
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
 
 @dataclass
@@ -90,15 +102,20 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(iter(by.items()))
 
 
-def _table(rows, langs: list[str]) -> Terms:
-    """Smoothed log frequencies of each term in each language."""
-    at: dict[str, int] = {}
-    for t in sorted(rows.term):
-        at.setdefault(t, len(at))
-    counts = np.zeros((len(at), len(langs)))
-    counts[rows.term.map(at).to_numpy(np.int64), np.searchsorted(langs, rows.lang.to_numpy(object).astype(str))] = rows.n.to_numpy(float)
-    logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(at))))
-    return Terms(at, logs.astype(np.float32))
+def _counts(rows: DataFrame, langs: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Each term once, and its counts in all languages, as compact arrays on the driver."""
+    of = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    t = rows.groupBy("term").agg(*of).toArrow()
+    counts = np.zeros((t.num_rows, len(langs)), np.float32)
+    for i in range(len(langs)):
+        counts[:, i] = t.column(i + 1).to_numpy()
+    return pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in t.column("term").chunks)]), counts
+
+
+def _terms(terms: pa.Array, counts: np.ndarray) -> Terms:
+    """Smoothed log frequencies."""
+    totals = counts.sum(axis=0, dtype=np.float64) + 0.5 * max(1, len(terms))
+    return Terms(terms, np.log((counts + np.float32(0.5)) / totals.astype(np.float32)))
 
 
 def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 2000) -> Model:
@@ -108,14 +125,16 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], Terms({}, np.zeros((0, 0))), [])
+        return Model([], _terms(pa.array([], pa.string()), np.zeros((0, 0), np.float32)), [])
     share = F.create_map([F.lit(x) for k in langs for x in (k, min(1.0, most_docs / sizes[k]))])
     sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40))
     schema = "lang string, term string, n long"
     words = shared.cut(sample.select("lang", "text").mapInArrow(_count_words, schema).groupBy("lang", "term").agg(F.sum("n").alias("n")))
-    grams = words.mapInArrow(_count_grams, schema).groupBy("lang", "term").agg(F.sum("n").alias("n")).toPandas()
-    size = grams.term.str.len()
-    return Model(langs, _table(words.toPandas(), langs), [_table(grams[size == k], langs) for k in range(GRAMS + 1)])
+    grams, counts = _counts(words.mapInArrow(_count_grams, schema), langs)
+    size = pc.utf8_length(grams).to_numpy(zero_copy_only=False)
+    model = Model(langs, _terms(*_counts(words, langs)), [_terms(grams.filter(pa.array(size == k)), counts[size == k]) for k in range(GRAMS + 1)])
+    shared.forget(words)
+    return model
 
 
 class Scorer:
