@@ -35,7 +35,7 @@ BUCKETS = 1 << 18
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Labelled documents of each label that lexicons are learned from, and documents of either posterior for the classifier.
-MOST_ROWS = 2500
+MOST_ROWS = 2000
 #: Words, and word beginnings, that the learned lexicons hold, at most.
 LEXICON = 400
 #: The score above which a text counts as toxic.
@@ -184,15 +184,16 @@ _SAMPLED = "y double, weight double, words long, signs long, x binary"
 
 def _sample_of(packed: DataFrame) -> Sample:
     """Rows of the columns in _SAMPLED as one sparse matrix on the driver, in an order that depends on them alone."""
-    rows = packed.toPandas().sort_values(["x", "y"], kind="stable")
-    n = len(rows)
-    terms = [np.frombuffer(b, np.int32, len(b) // 8) for b in rows.x]
-    counts = [np.frombuffer(b, np.int32, len(b) // 8, len(b) // 2) for b in rows.x]
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
-    none = [np.empty(0, np.int32)]
-    term = np.concatenate(none + terms)
-    del terms
-    return Sample(row, term & (BUCKETS - 1), np.concatenate(none + counts), (term >> 18) > 0, rows.y.to_numpy(float), rows.weight.to_numpy(float), rows.words.to_numpy(float), np.zeros(n, np.int64), rows.signs.to_numpy(np.int64))
+    t = packed.orderBy("x", "y").toArrow()
+    n = t.num_rows
+    x = pa.concat_arrays([pa.array([], pa.binary()), *t.column("x").chunks]).cast(pa.large_binary())
+    bounds = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(x.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.int32) if bounds[-1] > bounds[0] else np.empty(0, np.int32)
+    starts, ends = (bounds[:-1] - bounds[0]) // 4, (bounds[1:] - bounds[0]) // 4
+    sizes = (ends - starts) // 2
+    term = data[textscan.ragged(starts, sizes)]
+    column = lambda c, kind: t.column(c).to_numpy().astype(kind)
+    return Sample(np.repeat(np.arange(n, dtype=np.int32), sizes), term & (BUCKETS - 1), data[textscan.ragged(starts + sizes, sizes)], (term >> 18) > 0, column("y", float), column("weight", float), column("words", float), np.zeros(n, np.int64), column("signs", np.int64))
 
 
 def _packed_batch(texts: list[str | None], y, weight) -> pa.RecordBatch:
