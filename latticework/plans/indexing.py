@@ -22,7 +22,7 @@ from latticework.functions import text
 from latticework.operators import relational
 from latticework.plans import detectors
 from latticework.sources import catalog as catalogs
-from latticework.sources import extract, scanning, stacks
+from latticework.sources import extract, receivers, scanning, stacks
 from latticework.sources.folders import checkpointed, workers_find_us
 
 ANALYSIS_VERSION = "2"
@@ -322,7 +322,9 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
         new = fresh.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).drop("_top", "_n")
         kept = found.join(old, "root_path").withColumn("id", F.col("_id")).drop("_id")
         services = checkpointed(kept.unionByName(new).select("id", "repository_id", "name", "root_path", "stack"))
-        catalog.delete_services(known.join(services, "id", "left_anti").select("id"))
+        gone = checkpointed(known.join(services, "id", "left_anti").select("id"))
+        if not gone.isEmpty():
+            catalog.delete_services(gone)
         described = catalog.read("services").select("id", "short_desc", "long_desc", "source_commit")
         catalog.upsert("services", services.join(described, "id", "left").withColumn("indexed_at", F.current_timestamp()), ["id"])
 
@@ -336,8 +338,9 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
         changes = checkpointed(_changes(catalog.read("indexed_files").join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi"), hashes))
 
         facts = checkpointed(extract.extract(owned.join(stale, "service_id", "left_semi")).join(owned.select("path", "service_id"), "path").withColumn("repository_id", F.lit(repo).cast("long")))
+        said = checkpointed(receivers.declared(owned.join(stale, "service_id", "left_semi")))
         for table in TABLES_OF_FACTS:
-            catalog.replace(table, stale, fact_rows(facts, table))
+            catalog.replace(table, stale, _by_receivers(fact_rows(facts, table), table, facts, said))
         catalog.replace("ci_commands", services.select("repository_id").distinct(), scanning.workflow_commands(files).select(F.lit(repo).cast("long").alias("repository_id"), F.col("path").alias("workflow_path"), "kind", "command", F.col("line").alias("start_line")), "repository_id")
         # What was read counts as a snapshot only if it is still what lies there.
         now = scanning.digest(_with_owner(scanning.files(spark, root), services).filter("service_id IS NOT NULL"), ANALYSIS_VERSION, "service_id")
@@ -359,6 +362,17 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
     return states.join(units, "service_id", "left").select("service_id", "service", "state", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("failed", F.lit(0)).alias("failed"))
 
 
+def _by_receivers(rows: DataFrame, table: str, facts: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Flow edges with the kinds that declared receivers tell, and calls of declared HTTP clients among the service calls."""
+    if table == "flow_edges":
+        return receivers.classified(rows.withColumn("path", F.col("evidence.file")), declarations).drop("path")
+    if table == "static_service_calls":
+        edges = fact_rows(facts, "flow_edges").withColumn("path", F.col("evidence.file"))
+        calls = receivers.remote_calls(edges, declarations).join(edges.groupBy("path", F.col("from_symbol").alias("source")).agg(F.min("service_id").alias("service_id"), F.min("repository_id").alias("repository_id"), F.min("evidence").alias("evidence")), ["path", "source"])
+        return rows.unionByName(calls.select(*rows.columns))
+    return rows
+
+
 def _repository(catalog: catalogs.Catalog, name: str, root: str) -> int:
     rows = catalog.read("repositories").filter(F.col("name") == name).select("id").limit(1).collect()
     if rows:
