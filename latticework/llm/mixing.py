@@ -263,13 +263,13 @@ def _named_rows(docs: DataFrame, key: str, text: str, row_name: str, n_name: str
     whole = F.struct(*(docs[c] for c in docs.columns))
     least = F.min_by(whole, F.struct(docs[text].isNull(), docs[text], F.to_json(whole)))
     named = lambda rows, id_, hash_, copy: rows.withColumn(row_name, F.struct(id_.alias("id"), hash_.alias("hash"), copy.cast("long").alias("copy")))
-    none, one = F.lit(None).cast("string"), F.lit(1)
+    none = F.lit(None).cast("string")  # nulls leave a hash as it is, so rows with an id are ordered by it alone
     with_id, no_id = docs.filter(docs[key].isNotNull()), docs.filter(docs[key].isNull())
     repeated = shared.cut(with_id.groupBy(docs[key].alias(n_name)).agg(F.count("*").alias(row_name)).filter(F.col(row_name) > 1).select(n_name))
     if not repeated.isEmpty():
         of_id = docs[key] == repeated[n_name]
         with_id = with_id.join(repeated, of_id, "left_anti").unionByName(with_id.join(repeated, of_id, "left_semi").groupBy(docs[key]).agg(least.alias(row_name)).select(f"{row_name}.*"))
-    out = named(with_id, F.col(key), none, one)
+    out = named(with_id, F.col(key), none, none)
     if no_id.isEmpty():
         return out
     hashed = no_id.groupBy(F.sha2(F.to_json(whole), 256).alias(n_name)).agg(F.first(whole).alias(row_name), F.count("*").alias(f"{n_name}s"))
