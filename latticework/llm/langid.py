@@ -31,7 +31,7 @@ from . import shared, textscan
 UNKNOWN = "und"
 GRAMS = 5
 #: Words whose scores a worker keeps.
-CACHE = 120_000
+CACHE = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,16 +49,24 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Terms:
-    """Terms with the log frequencies of each in each language; a worker looks them up in a dict that it builds once."""
+    """Terms with the log frequencies of each in each language; a worker looks them up by their hashes, some bytes a term."""
 
     def __init__(self, terms: pa.Array, logs: np.ndarray):
-        self.terms, self.logs, self._at = terms, logs, None
-
-    @property
-    def at(self) -> dict[str, int]:
-        if self._at is None:
-            self._at = dict(zip(self.terms.to_pylist(), range(len(self.terms)), strict=True))
-        return self._at
+        self.terms, self.logs = terms, logs
+        self._sorted: np.ndarray | None = None
+
+    def rows(self, terms: list[str]) -> np.ndarray:
+        """The row of each term, -1 for one that is not known."""
+        if self._sorted is None:
+            chunks = (self.terms[i : i + 65536].to_pylist() for i in range(0, len(self.terms), 65536))
+            h = np.fromiter((hash(t) for c in chunks for t in c), np.int64, len(self.terms))
+            order = np.argsort(h)
+            self._sorted, self.logs, self.terms = h[order], self.logs[order], None
+        h = np.fromiter(map(hash, terms), np.int64, len(terms))
+        if not len(self._sorted):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self._sorted, h), len(self._sorted) - 1)
+        return np.where(self._sorted[at] == h, at, -1)
 
     def __getstate__(self):
         return self.terms, self.logs
@@ -145,14 +153,13 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.vectors = np.zeros((1 << 14, len(model.langs)), np.float32)
 
-    def vector(self, word: str) -> np.ndarray:
-        if (row := self.model.words.at.get(word)) is not None:
-            return self.model.words.logs[row]
+    def backed_off(self, word: str) -> np.ndarray:
+        """The mean of a word's longest n-grams of which any is known; zeros if none is."""
         for n in range(GRAMS, 0, -1):
             table = self.model.grams[n]
-            known = [row for g in grams_of(word, n) if (row := table.at.get(g)) is not None]
-            if known:
-                return table.logs[known].mean(axis=0)
+            rows = table.rows(grams_of(word, n))
+            if (rows >= 0).any():
+                return table.logs[rows[rows >= 0]].mean(axis=0)
         return np.zeros(len(self.model.langs), np.float32)
 
     def rows_of(self, words: list[str]) -> list[int]:
@@ -160,12 +167,14 @@ class Scorer:
             self.at.clear()
         at, get = self.at, self.at.get
         rows = [get(w, -1) for w in words]
-        for i, r in enumerate(rows):
-            if r < 0:
+        new = [i for i, r in enumerate(rows) if r < 0]
+        if new:
+            known = self.model.words.rows([words[i] for i in new])
+            while len(at) + len(new) > len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+            for i, k in zip(new, known.tolist(), strict=True):
                 r = rows[i] = at.setdefault(words[i], len(at))
-                if r >= len(self.vectors):
-                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-                self.vectors[r] = self.vector(words[i])
+                self.vectors[r] = self.model.words.logs[k] if k >= 0 else self.backed_off(words[i])
         return rows
 
     def score(self, text: str | None) -> tuple[str, float]:
