@@ -298,13 +298,13 @@ def _with_owner(files: DataFrame, services: DataFrame) -> DataFrame:
     return deep.join(F.broadcast(whole)).withColumn("service_id", F.coalesce("service_id", "_whole").cast("long")).drop("_whole")
 
 
-def fact_rows(facts: DataFrame, table: str) -> DataFrame:
-    """The facts of one catalog table, fields as columns, with service and evidence."""
+def fact_rows(facts: DataFrame, table: str, *also: str) -> DataFrame:
+    """The facts of one catalog table, fields as columns, with service and evidence; `also` are fields beyond the table's."""
     kind, names = TABLES_OF_FACTS[table]
     fields = [f for f in schemas.struct(table).names if f not in ("id", "service_id", "repository_id", "evidence", "attributes")]
     evidence = F.struct(F.col("path").alias("file"), "start_line", "end_line").alias("evidence")
     rows = facts.filter(F.col("kind") == kind)
-    cols = [F.nullif(F.col("fields")[names.get(f, f)], F.lit("")).alias(f) for f in fields]
+    cols = [F.nullif(F.col("fields")[names.get(f, f)], F.lit("")).alias(f) for f in [*fields, *also]]
     out = rows.select("service_id", "repository_id", *cols, evidence)
     return out.withColumn("id", F.xxhash64("service_id", F.to_json(F.struct(*fields, "evidence")))) if "id" in schemas.struct(table).names else out
 
@@ -339,6 +339,9 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
 
         facts = checkpointed(extract.extract(owned.join(stale, "service_id", "left_semi")).join(owned.select("path", "service_id"), "path").withColumn("repository_id", F.lit(repo).cast("long")))
         said = checkpointed(receivers.declared(owned.join(stale, "service_id", "left_semi")))
+        contracts = fact_rows(facts, "entrypoints", "contract").filter("contract IS NOT NULL").select(F.col("id").alias("entrypoint_id"), "contract").distinct()
+        owned_before = catalog.read("entrypoints").join(stale, "service_id", "left_semi").select(F.col("id").alias("entrypoint_id"))
+        catalog.replace("entrypoint_contracts", owned_before.unionByName(contracts.select("entrypoint_id")), contracts, "entrypoint_id")
         for table in TABLES_OF_FACTS:
             catalog.replace(table, stale, _by_receivers(fact_rows(facts, table), table, facts, said))
         catalog.replace("ci_commands", services.select("repository_id").distinct(), scanning.workflow_commands(files).select(F.lit(repo).cast("long").alias("repository_id"), F.col("path").alias("workflow_path"), "kind", "command", F.col("line").alias("start_line")), "repository_id")

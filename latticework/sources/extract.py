@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.sources.folders import workers_find_us
+from latticework.sources import cloud_clients, routes
+from latticework.sources.folders import checkpointed, workers_find_us
 
 SCHEMA = "kind string, path string, start_line int, end_line int, fields map<string,string>"
 Fact = tuple[str, int, int, dict[str, str]]
@@ -66,6 +67,13 @@ def block_end(text: str, opening: int, pair: str = "{}") -> int:
     return len(text)
 
 
+def expression_end(text: str, at: int) -> int:
+    """Where the line ends on which the expression ends that begins there; brackets may go over lines."""
+    while at < len(text) and text[at] not in "\n}":
+        at = block_end(text, at, {"(": "()", "[": "[]", "{": "{}"}[text[at]]) if text[at] in "([{" else at + 1
+    return at
+
+
 def call_kind(target: str) -> str:
     low = target.lower()
     tail = low.rsplit(".", 1)[-1]
@@ -83,8 +91,9 @@ def host_and_path(url: str) -> tuple[str, str] | None:
 
 # --- languages with braces ------------------------------------------------------------------------------------------
 
-_JVM_METHOD = re.compile(r"(?P<notes>(?:@\w+(?:\([^)]*\))?\s*)*)(?:(?:public|private|protected|internal|override|open|suspend|static|final|abstract)\s+)*(?:fun\s+(?P<kname>\w+)\s*\(|(?:<[^>]+>\s+)?(?P<type>[\w<>\[\],.? ]+?)\s+(?P<jname>\w+)\s*\()", re.S)
+_JVM_METHOD = re.compile(r"(?P<notes>(?:@\w+(?:\([^)]*\))?\s*)*)(?:(?:public|private|protected|internal|override|open|suspend|static|final|abstract)\s+)*(?:fun\s+(?P<kname>\w+)\s*\(|(?:<[^>]+>\s+)?(?P<type>\w[\w<>\[\],.? ]*?)\s+(?P<jname>\w+)\s*\()", re.S)
 _JVM_CLASS = re.compile(r"(?P<notes>(?:@\w+(?:\([^)]*\))?\s*)*)(?:(?:public|private|internal|open|final|abstract|data|sealed)\s+)*(?:class|interface|object)\s+(?P<name>\w+)", re.S)
+_EXPRESSION = re.compile(r"\s*(?::\s*[\w.<>?, ]+?)?\s*=(?!=)\s*")
 _GO_FUNC = re.compile(r"^func\s+(?:\(\s*\w+\s+\*?(?P<owner>\w+)\s*\)\s*)?(?P<name>\w+)\s*\(", re.M)
 _NODE_FUNC = re.compile(r"(?:(?:export\s+)?(?:async\s+)?function\s+(?P<a>\w+)\s*\(|(?:const|let)\s+(?P<b>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>|^\s+(?:async\s+)?(?P<c>\w+)\s*\([^)]*\)\s*(?::\s*[\w<>\[\]., |]+)?\s*\{)", re.M)
 _CALL = re.compile(r"\b((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)\s*\(")
@@ -99,10 +108,13 @@ def functions(text: str, language: str) -> Iterator[tuple[str, str, int, int, in
             if name in KEYWORDS or (m["type"] or "").strip() in KEYWORDS | {""} and not m["kname"]:
                 continue
             close = block_end(text, m.end() - 1, "()")
-            brace = re.compile(r"[^;{}=]*\{").match(text, close)
+            owner = next((o for a, b, o in reversed(owners) if a <= m.start() < b), None)
+            given = _EXPRESSION.match(text, close) if m["kname"] else None
+            brace = None if given else re.compile(r"[^;{}=]*\{").match(text, close)
+            if given:
+                yield f"{owner}.{name}" if owner else name, m["notes"], m.start(), given.end(), expression_end(text, given.end())
             if not brace:
                 continue
-            owner = next((o for a, b, o in reversed(owners) if a <= m.start() < b), None)
             yield f"{owner}.{name}" if owner else name, m["notes"], m.start(), brace.end(), block_end(text, brace.end() - 1)
     elif language == "go":
         for m in _GO_FUNC.finditer(text):
@@ -186,12 +198,6 @@ def _go(text: str) -> Iterator[Fact]:
 
 
 def _node(text: str) -> Iterator[Fact]:
-    for m in re.finditer(r"\b(?:app|router|server|fastify)\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`$]+)['\"`]\s*,\s*(?:[\w.]+\s*,\s*)*(?:(\w+)\s*\)|(?:async\s*)?[(f])", text):
-        yield "entrypoint", line_at(text, m.start()), line_at(text, m.end()), {"transport": "http", "method": m[1].upper(), "name": m[2], "symbol": m[3] or f"{m[1].upper()} {m[2]}"}
-    prefix = (re.search(r"@Controller\(\s*['\"]([^'\"]*)['\"]", text) or ["", ""])[1]
-    if "@Controller" in text:
-        for m in re.finditer(r"@(Get|Post|Put|Patch|Delete)\(\s*(?:['\"]([^'\"]*)['\"])?\s*\)(?:\s*@\w+\([^)]*\))*\s*(?:async\s+)?(\w+)\s*\(", text):
-            yield "entrypoint", line_at(text, m.start()), line_at(text, m.end()), {"transport": "http", "method": m[1].upper(), "name": joined_route(f"/{prefix}" if prefix else "", m[2] or ""), "symbol": m[3]}
     for symbol, _, _, body, end in functions(text, "node"):
         part = text[body:end]
         for m in re.finditer(r"\baxios\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`$]+)['\"`]|\bfetch\(\s*['\"`]([^'\"`$]+)['\"`](?:\s*,\s*\{[^}]*method:\s*['\"](\w+)['\"])?", part):
@@ -221,6 +227,11 @@ def _edges(text: str, language: str) -> Iterator[Fact]:
                 yield "flow_edge", line_at(text, m.start()), line_at(text, m.end()), {"from_symbol": symbol, "to_symbol": m[1], "edge_kind": call_kind(m[1]), "origin": "static"}
 
 
+def _clients(text: str, language: str) -> Iterator[Fact]:
+    classes = [(m.start(), block_end(text, text.find("{", m.end())) if "{" in text[m.end() :] else len(text), m["name"]) for m in _JVM_CLASS.finditer(text)] if language == "jvm" else []
+    yield from cloud_clients.facts_in(language, text, list(functions(text, language)) if language != "python" else [], classes)
+
+
 def joined_route(prefix: str, route: str) -> str:
     both = f"{prefix.rstrip('/')}/{route.lstrip('/')}" if route else prefix
     return (both if both.startswith("/") else f"/{both}").rstrip("/") or "/"
@@ -264,8 +275,6 @@ def _python(text: str) -> Iterator[Fact]:
                 yield "configuration", call.lineno, call.lineno, at | {"config_key": first, "key_kind": "environment"}
             if re.fullmatch(r"(requests|httpx)\.(get|post|put|patch|delete)", target) and first and (found := host_and_path(first)):
                 yield "service_call", call.lineno, call.lineno, at | {"target_service": found[0], "protocol": "http", "target_method": target.split(".")[1].upper(), "target_path": found[1]}
-            if target == "boto3.client" and first:
-                yield "cloud_fact", call.lineno, call.lineno, at | {"provider": "aws", "service_name": first, "operation": "client"}
 
 
 # --- schemas, migrations, declarations ------------------------------------------------------------------------------
@@ -440,14 +449,14 @@ def facts_in(path: str, text: str | None) -> list[Fact]:
     try:
         if end in ("java", "kt"):
             text = without_comments(text)
-            return [*_spring(text), *_edges(text, "jvm")]
+            return [*_spring(text), *_edges(text, "jvm"), *_clients(text, "jvm")]
         if end == "go":
             text = without_comments(text)
-            return [*_go(text), *_edges(text, "go")]
+            return [*_go(text), *_edges(text, "go"), *_clients(text, "go")]
         if end in ("js", "jsx", "ts", "tsx", "mjs", "cjs"):
             text = without_comments(text)
-            return [*_node(text), *_edges(text, "node")]
-        rules = {"py": _python, "proto": _proto, "graphql": _graphql, "graphqls": _graphql, "sql": _sql, "xml": _liquibase, "prisma": _prisma, "tf": _terraform, "json": _json}
+            return [*_node(text), *routes.facts_in(path, text), *_edges(text, "node"), *_clients(text, "node")]
+        rules = {"py": lambda t: [*_python(t), *_clients(t, "python")], "proto": _proto, "graphql": _graphql, "graphqls": _graphql, "sql": _sql, "xml": _liquibase, "prisma": _prisma, "tf": _terraform, "json": _json}
         if end in ("yaml", "yml"):
             return list(_yaml(path, text))
         return list(rules[end](text)) if end in rules else []
@@ -456,7 +465,13 @@ def facts_in(path: str, text: str | None) -> list[Fact]:
 
 
 def extract(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """All facts of all files, each file on its own."""
+    """All facts of all files: each file is read on its own; routes and clients are then put together over all of them."""
+    whole = checkpointed(routes.composed(checkpointed(raw_facts(files, path, text))))
+    return cloud_clients.with_cloud(whole)
+
+
+def raw_facts(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """What each file says, with its routers, mounts and routes apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

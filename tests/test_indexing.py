@@ -23,7 +23,7 @@ def tree(root):
     (root / "orders/src/OrderController.java").write_text(JAVA)
     (root / "web").mkdir()
     (root / "web/package.json").write_text('{"scripts": {"start": "node a.js"}, "dependencies": {"express": "4"}}')
-    (root / "web/a.js").write_text("const app = express();\napp.get('/health', function health(req, res) { res.send('ok'); });\n")
+    (root / "web/a.js").write_text("const express = require('express');\nconst app = express();\napp.get('/health', function health(req, res) { res.send('ok'); });\n")
 
 
 def describe(prompt, unit):
@@ -46,7 +46,7 @@ def test_a_tree_becomes_a_catalog_and_is_reused(spark, tmp_path):
     assert catalog.read("search_documents").count() >= 4
 
     ids = rows(catalog.read("services"), "id", "name")
-    (tmp_path / "shop/web/a.js").write_text("const app = express();\napp.get('/ready', function ready(req, res) { res.send('ok'); });\n")
+    (tmp_path / "shop/web/a.js").write_text("const express = require('express');\nconst app = express();\napp.get('/ready', function ready(req, res) { res.send('ok'); });\n")
     second = rows(indexing.index_path(spark, catalog, f"file://{tmp_path}/shop", "shop"), "service", "state")
     assert second == [("orders", "reused"), ("web", "changed")]
     assert rows(catalog.read("services"), "id", "name") == ids

@@ -27,6 +27,8 @@ func main() { v1 := r.Group("/v1"); v1.GET("/items", ListItems) }
 func ListItems(w http.ResponseWriter, r *http.Request) { http.Get("http://stock:8080/levels?x=1"); http.Error(w, err.Error(), http.StatusNotFound); os.Getenv("DB_URL"); ch.Publish("ex", "item.listed") }
 ''',
     "app.ts": '''
+import express from "express";
+const app = express();
 app.post('/carts', createCart);
 async function createCart(req, res) { await axios.put('http://prices/quote'); channel.sendToQueue('cart.created', x); res.status(409).json({ e: err.message }); client.variation('new-cart', u, false); process.env.REGION }
 ''',
