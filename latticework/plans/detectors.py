@@ -210,18 +210,46 @@ def retry_write_publish(f: Facts) -> DataFrame:
     return _finding(df, "possible_retry_on_write_publish_flow", "warning", _one(), F.col("source"), F.concat("source", F.lit(" retries, writes and publishes.")), 0.7, F.concat(_shown("policies"), _shown("writes"), _shown("publishes")), channels=F.array_distinct(F.transform("publishes", lambda x: x["to_symbol"])), write_count=F.size("writes"), publish_count=F.size("publishes"))
 
 
+def _consumers_by_channel(consumers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What flows need to know of a channel's consumers once their own service is left out.
+
+    (channel, total, least, services): how many distinct consumers there are; the least of them, at most three of each service
+    and six in all, so that three of other services than any one are among them; and all their services. And (channel,
+    service_id, own): how many of them are of one service alone. A consumer that several services share is of none alone.
+    """
+    alone = F.when(F.min("consumer_id") == F.max("consumer_id"), F.min("consumer_id"))
+    distinct = consumers.groupBy("channel", "consumer").agg(alone.alias("alone"))
+    of_service = F.row_number().over(Window.partitionBy("channel", "alone").orderBy("consumer"))
+    of_channel = F.row_number().over(Window.partitionBy("channel").orderBy("consumer"))
+    least = distinct.withColumn("_n", of_service).filter(f"_n <= {SHOWN}").withColumn("_n", of_channel).filter(f"_n <= {2 * SHOWN}")
+    least = least.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("consumer", "alone"))).alias("least"))
+    own = distinct.groupBy("channel", F.col("alone").alias("service_id")).agg(F.count("*").alias("own"))
+    total = own.groupBy("channel").agg(F.sum("own").alias("total"))
+    services = consumers.select("channel", "consumer_service", "consumer_id").distinct()
+    services = services.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("consumer_service", "consumer_id"))).alias("services"))
+    return total.join(least, "channel").join(services, "channel"), own.filter("service_id IS NOT NULL")
+
+
 def _per_channel(f: Facts, consumers: DataFrame) -> DataFrame:
-    """Retrying write-and-publish flows by channel, with the consumers in other services."""
-    flows = _retry_write_publish(f).withColumn("p", F.explode("publishes")).withColumn("channel", F.col("p.to_symbol")).withColumn("publish_evidence", F.col("p.evidence"))
-    met = flows.join(consumers, "channel").filter("consumer_id <> service_id")
-    keys = ["service_id", "source", "channel"]
-    once = met.groupBy(*keys).agg(F.first("policies").alias("policies"), F.first("writes").alias("writes"), F.min("publish_evidence").alias("publish_evidence"), F.sort_array(F.collect_set("consumer")).alias("consumers"), F.sort_array(F.collect_set("consumer_service")).alias("others"))
-    return f.named(once)
+    """Retrying write-and-publish flows by channel, with the consumers in other services: counted for each channel, never paired."""
+    channels, own = _consumers_by_channel(consumers)
+    flows = _retry_write_publish(f).select(*_AT, _shown("policies").alias("policies"), _shown("writes").alias("writes"), F.explode("publishes").alias("p"))
+    flows = flows.groupBy(*_AT, F.col("p.to_symbol").alias("channel")).agg(F.min("policies").alias("policies"), F.min("writes").alias("writes"), F.min("p.evidence").alias("publish_evidence"))
+    met = flows.join(channels, "channel").join(own, ["channel", "service_id"], "left")
+    met = met.withColumn("consumer_count", (F.col("total") - F.coalesce("own", F.lit(0))).cast("int"))
+    others = F.filter("services", lambda x: x["consumer_id"] != F.col("service_id"))
+    met = met.withColumn("others", F.array_distinct(F.transform(others, lambda x: x["consumer_service"]))).filter("size(others) > 0")
+    shown = F.filter("least", lambda x: x["alone"].isNull() | (x["alone"] != F.col("service_id")))
+    return f.named(met.withColumn("consumers", F.transform(F.slice(shown, 1, SHOWN), lambda x: x["consumer"])))
 
 
 def _per_channel_finding(df: DataFrame, kind: str, confidence: float, what: str) -> DataFrame:
-    shown = F.concat(_shown("policies"), _shown("writes"), F.array("publish_evidence"), F.flatten(F.transform(F.slice("consumers", 1, SHOWN), lambda x: x["evidences"])))
-    return _finding(df, kind, "warning", F.array_union(_one(), F.col("others")), _key("source", "channel"), F.concat("source", F.lit(" may deliver twice to "), "channel", F.lit(what)), confidence, shown, channel=F.col("channel"), producer=F.col("service"), consumer_count=F.size("consumers"), consumer_services=F.col("others"))
+    shown = F.concat("policies", "writes", F.array("publish_evidence"), F.flatten(F.transform("consumers", lambda x: x["evidences"])))
+    return _finding(
+        df, kind, "warning", F.array_union(_one(), F.col("others")), _key("source", "channel"),
+        F.concat("source", F.lit(" may deliver twice to "), "channel", F.lit(what)), confidence, shown,
+        channel=F.col("channel"), producer=F.col("service"), consumer_count=F.col("consumer_count"), consumer_services=F.col("others"),
+    )
 
 
 def retry_reaches_consumers(f: Facts) -> DataFrame:

@@ -22,7 +22,7 @@ from latticework.functions import text
 from latticework.operators import relational
 from latticework.plans import detectors
 from latticework.sources import catalog as catalogs
-from latticework.sources import extract, receivers, scanning, stacks
+from latticework.sources import extract, queues, receivers, scanning, stacks
 from latticework.sources.folders import checkpointed, workers_find_us
 
 ANALYSIS_VERSION = "2"
@@ -338,8 +338,10 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
         changes = checkpointed(_changes(catalog.read("indexed_files").join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi"), hashes))
 
         facts = checkpointed(extract.extract(owned.join(stale, "service_id", "left_semi")).join(owned.select("path", "service_id"), "path").withColumn("repository_id", F.lit(repo).cast("long")))
-        said = checkpointed(receivers.declared(owned.join(stale, "service_id", "left_semi")))
+        said = receivers.declared(owned.join(stale, "service_id", "left_semi")).join(owned.select("path", "service_id"), "path")
+        said = checkpointed(said.withColumn("repository_id", F.lit(repo).cast("long")))
         contracts = fact_rows(facts, "entrypoints", "contract").filter("contract IS NOT NULL").select(F.col("id").alias("entrypoint_id"), "contract").distinct()
+        contracts = contracts.unionByName(_queue_contracts(facts))
         owned_before = catalog.read("entrypoints").join(stale, "service_id", "left_semi").select(F.col("id").alias("entrypoint_id"))
         catalog.replace("entrypoint_contracts", owned_before.unionByName(contracts.select("entrypoint_id")), contracts, "entrypoint_id")
         for table in TABLES_OF_FACTS:
@@ -365,17 +367,48 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
     return states.join(units, "service_id", "left").select("service_id", "service", "state", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("failed", F.lit(0)).alias("failed"))
 
 
+def _queue_contracts(facts: DataFrame) -> DataFrame:
+    """(entrypoint_id, contract) of the consumers of broker queues, with what all files of their service declare of these."""
+    field = lambda name: F.col("fields")[name]
+    consumed = facts.filter((F.col("kind") == "message_contract") & (field("direction") == "consumes") & (field("transport") == "rabbitmq"))
+    channels = consumed.select("service_id", field("channel").alias("channel")).distinct()
+    entries = fact_rows(facts, "entrypoints").filter("kind = 'message' AND method = 'CONSUME'").select("id", "service_id", F.col("name").alias("channel"))
+    consumers = entries.join(channels, ["service_id", "channel"], "left_semi")
+    told = queues.consumer_contracts(consumers, queues.queue_contracts(facts, ["service_id"]), ["service_id"])
+    return told.select(F.col("id").alias("entrypoint_id"), "contract").distinct()
+
+
 def _by_receivers(rows: DataFrame, table: str, facts: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Flow edges with the kinds that declared receivers tell, and calls of declared HTTP clients among the service calls."""
+    """A table's facts with what declarations add: kinds of flow edges, handlers of generated servers, and calls of declared and generated clients."""
     if table == "flow_edges":
         return receivers.classified(rows.withColumn("path", F.col("evidence.file")), declarations).drop("path")
+    rpcs = facts.filter("kind = 'entrypoint' AND fields['transport'] = 'rpc'")
+    rpcs = rpcs.select(F.substring_index(F.col("fields")["name"], "/", 1).alias("service"), F.substring_index(F.col("fields")["name"], "/", -1).alias("method"), F.col("fields")["method"].alias("way"))
+    if table == "entrypoints":
+        return rows.unionByName(_rpc_handlers(rows, rpcs, declarations))
     if table == "static_service_calls":
         edges = fact_rows(facts, "flow_edges").withColumn("path", F.col("evidence.file"))
-        calls = receivers.remote_calls(edges, declarations).join(edges.groupBy("path", F.col("from_symbol").alias("source")).agg(F.min("service_id").alias("service_id"), F.min("repository_id").alias("repository_id"), F.min("evidence").alias("evidence")), ["path", "source"])
+        at = edges.groupBy("path", F.col("from_symbol").alias("source")).agg(F.min("service_id").alias("service_id"), F.min("repository_id").alias("repository_id"), F.min("evidence").alias("evidence"))
+        generated = receivers.grpc_calls(edges, declarations, rpcs.select("service", "method").distinct())
+        name = F.split("name", "/")
+        generated = generated.select("path", "source", name[0].alias("target_service"), F.lit("grpc").alias("protocol"), name[1].alias("target_method"), F.lit(None).cast("string").alias("target_path"))
+        calls = receivers.remote_calls(edges, declarations).unionByName(generated).join(at, ["path", "source"])
         return rows.unionByName(calls.select(*rows.columns))
     return rows
 
 
+def _rpc_handlers(rows: DataFrame, rpcs: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Entrypoints of the handlers of declared RPCs, in the columns of entrypoints."""
+    handlers = receivers.grpc_entrypoints(declarations, rpcs.select("service", "method").distinct())
+    ways = rpcs.groupBy(F.concat_ws("/", "service", "method").alias("name")).agg(F.min("way").alias("method"))
+    evidence = F.struct(F.col("path").alias("file"), "start_line", "end_line")
+    at = declarations.filter("kind = 'grpc_handler'").groupBy("path", F.col("fields")["symbol"].alias("symbol"))
+    at = at.agg(F.min("service_id").alias("service_id"), F.min("repository_id").alias("repository_id"), F.min(evidence).alias("evidence"))
+    found = handlers.join(at, ["path", "symbol"]).join(ways, "name").withColumn("kind", F.lit("grpc"))
+    number = F.xxhash64("service_id", F.to_json(F.struct("kind", "method", "name", "symbol", "evidence")))
+    return found.withColumn("id", number).select(*rows.columns)
+
+
 def _repository(catalog: catalogs.Catalog, name: str, root: str) -> int:
     rows = catalog.read("repositories").filter(F.col("name") == name).select("id").limit(1).collect()
     if rows:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators import relational
+from latticework.operators import paths, relational
 
 UNIT = ["id", "service", "role", "symbol", "action", "reason", "related_contracts", "validation", "confidence", "evidence"]
 
@@ -126,6 +126,29 @@ def migration_units(persisted: DataFrame, migrations: DataFrame, primary: DataFr
     return _unit(rows, "persistence-migration", "persistence", ["entity"], reason, F.array(F.concat(F.lit("database:"), "entity")), 1.0, checks)
 
 
+def http_contract_units(calls: DataFrame, endpoints: DataFrame, services: DataFrame, primary: DataFrame) -> DataFrame:
+    """One unit for each HTTP contract that a primary service's calls reach in another indexed service.
+
+    calls: (service_id, source, target_service, protocol, target_method, target_path, evidence). endpoints: (service_id, kind,
+    method, name). services: (id, repository_id, name). A call reaches the endpoint with the most specific template that its path
+    fits, in the only service of that name, else in the only one of it in the caller's repository. Calls without a method or path,
+    and of no known endpoint, make no unit; calls of one contract from several places make one, with all their evidence.
+    """
+    home = services.select(F.col("id").alias("service_id"), "repository_id", F.col("name").alias("service"))
+    asked = calls.filter("protocol = 'http' AND target_method IS NOT NULL AND target_path IS NOT NULL").join(home, "service_id")
+    asked = asked.join(primary.select("service").distinct(), "service", "left_semi").select("service", "repository_id", "source", "target_service", "target_method", "target_path", "evidence")
+    known = relational.resolve_reference(asked, services, "target_service").filter("resolved_id IS NOT NULL").drop("repository_id")
+    known = known.withColumn("_method", F.upper("target_method"))
+    there = endpoints.filter("kind = 'http'").select(F.col("service_id").alias("resolved_id"), F.upper("method").alias("_method"), F.col("name").alias("contract_path")).distinct()
+    met = paths.matched_templates(known, there, ["resolved_id", "_method"], "target_path", "contract_path")
+    names = services.select(F.col("id").alias("resolved_id"), F.col("name").alias("target"))
+    rows = met.join(names, "resolved_id").groupBy("service", "target", F.col("_method").alias("method"), F.col("contract_path").alias("path")).agg(_evidence("evidence").alias("evidence"))
+    reason = F.concat_ws(" ", F.lit("A proven HTTP call reaches"), "target", "method", F.concat("path", F.lit(".")))
+    contract = F.concat_ws(" ", "method", "path")
+    checks = F.array(F.concat(F.lit("verify that both sides agree on "), contract))
+    return _unit(rows, "http-contract", "integration", ["target", "method", "path"], reason, F.array(contract), 1.0, checks)
+
+
 def feature_flag_units(flags: DataFrame, primary: DataFrame) -> DataFrame:
     """One unit for each flag, by provider and key, that a primary service reads."""
     rows = flags.filter("provider <> '' AND flag_key <> ''").join(primary.select("service").distinct(), "service", "left_semi").groupBy("service", "provider", "flag_key").agg(_evidence("evidence").alias("evidence"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.sources import cloud_clients, routes
+from latticework.sources import cloud_clients, queues, routes
 from latticework.sources.folders import checkpointed, workers_find_us
 
 SCHEMA = "kind string, path string, start_line int, end_line int, fields map<string,string>"
@@ -164,7 +164,7 @@ def _spring(text: str) -> Iterator[Fact]:
             value = int(m[3]) * (1000 if m[2] == "Seconds" else 1)
             yield "policy", line_at(text, body + m.start()), line_at(text, body + m.end()), {"source": symbol, "policy": m[1], "mechanism": "reactor", "value": str(value), "unit": "retries" if m[1] == "retry" else "milliseconds"}
         for m in re.finditer(r"\b\w*[tT]emplate\.(convertAndSend|send)\(\s*\"([^\"]+)\"(?:\s*,\s*\"([^\"]+)\")?", text[body:end]):
-            yield "message_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"direction": "publishes", "channel": m[3] or m[2], "source": symbol, "transport": "rabbitmq" if m[1][0] == "c" else "kafka"}
+            yield "message_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"direction": "publishes", "channel": m[3] or m[2], "source": symbol, "transport": "rabbitmq" if m[1][0] == "c" else "kafka"} | ({"exchange": m[2] if m[3] else "", "routing_key": m[3] or m[2]} if m[1][0] == "c" else {})
     for m in re.finditer(r"@(Entity|Document)\b(?:\([^)]*\))?(?:\s*@Table\(\s*name\s*=\s*\"([^\"]+)\"[^)]*\))?[^{;]*?\bclass\s+(\w+)", text):
         yield "persistence", line_at(text, m.start()), line_at(text, m.end()), {"name": m[2] or m[3], "entity_kind": "sql_table" if m[1] == "Entity" else "document", "owner": m[3]}
     for m in re.finditer(r"@Value\(\s*\"\\?\$\{([^}:\"]+)", text):
@@ -184,8 +184,8 @@ def _go(text: str) -> Iterator[Fact]:
         for m in re.finditer(r"http\.Error\(\s*\w+\s*,\s*(.+?)\s*,\s*(?:http\.Status(\w+)|(\d{3}))\s*\)", part):
             code = STATUS.get(m[2] or "", int(m[3] or 0))
             yield "error_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"source": symbol, "role": "maps", "internal_type": "", "protocol": "http", "transport_code": str(code), "error_kind": ERROR_KINDS.get(code, "unknown"), "exposes_internal_detail": str(bool(re.fullmatch(r"err\.Error\(\)", m[1]))).lower()}
-        for m in re.finditer(r"\.Publish(?:WithContext)?\((?:\w+,\s*)?\"([^\"]*)\"\s*,\s*\"([^\"]+)\"", part):
-            yield "message_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"direction": "publishes", "channel": m[2], "source": symbol, "transport": "rabbitmq"}
+        for m in re.finditer(r"\.Publish(?:WithContext)?\(\s*(?:\w+,\s*)?\"([^\"]*)\"\s*,\s*\"([^\"]+)\"", part):
+            yield "message_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"direction": "publishes", "channel": m[2], "source": symbol, "transport": "rabbitmq", "exchange": m[1], "routing_key": m[2]}
         for m in re.finditer(r"kafka\.Message\{[^}]*Topic:\s*\"([^\"]+)\"", part):
             yield "message_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"direction": "publishes", "channel": m[1], "source": symbol, "transport": "kafka"}
         for m in re.finditer(r"\.Consume\(\s*\"([^\"]+)\"", part):
@@ -204,7 +204,7 @@ def _node(text: str) -> Iterator[Fact]:
             if found := host_and_path(m[2] or m[3]):
                 yield "service_call", line_at(text, body + m.start()), line_at(text, body + m.end()), {"source": symbol, "target_service": found[0], "protocol": "http", "target_method": (m[1] or m[4] or "GET").upper(), "target_path": found[1]}
         for m in re.finditer(r"\.publish\(\s*['\"]([^'\"]*)['\"]\s*,\s*['\"]([^'\"]+)['\"]|\.sendToQueue\(\s*['\"]([^'\"]+)['\"]|\.send\(\s*\{\s*topic:\s*['\"]([^'\"]+)['\"]", part):
-            yield "message_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"direction": "publishes", "channel": m[2] or m[3] or m[4], "source": symbol, "transport": "kafka" if m[4] else "rabbitmq"}
+            yield "message_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"direction": "publishes", "channel": m[2] or m[3] or m[4], "source": symbol, "transport": "kafka" if m[4] else "rabbitmq"} | ({} if m[4] else {"exchange": m[1] or "", "routing_key": m[2] or m[3]})
         for m in re.finditer(r"\bres(?:ponse)?\.status\((\d{3})\)\.(?:json|send)\(([^;]*)", part):
             if int(m[1]) >= 400:
                 yield "error_contract", line_at(text, body + m.start()), line_at(text, body + m.end()), {"source": symbol, "role": "maps", "internal_type": "", "protocol": "http", "transport_code": m[1], "error_kind": ERROR_KINDS.get(int(m[1]), "unknown"), "exposes_internal_detail": str(bool(re.search(r"\berr(?:or)?\.(?:message|stack|cause)", m[2]))).lower()}
@@ -449,13 +449,13 @@ def facts_in(path: str, text: str | None) -> list[Fact]:
     try:
         if end in ("java", "kt"):
             text = without_comments(text)
-            return [*_spring(text), *_edges(text, "jvm"), *_clients(text, "jvm")]
+            return [*_spring(text), *_edges(text, "jvm"), *_clients(text, "jvm"), *queues.facts_in("jvm", text)]
         if end == "go":
             text = without_comments(text)
-            return [*_go(text), *_edges(text, "go"), *_clients(text, "go")]
+            return [*_go(text), *_edges(text, "go"), *_clients(text, "go"), *queues.facts_in("go", text)]
         if end in ("js", "jsx", "ts", "tsx", "mjs", "cjs"):
             text = without_comments(text)
-            return [*_node(text), *routes.facts_in(path, text), *_edges(text, "node"), *_clients(text, "node")]
+            return [*_node(text), *routes.facts_in(path, text), *_edges(text, "node"), *_clients(text, "node"), *queues.facts_in("node", text)]
         rules = {"py": lambda t: [*_python(t), *_clients(t, "python")], "proto": _proto, "graphql": _graphql, "graphqls": _graphql, "sql": _sql, "xml": _liquibase, "prisma": _prisma, "tf": _terraform, "json": _json}
         if end in ("yaml", "yml"):
             return list(_yaml(path, text))
