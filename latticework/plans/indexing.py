@@ -22,7 +22,7 @@ from latticework.functions import text
 from latticework.operators import relational
 from latticework.plans import detectors
 from latticework.sources import catalog as catalogs
-from latticework.sources import extract, queues, receivers, scanning, stacks
+from latticework.sources import extract, openapi, queues, receivers, scanning, stacks
 from latticework.sources.folders import checkpointed, workers_find_us
 
 ANALYSIS_VERSION = "2"
@@ -340,8 +340,7 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
         facts = checkpointed(extract.extract(owned.join(stale, "service_id", "left_semi")).join(owned.select("path", "service_id"), "path").withColumn("repository_id", F.lit(repo).cast("long")))
         said = receivers.declared(owned.join(stale, "service_id", "left_semi")).join(owned.select("path", "service_id"), "path")
         said = checkpointed(said.withColumn("repository_id", F.lit(repo).cast("long")))
-        contracts = fact_rows(facts, "entrypoints", "contract").filter("contract IS NOT NULL").select(F.col("id").alias("entrypoint_id"), "contract").distinct()
-        contracts = contracts.unionByName(_queue_contracts(facts))
+        contracts = checkpointed(_contracts(facts, said))
         owned_before = catalog.read("entrypoints").join(stale, "service_id", "left_semi").select(F.col("id").alias("entrypoint_id"))
         catalog.replace("entrypoint_contracts", owned_before.unionByName(contracts.select("entrypoint_id")), contracts, "entrypoint_id")
         for table in TABLES_OF_FACTS:
@@ -367,15 +366,31 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
     return states.join(units, "service_id", "left").select("service_id", "service", "state", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("failed", F.lit(0)).alias("failed"))
 
 
-def _queue_contracts(facts: DataFrame) -> DataFrame:
-    """(entrypoint_id, contract) of the consumers of broker queues, with what all files of their service declare of these."""
+def _joined_objects(*objects: Column) -> Column:
+    """JSON objects as one; nulls and empty ones add nothing."""
+    inner = F.filter(F.transform(F.array(*objects), lambda o: F.regexp_extract(o, r"(?s)^\{(.*)\}$", 1)), lambda o: o.isNotNull() & (o != ""))
+    return F.when(F.size(inner) > 0, F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}")))
+
+
+def _contracts(facts: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(entrypoint_id, contract): what code says of an entrypoint, with the nested fields of its body, its formal contract and its queue."""
+    entries = fact_rows(facts, "entrypoints", "contract").select("id", "service_id", "kind", "method", "name", "contract").distinct()
+    asked = entries.filter("contract IS NOT NULL").withColumn("_type", F.get_json_object("contract", "$.request.type"))
+    shaped = receivers.with_nested_shapes(asked, declarations, "_type", ["service_id"])
+    fields = F.when(F.col("shape").isNotNull(), F.concat(F.lit('{"request_fields":'), "shape", F.lit("}")))
+    said = shaped.select("id", "contract", fields.alias("fields"))
+    files = facts.filter("kind = 'openapi'").select("path", "service_id").distinct()
+    declared = openapi.contracts(facts).join(files, "path")
+    formal = openapi.declared_for(entries.filter("kind = 'http'").drop("contract"), declared, ["service_id"])
+    formal = formal.select("id", F.concat(F.lit('{"formal_contract":'), "formal", F.lit("}")).alias("formal"))
     field = lambda name: F.col("fields")[name]
     consumed = facts.filter((F.col("kind") == "message_contract") & (field("direction") == "consumes") & (field("transport") == "rabbitmq"))
     channels = consumed.select("service_id", field("channel").alias("channel")).distinct()
-    entries = fact_rows(facts, "entrypoints").filter("kind = 'message' AND method = 'CONSUME'").select("id", "service_id", F.col("name").alias("channel"))
-    consumers = entries.join(channels, ["service_id", "channel"], "left_semi")
-    told = queues.consumer_contracts(consumers, queues.queue_contracts(facts, ["service_id"]), ["service_id"])
-    return told.select(F.col("id").alias("entrypoint_id"), "contract").distinct()
+    consumers = entries.filter("kind = 'message' AND method = 'CONSUME'").select("id", "service_id", F.col("name").alias("channel")).join(channels, ["service_id", "channel"], "left_semi")
+    queue = queues.consumer_contracts(consumers, queues.queue_contracts(facts, ["service_id"]), ["service_id"]).select("id", F.col("contract").alias("queue"))
+    whole = said.join(formal, "id", "full").join(queue, "id", "full")
+    contract = _joined_objects(F.col("contract"), F.col("fields"), F.col("formal"), F.col("queue"))
+    return whole.select(F.col("id").alias("entrypoint_id"), contract.alias("contract")).filter("contract IS NOT NULL")
 
 
 def _by_receivers(rows: DataFrame, table: str, facts: DataFrame, declarations: DataFrame) -> DataFrame:

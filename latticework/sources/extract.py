@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.sources import cloud_clients, queues, routes
+from latticework.sources import cloud_clients, openapi, queues, routes
 from latticework.sources.folders import checkpointed, workers_find_us
 
 SCHEMA = "kind string, path string, start_line int, end_line int, fields map<string,string>"
@@ -129,13 +129,22 @@ def functions(text: str, language: str) -> Iterator[tuple[str, str, int, int, in
                 yield name, "", m.start(), brace + 1, block_end(text, brace)
 
 
+def _signature(head: str) -> dict[str, str]:
+    """The body parameter of a handler as a contract, where its type is told."""
+    m = re.search(r"@RequestBody\b(?:\([^)]*\))?\s+(?:@\w+(?:\([^)]*\))?\s+)*(?:final\s+)?(?:(\w+)\s*:\s*([A-Z]\w*)(\?)?|([A-Z]\w*)(?:<[^<>]*>)?\s+(\w+))", head)
+    if not m:
+        return {}
+    optional = bool(m[3]) or "required = false" in m[0]
+    return {"contract": json.dumps({"request": {"name": m[1] or m[5], "required": not optional, "type": m[2] or m[4]}})}
+
+
 def _spring(text: str) -> Iterator[Fact]:
     prefixes = [(m.start(), (re.search(r"@RequestMapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"", m["notes"]) or ["", ""])[1]) for m in _JVM_CLASS.finditer(text)]
     for symbol, notes, at, body, end in functions(text, "jvm"):
         first, last = line_at(text, at + len(notes) - len(notes.lstrip())), line_at(text, end)
         prefix = next((p for a, p in reversed(prefixes) if a <= at), "")
         for m in re.finditer(r"@(Get|Post|Put|Patch|Delete)Mapping(?:\(\s*(?:value\s*=\s*|path\s*=\s*)?(?:\"([^\"]*)\")?[^)]*\))?", notes):
-            yield "entrypoint", first, last, {"transport": "http", "method": m[1].upper(), "name": joined_route(prefix, m[2] or ""), "symbol": symbol}
+            yield "entrypoint", first, last, {"transport": "http", "method": m[1].upper(), "name": joined_route(prefix, m[2] or ""), "symbol": symbol} | _signature(text[at:body])
         for m in re.finditer(r"@(QueryMapping|MutationMapping)", notes):
             yield "entrypoint", first, last, {"transport": "graphql", "method": "QUERY" if m[1][0] == "Q" else "MUTATION", "name": symbol.rsplit(".", 1)[-1], "symbol": symbol}
         for m in re.finditer(r"@(RabbitListener|KafkaListener)\([^)]*(?:queues|topics)\s*=\s*[\[{]?\s*\"([^\"]+)\"", notes):
@@ -428,19 +437,6 @@ def _kubernetes(rows: list, first: int) -> Iterator[Fact]:
             yield "k8s_import", first + r[0], first + r[0] + len(ref), scope | {"source_kind": "config_map" if r[2][0] == "c" else "secret", "source_name": ref.get("name", ""), "optional": ref.get("optional", ""), "prefix": ""}
 
 
-def _openapi(document: dict) -> Iterator[Fact]:
-    for route, item in (document.get("paths") or {}).items():
-        for method, operation in item.items() if isinstance(item, dict) else ():
-            if method in ("get", "post", "put", "patch", "delete") and isinstance(operation, dict):
-                yield "openapi", 1, 1, {"method": method.upper(), "name": route, "operation_id": str(operation.get("operationId", "")), "statuses": ",".join(sorted(map(str, operation.get("responses") or {})))}
-
-
-def _json(text: str) -> Iterator[Fact]:
-    document = json.loads(text)
-    if isinstance(document, dict) and ("openapi" in document or "swagger" in document):
-        yield from _openapi(document)
-
-
 def facts_in(path: str, text: str | None) -> list[Fact]:
     """All facts of one file, by its name's ending; nothing for files that are not understood."""
     if not text:
@@ -456,9 +452,9 @@ def facts_in(path: str, text: str | None) -> list[Fact]:
         if end in ("js", "jsx", "ts", "tsx", "mjs", "cjs"):
             text = without_comments(text)
             return [*_node(text), *routes.facts_in(path, text), *_edges(text, "node"), *_clients(text, "node"), *queues.facts_in("node", text)]
-        rules = {"py": lambda t: [*_python(t), *_clients(t, "python")], "proto": _proto, "graphql": _graphql, "graphqls": _graphql, "sql": _sql, "xml": _liquibase, "prisma": _prisma, "tf": _terraform, "json": _json}
+        rules = {"py": lambda t: [*_python(t), *_clients(t, "python")], "proto": _proto, "graphql": _graphql, "graphqls": _graphql, "sql": _sql, "xml": _liquibase, "prisma": _prisma, "tf": _terraform, "json": lambda t: openapi.facts_in(path, t)}
         if end in ("yaml", "yml"):
-            return list(_yaml(path, text))
+            return [*_yaml(path, text), *openapi.facts_in(path, text)]
         return list(rules[end](text)) if end in rules else []
     except (SyntaxError, ValueError, RecursionError):
         return []

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.operators import nesting
 from latticework.sources import extract
 from latticework.sources.extract import Fact, block_end, line_at, without_comments
 from latticework.sources.folders import workers_find_us
@@ -232,3 +233,22 @@ def with_shapes(contracts: DataFrame, declarations: DataFrame, name: str) -> Dat
     """Contracts with the fields of the data type that a column names, as JSON, where exactly one type has this name."""
     shapes = _fields(declarations, "shape", "name", "shape").groupBy(F.col("name").alias("_name")).agg(F.min("shape").alias("shape"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
     return contracts.join(shapes, contracts[name] == shapes["_name"], "left").drop("_name")
+
+
+def shape_fields(declarations: DataFrame, by: list[str]) -> DataFrame:
+    """(by, owner, name, type, required): the fields of the data types that exactly one declaration of `by` has, lists and pointers taken off."""
+    shapes = declarations.filter("kind = 'shape'").groupBy(*by, F.col("fields")["name"].alias("owner")).agg(F.min(F.col("fields")["shape"]).alias("shape"), F.count("*").alias("_n")).filter("_n = 1")
+    one = shapes.select(*by, "owner", F.explode(F.from_json("shape", "array<struct<name:string,type:string,required:boolean>>")).alias("f"))
+    bare = F.regexp_replace(F.regexp_extract("f.type", r"^(?:(?:List|Set|Collection|Optional|Iterable)<)?([\w*\[\].]+)>?$", 1), r"^[*\[\]]+|^.*\.", "")
+    return one.select(*by, "owner", "f.name", F.when(bare != "", bare).otherwise(F.col("f.type")).alias("type"), F.col("f.required").alias("required"))
+
+
+def with_nested_shapes(contracts: DataFrame, declarations: DataFrame, name: str, by: list[str] = (), most: int = nesting.DEPTH) -> DataFrame:
+    """Contracts with `shape`: the fields of the data type that a column names, and of the types of these, as JSON.
+
+    A field has its path, type and state as in `nesting.unfolded`. Only types that exactly one declaration has are unfolded.
+    """
+    by = list(by)
+    rows = nesting.unfolded(shape_fields(declarations, by), by, most)
+    one = rows.groupBy(*by, F.col("root").alias("_name")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("path", "type", "state")))).alias("shape"))
+    return contracts.join(one.select(*(F.col(c).alias(f"_{c}") for c in by), "_name", "shape") if by else one, [contracts[c] == F.col(f"_{c}") for c in by] + [contracts[name] == F.col("_name")], "left").drop("_name", *(f"_{c}" for c in by))
