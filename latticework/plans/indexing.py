@@ -366,31 +366,39 @@ def index_path(spark: SparkSession, catalog: catalogs.Catalog, root: str, reposi
     return states.join(units, "service_id", "left").select("service_id", "service", "state", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("failed", F.lit(0)).alias("failed"))
 
 
-def _joined_objects(*objects: Column) -> Column:
-    """JSON objects as one; nulls and empty ones add nothing."""
-    inner = F.filter(F.transform(F.array(*objects), lambda o: F.regexp_extract(o, r"(?s)^\{(.*)\}$", 1)), lambda o: o.isNotNull() & (o != ""))
+def _joined_objects(objects: str | Column, *more: Column) -> Column:
+    """JSON objects, an array of them or several columns, as one; nulls and empty ones add nothing."""
+    every = F.array(objects, *more) if more else F.col(objects)
+    inner = F.filter(F.transform(every, lambda o: F.regexp_extract(o, r"(?s)^\{(.*)\}$", 1)), lambda o: o.isNotNull() & (o != ""))
     return F.when(F.size(inner) > 0, F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}")))
 
 
 def _contracts(facts: DataFrame, declarations: DataFrame) -> DataFrame:
     """(entrypoint_id, contract): what code says of an entrypoint, with the nested fields of its body, its formal contract and its queue."""
+    kinds = extract.kinds_of(facts)
     entries = fact_rows(facts, "entrypoints", "contract").select("id", "service_id", "kind", "method", "name", "contract").distinct()
-    asked = entries.filter("contract IS NOT NULL").withColumn("_type", F.get_json_object("contract", "$.request.type"))
-    shaped = receivers.with_nested_shapes(asked, declarations, "_type", ["service_id"])
-    fields = F.when(F.col("shape").isNotNull(), F.concat(F.lit('{"request_fields":'), "shape", F.lit("}")))
-    said = shaped.select("id", "contract", fields.alias("fields"))
-    files = facts.filter("kind = 'openapi'").select("path", "service_id").distinct()
-    declared = openapi.contracts(facts).join(files, "path")
-    formal = openapi.declared_for(entries.filter("kind = 'http'").drop("contract"), declared, ["service_id"])
-    formal = formal.select("id", F.concat(F.lit('{"formal_contract":'), "formal", F.lit("}")).alias("formal"))
-    field = lambda name: F.col("fields")[name]
-    consumed = facts.filter((F.col("kind") == "message_contract") & (field("direction") == "consumes") & (field("transport") == "rabbitmq"))
-    channels = consumed.select("service_id", field("channel").alias("channel")).distinct()
-    consumers = entries.filter("kind = 'message' AND method = 'CONSUME'").select("id", "service_id", F.col("name").alias("channel")).join(channels, ["service_id", "channel"], "left_semi")
-    queue = queues.consumer_contracts(consumers, queues.queue_contracts(facts, ["service_id"]), ["service_id"]).select("id", F.col("contract").alias("queue"))
-    whole = said.join(formal, "id", "full").join(queue, "id", "full")
-    contract = _joined_objects(F.col("contract"), F.col("fields"), F.col("formal"), F.col("queue"))
-    return whole.select(F.col("id").alias("entrypoint_id"), contract.alias("contract")).filter("contract IS NOT NULL")
+    whole = entries.filter("contract IS NOT NULL").select("id", "service_id", F.col("contract").alias("said"))
+    if not declarations.filter("kind = 'shape'").isEmpty():
+        asked = whole.withColumn("_type", F.get_json_object("said", "$.request.type"))
+        shaped = receivers.with_nested_shapes(asked, declarations, "_type", ["service_id"])
+        fields = F.when(F.col("shape").isNotNull(), F.concat(F.lit('{"request_fields":'), "shape", F.lit("}")))
+        whole = shaped.select("id", _joined_objects(F.col("said"), fields).alias("said"))
+    whole = whole.select("id", "said")
+    if "openapi" in kinds:
+        files = facts.filter("kind = 'openapi'").select("path", "service_id").distinct()
+        declared = openapi.contracts(facts).join(files, "path")
+        formal = openapi.declared_for(entries.filter("kind = 'http'").drop("contract"), declared, ["service_id"])
+        whole = whole.unionByName(formal.select("id", F.concat(F.lit('{"formal_contract":'), "formal", F.lit("}")).alias("said")))
+    if "message_contract" in kinds:
+        field = lambda name: F.col("fields")[name]
+        consumed = facts.filter((F.col("kind") == "message_contract") & (field("direction") == "consumes") & (field("transport") == "rabbitmq"))
+        channels = consumed.select("service_id", field("channel").alias("channel")).distinct()
+        consumers = entries.filter("kind = 'message' AND method = 'CONSUME'").select("id", "service_id", F.col("name").alias("channel")).join(channels, ["service_id", "channel"], "left_semi")
+        told = queues.consumer_contracts(consumers, queues.queue_contracts(facts, ["service_id"]), ["service_id"])
+        whole = whole.unionByName(told.select("id", F.col("contract").alias("said")))
+    # What one entrypoint is told: at most one object of each sort.
+    whole = whole.groupBy("id").agg(F.sort_array(F.collect_list("said")).alias("all")).withColumn("contract", _joined_objects("all"))
+    return whole.select(F.col("id").alias("entrypoint_id"), "contract").filter("contract IS NOT NULL")
 
 
 def _by_receivers(rows: DataFrame, table: str, facts: DataFrame, declarations: DataFrame) -> DataFrame:

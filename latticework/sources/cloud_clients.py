@@ -41,6 +41,8 @@ SPELLINGS = {
     "blob_storage": {"uploadData": "Upload", "upload_blob": "Upload", "downloadToBuffer": "Download", "download_blob": "Download", "deleteBlob": "Delete", "delete_blob": "Delete"},
     "pubsub": {"publishMessage": "Publish"},
 }
+#: Kinds of facts that only `with_cloud` reads.
+KINDS = {"cloud_bound", "cloud_alias", "cloud_call", "cloud_operation"}
 EDGE_KINDS = {"publish": "publishes", "consume": "consumes", "read": "reads", "write": "writes", "admin": "invokes"}
 # Methods of clients that make a part of them.
 FACTORIES = {
@@ -329,7 +331,7 @@ def with_cloud(facts: DataFrame) -> DataFrame:
     told = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names)))
     found = calls.select(F.lit("cloud_fact").alias("kind"), "path", "start_line", "end_line", told.alias("fields"))
     kinds = calls.groupBy("path", "start_line", "end_line", F.col("source").alias("_s"), F.col("target").alias("_t")).agg(F.min(edge_kind(F.col("operation_kind"))).alias("_kind"))
-    rest = facts.filter(~F.col("kind").isin("cloud_bound", "cloud_alias", "cloud_call", "cloud_operation"))
+    rest = facts.filter(~F.col("kind").isin(*KINDS))
     edges = rest.filter("kind = 'flow_edge'").withColumn("_s", F.col("fields")["from_symbol"]).withColumn("_t", F.col("fields")["to_symbol"])
     edges = edges.join(kinds, ["path", "start_line", "end_line", "_s", "_t"], "left")
     changed = F.map_concat(F.map_filter("fields", lambda k, _: k != "edge_kind"), F.create_map(F.lit("edge_kind"), F.col("_kind")))

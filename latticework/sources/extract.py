@@ -462,8 +462,16 @@ def facts_in(path: str, text: str | None) -> list[Fact]:
 
 def extract(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """All facts of all files: each file is read on its own; routes and clients are then put together over all of them."""
-    whole = checkpointed(routes.composed(checkpointed(raw_facts(files, path, text))))
-    return cloud_clients.with_cloud(whole)
+    facts = checkpointed(raw_facts(files, path, text))
+    kinds = kinds_of(facts)
+    if kinds & routes.KINDS:
+        facts = checkpointed(routes.composed(facts))
+    return cloud_clients.with_cloud(facts) if kinds & cloud_clients.KINDS else facts
+
+
+def kinds_of(facts: DataFrame) -> set[str]:
+    """The kinds of facts that there are: what has none needs no joins."""
+    return {r["kind"] for r in facts.select("kind").distinct().collect()}
 
 
 def raw_facts(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

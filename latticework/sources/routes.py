@@ -31,6 +31,8 @@ OTHER_DECORATORS = {
     ("@nestjs/cache-manager", "CacheTTL"): "cache_decorators",
     ("@nestjs/throttler", "Throttle"): "rate_limit_decorators",
 }
+#: Kinds of facts that only `composed` reads.
+KINDS = {"router", "mount", "route", "route_export"}
 ENDINGS = r"\.(ts|tsx|js|jsx|mjs|cjs)$"
 
 _STRING = r"'((?:[^'\\\n]|\\.)*)'|\"((?:[^\"\\\n]|\\.)*)\"|`([^`$\\]*)`"
@@ -348,4 +350,4 @@ def composed(facts: DataFrame) -> DataFrame:
     pairs = {"transport": F.lit("http"), "method": F.col("method"), "name": F.col("route"), "symbol": F.col("symbol"), "contract": F.col("contract")}
     fields = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*pairs.values()))
     entrypoints = found.select(F.lit("entrypoint").alias("kind"), "path", "start_line", "end_line", fields.alias("fields"))
-    return facts.filter(~F.col("kind").isin("router", "mount", "route", "route_export")).unionByName(entrypoints)
+    return facts.filter(~F.col("kind").isin(*KINDS)).unionByName(entrypoints)

@@ -1,4 +1,4 @@
-"""Declared HTTP contracts with their references, nested shapes, and how both reach the catalog."""
+"""Declared HTTP contracts with their references, and nested shapes."""
 
 import json
 import random
@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import nesting
-from latticework.plans import indexing
-from latticework.sources import catalog, extract, openapi, receivers
+from latticework.sources import extract, openapi, receivers
 from tests.conftest import rows
 
 SPEC = {
@@ -78,23 +77,6 @@ def test_unfolding_equals_brute_force(spark):
     assert set(rows(got, "service", "root", "path", "type", "depth", "state")) == want and {w[5] for w in want} == {"leaf", "recursive", "deep", "nested"}
 
 
-def test_contracts_reach_the_catalog(spark, tmp_path):
-    root = tmp_path / "shop/pay"
-    (root / "src").mkdir(parents=True)
-    (root / "pom.xml").write_text("<artifactId>spring-boot-starter</artifactId>")
-    (root / "src/Orders.java").write_text('@RestController @RequestMapping("/orders")\nclass Orders {\n  @PostMapping\n  public Order create(@RequestBody @Valid CreateOrder order) { return null; }\n  @GetMapping("/{id}")\n  public Order one(String id) { return null; }\n}\n')
-    (root / "src/CreateOrder.java").write_text("class CreateOrder {\n  private String name;\n  private List<Line> lines;\n}\nclass Line {\n  private Integer count;\n  private CreateOrder parent;\n}\n")
-    (root / "openapi.json").write_text(json.dumps({"openapi": "3.0.0", "paths": {"/orders/{id}": {"get": {"operationId": "one"}}, "/orders": {"get": {}}}}))
-    shop = catalog.Catalog(spark, f"file://{tmp_path}/catalog")
-    indexing.index_path(spark, shop, f"file://{tmp_path}/shop", "shop").collect()
-    joined = shop.read("entrypoints").join(shop.read("entrypoint_contracts").withColumnRenamed("entrypoint_id", "id"), "id")
-    got = {(r["method"], r["name"]): json.loads(r["contract"]) for r in joined.collect()}
-    assert set(got) == {("POST", "/orders"), ("GET", "/orders/{id}")}
-    assert got["GET", "/orders/{id}"]["formal_contract"]["operation_id"] == "one"
-    assert got["POST", "/orders"]["request"] == {"name": "order", "required": True, "type": "CreateOrder"}
-    assert {(f["path"], f["type"], f["state"]) for f in got["POST", "/orders"]["request_fields"]} == {("name", "String", "leaf"), ("lines", "Line", "nested"), ("lines.count", "Integer", "leaf"), ("lines.parent", "CreateOrder", "recursive")}
-
-
 def test_shapes_of_two_declarations_are_not_told(spark):
     files = spark.createDataFrame([("a/A.java", "class A {\n  private B b;\n}\n"), ("a/B.java", "class B {\n  private String x;\n}\n"), ("b/B.java", "class B {\n  private String y;\n}\n")], "path string, text string")
     declared = receivers.declared(files).withColumn("service", F.substring("path", 1, 1))

@@ -92,7 +92,7 @@ def test_contracts_of_calls(spark):
     assert set(units.columns) == set(review.UNIT)
 
 
-def test_generated_code_routes_and_queues_reach_the_catalog(spark, tmp_path):
+def test_contracts_routes_queues_and_generated_code_reach_the_catalog(spark, tmp_path):
     root = tmp_path / "shop"
     (root / "web").mkdir(parents=True)
     (root / "web/package.json").write_text('{"scripts": {"start": "node a.js"}, "dependencies": {"express": "4"}}')
@@ -104,11 +104,22 @@ def test_generated_code_routes_and_queues_reach_the_catalog(spark, tmp_path):
     (root / "pay/src/Server.java").write_text("@GrpcService\nclass Server extends StockGrpc.StockImplBase {\n  @Override\n  public void reserve(Req r, Obs o) { o.next(r); }\n}\n")
     (root / "pay/src/Client.java").write_text("class Client {\n  private final StockGrpc.StockBlockingStub stub;\n  void call(Req r) { stub.reserve(r); }\n}\n")
     (root / "pay/src/Listen.java").write_text(FILES["b/QueueConfig.java"])
+    (root / "pay/src/Orders.java").write_text('@RestController @RequestMapping("/orders")\nclass Orders {\n  @PostMapping\n  public Order create(@RequestBody @Valid CreateOrder order) { return null; }\n  @GetMapping("/{id}")\n  public Order one(String id) { return null; }\n}\n')
+    (root / "pay/src/CreateOrder.java").write_text("class CreateOrder {\n  private String name;\n  private List<Line> lines;\n}\nclass Line {\n  private Integer count;\n  private CreateOrder parent;\n}\n")
+    (root / "pay/openapi.json").write_text(json.dumps({"openapi": "3.0.0", "paths": {"/orders/{id}": {"get": {"operationId": "one"}}, "/orders": {"get": {}}}}))
     shop = catalog.Catalog(spark, f"file://{tmp_path}/catalog")
     indexing.index_path(spark, shop, f"file://{root}", "shop").collect()
     entries = {(r["kind"], r["method"], r["name"], r["symbol"]): r["id"] for r in shop.read("entrypoints").collect()}
-    assert {k for k in entries if k[0] in ("http", "grpc", "message")} == {("http", "GET", "/items/:id", "find"), ("grpc", "UNARY", "Stock/Reserve", "Server.reserve"), ("message", "CONSUME", "orders.paid", "OrderListener.consume")}
+    assert {k for k in entries if k[0] in ("http", "grpc", "message")} == {
+        ("http", "GET", "/items/:id", "find"), ("http", "POST", "/orders", "Orders.create"), ("http", "GET", "/orders/{id}", "Orders.one"),
+        ("grpc", "UNARY", "Stock/Reserve", "Server.reserve"), ("message", "CONSUME", "orders.paid", "OrderListener.consume"),
+    }
     assert ("grpc", "Stock", "Reserve", "Client.call") in rows(shop.read("static_service_calls"), "protocol", "target_service", "target_method", "source")
     contracts = {r["entrypoint_id"]: json.loads(r["contract"]) for r in shop.read("entrypoint_contracts").collect()}
-    assert contracts[entries["http", "GET", "/items/:id", "find"]] == {"route_middlewares": [{"symbol": "check"}]}
-    assert contracts[entries["message", "CONSUME", "orders.paid", "OrderListener.consume"]]["bindings"] == [{"exchange": "orders", "routing_key": "order.*"}]
+    of = lambda *key: contracts[entries[key]]
+    assert len(contracts) == 4 and of("http", "GET", "/items/:id", "find") == {"route_middlewares": [{"symbol": "check"}]}
+    assert of("message", "CONSUME", "orders.paid", "OrderListener.consume")["bindings"] == [{"exchange": "orders", "routing_key": "order.*"}]
+    assert of("http", "GET", "/orders/{id}", "Orders.one")["formal_contract"]["operation_id"] == "one"
+    create = of("http", "POST", "/orders", "Orders.create")
+    assert create["request"] == {"name": "order", "required": True, "type": "CreateOrder"}
+    assert {(f["path"], f["type"], f["state"]) for f in create["request_fields"]} == {("name", "String", "leaf"), ("lines", "Line", "nested"), ("lines.count", "Integer", "leaf"), ("lines.parent", "CreateOrder", "recursive")}
