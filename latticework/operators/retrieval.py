@@ -29,11 +29,19 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", body: str = "
     query word. With `prefix` a word is tried by its beginnings of the lengths that query words have, a short list; so every
     join is one of equality. Scores are summed up over the distinct query words, which documents and queries share.
     """
-    asked = queries.select(query_key, F.explode(F.array_distinct(F.transform(text.query_terms(F.col(query)), F.lower))).alias("q"))
-    asked = checkpointed(asked)
     index = checkpointed(postings(docs, key, body))
     lengths = index.groupBy(key).agg(F.sum("tf").alias("dl"))
     stats = docs.agg(F.count("*").alias("n")).join(index.agg(F.sum("tf").alias("words")))
+    return scored(asked_words(queries, query_key, query), index, lengths, stats, key, query_key, prefix, limit)
+
+
+def asked_words(queries: DataFrame, query_key: str, query: str) -> DataFrame:
+    """(query key, q): the distinct lower-case words of every query."""
+    return checkpointed(queries.select(query_key, F.explode(F.array_distinct(F.transform(text.query_terms(F.col(query)), F.lower))).alias("q")))
+
+
+def scored(asked: DataFrame, index: DataFrame, lengths: DataFrame, stats: DataFrame, key: str, query_key: str, prefix: bool, limit: int) -> DataFrame:
+    """`bm25` of asked words over postings (key, term, tf), lengths (key, dl) and one row of totals (n, words)."""
     words = asked.select("q").distinct()
     if prefix:
         sizes = words.agg(F.sort_array(F.collect_set(F.length("q"))).alias("sizes"))
@@ -44,8 +52,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", body: str = "
     df = matched.groupBy("q").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n") / F.col("words")))
-    scored = matched.join(df, "q").join(lengths, key).join(F.broadcast(stats)).select("q", key, part.alias("part"))
-    out = asked.join(scored, "q").groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    found = matched.join(df, "q").join(lengths, key).join(F.broadcast(stats)).select("q", key, part.alias("part"))
+    out = asked.join(found, "q").groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return out.withColumn("rank", rank).filter(F.col("rank") <= limit)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import constants, text
 from latticework.operators import graph, relational, retrieval
-from latticework.plans import assess, detectors, review, runtime_config, surface
+from latticework.plans import assess, detectors, follow_up, review, runtime_config, surface
 from latticework.sources.catalog import Catalog
 from latticework.streaming import counters
 
@@ -71,6 +71,11 @@ class Api:
     def list_apis(self, service: str, limit: int = constants.PAGE_DEFAULT, offset: int = 0, repository: str | None = None) -> DataFrame:
         return relational.page(self._of("apis", service, repository).select("method", "path", "summary"), ["path", "method"], limit, offset)
 
+    def walk(self, table: str, service: str, keys: list[str], limit: int = constants.PAGE_DEFAULT, token: str | None = None, repository: str | None = None) -> tuple[list, str | None]:
+        """(rows, token): a service's rows of a table, page by page, for as long as the catalog stays the same; keys tell them apart."""
+        asked = {"table": table, "service": service, "repository": repository}
+        return follow_up.page(self._of(table, service, repository), keys, asked, follow_up.version_of(self.catalog, [table, "services", "repositories"]), limit, token)
+
     def describe_service(self, service: str, repository: str | None = None) -> DataFrame:
         """One row: the service with its first APIs, calls, callers and entities."""
         one = self._t("services").filter(F.col("id") == self.service_id(service, repository))
