@@ -14,9 +14,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.operators import paths
 from latticework.sources import cloud_clients, openapi, queues, routes
 from latticework.sources.folders import checkpointed, workers_find_us
 
@@ -230,7 +231,8 @@ def _node(text: str) -> Iterator[Fact]:
 
 
 def _edges(text: str, language: str) -> Iterator[Fact]:
-    for symbol, _, _, body, end in functions(text, language):
+    for symbol, _, at, body, end in functions(text, language):
+        yield "definition", line_at(text, at), line_at(text, end), {"symbol": symbol}
         for m in _CALL.finditer(text, body, end):
             if m[1].split(".")[0] not in KEYWORDS and m[1] != symbol.rsplit(".", 1)[-1]:
                 yield "flow_edge", line_at(text, m.start()), line_at(text, m.end()), {"from_symbol": symbol, "to_symbol": m[1], "edge_kind": call_kind(m[1]), "origin": "static"}
@@ -383,13 +385,35 @@ def _yaml(path: str, text: str) -> Iterator[Fact]:
         if any(r[2] == "Resources" and r[1] == 0 for r in rows):
             yield from _cloudformation(rows, first)
         elif any(r[2] == "services" and r[1] == 0 for r in rows) and re.search(r"compose", path):
-            for r in rows:
-                if r[2] == "image" and (m := re.search(r"(rabbitmq|kafka|localstack|minio|postgres|mysql|mongo|redis|elasticmq)", r[3])):
-                    yield "iac_resource", first + r[0], first + r[0], {"provider": "aws" if m[1] in ("localstack", "elasticmq", "minio") else "", "resource_type": "queue" if m[1] in ("rabbitmq", "elasticmq") else "stream" if m[1] == "kafka" else "object_storage" if m[1] == "minio" else "other", "iac_resource_type": m[1], "logical_name": m[1], "physical_name": "", "source_format": "compose_hint", "attributes": "{}"}
+            yield from _compose(document, rows, first)
         else:
             yield from _kubernetes(rows, first)
 
 
+# Images of emulators, and the names of services as one of them lists them.
+EMULATORS = {"localstack/localstack": "localstack", "mcr.microsoft.com/azure-storage/azurite": "azurite"}
+EMULATED = {"sqs": "queue", "sns": "pubsub", "s3": "object_storage", "events": "event_bus", "kinesis": "stream"}
+
+
+def _compose(document: str, rows: list, first: int) -> Iterator[Fact]:
+    """What emulators stand for: the services that one lists, one resource each, or blobs; a list that is not there says nothing."""
+    lines = document.split("\n")
+    inner = _below(rows, next(i for i, r in enumerate(rows) if r[2] == "services" and r[1] == 0))
+    for i, r in enumerate(inner):
+        if r[1] != inner[0][1]:
+            continue
+        block = _below(inner, i)
+        image = next((x for x in block if x[2] == "image"), None)
+        kind = EMULATORS.get(re.sub(r":[\w.-]+$", "", image[3])) if image else None
+        if kind is None:
+            continue
+        following = next((x[0] for x in inner[i + 1 :] if x[1] <= r[1]), len(lines) + 1)
+        listed = re.search(r"^\s*(?:-\s*[\"']?)?SERVICES\s*[=:]\s*[\"']?([\w, -]+)", "\n".join(lines[r[0] : following - 1]), re.M)
+        names = [EMULATED[n] for n in map(str.strip, listed[1].split(",")) if n in EMULATED] if listed and kind == "localstack" else []
+        for resource in names if kind == "localstack" else ["object_storage"]:
+            yield "iac_resource", first + image[0], first + image[0], {"provider": "aws" if kind == "localstack" else "azure", "resource_type": resource, "iac_resource_type": kind, "logical_name": r[2], "physical_name": "", "source_format": "compose_hint", "confidence": "low", "attributes": "{}"}
+
+
 def _cloudformation(rows: list, first: int) -> Iterator[Fact]:
     start = next(i for i, r in enumerate(rows) if r[2] == "Resources" and r[1] == 0)
     inner = _below(rows, start)
@@ -493,6 +517,24 @@ def facts_of(facts: DataFrame, kind: str, *fields: str) -> DataFrame:
     return facts.filter(F.col("kind") == kind).select("path", *(F.nullif(F.col("fields")[f], F.lit("")).alias(f) for f in fields), evidence)
 
 
+def called_definitions(facts: DataFrame, most: int = 3) -> DataFrame:
+    """(path, caller, callee, start_line, end_line, place): what the definitions of a file call in the same file, at most so many each.
+
+    A call belongs to the innermost definition around it, and means the first definition of its last name in the file. What lies
+    within the caller's own lines is not told: it is the caller itself, or a part of it. Callees are in the order of their calls.
+    """
+    field = lambda n: F.col("fields")[n]
+    known = facts.filter("kind = 'definition'").select("path", field("symbol").alias("symbol"), "start_line", "end_line")
+    name = F.substring_index("symbol", ".", -1)
+    first = known.groupBy("path", name.alias("_name")).agg(F.min(F.struct("start_line", "end_line", "symbol")).alias("_to"))
+    calls = facts.filter("kind = 'flow_edge'").select("path", F.col("start_line").alias("line"), F.substring_index(field("to_symbol"), ".", -1).alias("_name")).distinct()
+    inside = paths.innermost(calls, known.withColumnRenamed("symbol", "caller"), ["path"], name="caller").withColumnsRenamed({"start_line": "_from", "end_line": "_until"})
+    met = inside.join(first, ["path", "_name"]).filter(~F.col("_to.start_line").between(F.col("_from"), F.col("_until")))
+    one = met.groupBy("path", "caller", "_from", "_to").agg(F.min("line").alias("line"))
+    place = F.row_number().over(Window.partitionBy("path", "caller", "_from").orderBy("line", "_to"))
+    return one.withColumn("place", place).filter(F.col("place") <= most).select("path", "caller", F.col("_to.symbol").alias("callee"), "_to.start_line", "_to.end_line", "place")
+
+
 def owned_operations(edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """Edges with the symbol of the entrypoint that is their source, if one is."""
     e = entrypoints.select(F.col("symbol").alias("_s")).distinct()

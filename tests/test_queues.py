@@ -123,3 +123,22 @@ def test_contracts_routes_queues_and_generated_code_reach_the_catalog(spark, tmp
     create = of("http", "POST", "/orders", "Orders.create")
     assert create["request"] == {"name": "order", "required": True, "type": "CreateOrder"}
     assert {(f["path"], f["type"], f["state"]) for f in create["request_fields"]} == {("name", "String", "leaf"), ("lines", "Line", "nested"), ("lines.count", "Integer", "leaf"), ("lines.parent", "CreateOrder", "recursive")}
+
+
+def test_emulators_and_called_definitions(spark):
+    head = "services:\n  local:\n    image: localstack/localstack:3\n"
+    files = {
+        "a/docker-compose.yaml": head + "    environment:\n      - SERVICES=sqs, s3,lambda\n  blobs:\n    image: mcr.microsoft.com/azure-storage/azurite\n  db:\n    image: postgres:16\n",
+        "b/compose.yml": head, "c/compose.yml": head + "    environment:\n      SERVICES: \"sns\"\n", "d/other.yaml": head,
+        "e/f.js": "function a(x) {\n  b(x);\n  c(x);\n  b(x);\n  d.e(x);\n  gone(x);\n  a(x);\n}\nfunction b(x) { return c(x); }\nfunction c(x) { return 1; }\nfunction e(x) { return 2; }\nfunction z(x) { e(x); c(x); b(x); a(x); }\n",
+    }
+    facts = extract.extract(spark.createDataFrame(list(files.items()), "path string, text string")).cache()
+    iac = extract.facts_of(facts, "iac_resource", "provider", "resource_type", "logical_name", "source_format")
+    assert rows(iac, "path", "provider", "resource_type", "logical_name", "source_format") == sorted([
+        ("a/docker-compose.yaml", "aws", "queue", "local", "compose_hint"), ("a/docker-compose.yaml", "aws", "object_storage", "local", "compose_hint"),
+        ("a/docker-compose.yaml", "azure", "object_storage", "blobs", "compose_hint"), ("c/compose.yml", "aws", "pubsub", "local", "compose_hint"),
+    ], key=str)
+    got = {}
+    for r in extract.called_definitions(facts).orderBy("place").collect():
+        got.setdefault(r["caller"], []).append((r["callee"], r["start_line"]))
+    assert got == {"a": [("b", 9), ("c", 10), ("e", 11)], "b": [("c", 10)], "z": [("a", 1), ("b", 9), ("c", 10)]}
