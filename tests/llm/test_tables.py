@@ -393,4 +393,4 @@ def test_pipeline_of_nothing(spark):
 
 
 def test_every_query_is_registered():
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 14))
