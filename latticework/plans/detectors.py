@@ -214,8 +214,8 @@ def _consumers_by_channel(consumers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What flows need to know of a channel's consumers once their own service is left out.
 
     (channel, total, least, services): how many distinct consumers there are; the least of them, at most three of each service
-    and six in all, so that three of other services than any one are among them; and all their services. And (channel,
-    service_id, own): how many of them are of one service alone. A consumer that several services share is of none alone.
+    and six in all, so that three of other services than any one are among them; and all their services by name. And (channel,
+    service_id, own, own_name): how many of them, and which name, are of one service alone. What several services share is of none.
     """
     alone = F.when(F.min("consumer_id") == F.max("consumer_id"), F.min("consumer_id"))
     distinct = consumers.groupBy("channel", "consumer").agg(alone.alias("alone"))
@@ -225,9 +225,11 @@ def _consumers_by_channel(consumers: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = least.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("consumer", "alone"))).alias("least"))
     own = distinct.groupBy("channel", F.col("alone").alias("service_id")).agg(F.count("*").alias("own"))
     total = own.groupBy("channel").agg(F.sum("own").alias("total"))
-    services = consumers.select("channel", "consumer_service", "consumer_id").distinct()
-    services = services.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("consumer_service", "consumer_id"))).alias("services"))
-    return total.join(least, "channel").join(services, "channel"), own.filter("service_id IS NOT NULL")
+    named = consumers.groupBy("channel", "consumer_service").agg(alone.alias("service_id"))
+    services = named.groupBy("channel").agg(F.sort_array(F.collect_list("consumer_service")).alias("services"))
+    own_name = named.filter("service_id IS NOT NULL").groupBy("channel", "service_id").agg(F.min("consumer_service").alias("own_name"))
+    own = own.filter("service_id IS NOT NULL").join(own_name, ["channel", "service_id"], "full")
+    return total.join(least, "channel").join(services, "channel"), own
 
 
 def _per_channel(f: Facts, consumers: DataFrame) -> DataFrame:
@@ -237,8 +239,8 @@ def _per_channel(f: Facts, consumers: DataFrame) -> DataFrame:
     flows = flows.groupBy(*_AT, F.col("p.to_symbol").alias("channel")).agg(F.min("policies").alias("policies"), F.min("writes").alias("writes"), F.min("p.evidence").alias("publish_evidence"))
     met = flows.join(channels, "channel").join(own, ["channel", "service_id"], "left")
     met = met.withColumn("consumer_count", (F.col("total") - F.coalesce("own", F.lit(0))).cast("int"))
-    others = F.filter("services", lambda x: x["consumer_id"] != F.col("service_id"))
-    met = met.withColumn("others", F.array_distinct(F.transform(others, lambda x: x["consumer_service"]))).filter("size(others) > 0")
+    others = F.when(F.col("own_name").isNull(), F.col("services")).otherwise(F.array_remove("services", F.col("own_name")))
+    met = met.withColumn("others", others).filter("size(others) > 0")
     shown = F.filter("least", lambda x: x["alone"].isNull() | (x["alone"] != F.col("service_id")))
     return f.named(met.withColumn("consumers", F.transform(F.slice(shown, 1, SHOWN), lambda x: x["consumer"])))
 
