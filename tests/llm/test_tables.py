@@ -255,6 +255,36 @@ def test_neighbours_by_two_in_a_hundred(spark, monkeypatch):
         assert sum(len(got[q] & set(w.tolist())) for q, w in want.items()) >= 0.9 * 20 * len(want)
 
 
+def test_neighbours_that_codes_cannot_tell_apart(spark, monkeypatch):
+    """Tight clusters, many dimensions, lengths of many magnitudes and one direction shared by all: no true neighbour is missed."""
+    r = np.random.default_rng(21)
+    tight = r.normal(size=(3, 32))[r.integers(0, 3, 3000)] + r.normal(size=(3000, 32)) * 1e-3
+    wide = r.normal(size=(3000, 200))
+    long = r.normal(size=(3000, 16)) * 10.0 ** r.integers(-30, 30, (3000, 1))
+    shared_direction = r.normal(size=(3000, 24)) + 1000
+    monkeypatch.setattr(annsearch, "BLOCK", 1000)
+    x = [*tight, *wide, *long, *shared_direction]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in annsearch.search(spark, df, F.col("vec_id") % 300 == 0, rerank=60, sample=2000).collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = row["vec_id"]
+    for kind in range(4):
+        v = np.array(x[kind * 3000 : kind * 3000 + 3000])
+        for q in range(0, 3000, 300):
+            score = np.where(np.arange(3000) == q, -np.inf, np.einsum("ij,j->i", v, v[q]))
+            want = np.argsort(-score, kind="stable")[:20] + kind * 3000
+            assert [got[kind * 3000 + q][k + 1] for k in range(20)] == want.tolist()
+
+
+def test_bounds_of_guesses_hold():
+    r = np.random.default_rng(22)
+    x, _ = annsearch.directions(np.concatenate([r.normal(size=(400, 24)), r.normal(size=(1, 24)) + r.normal(size=(200, 24)) * 1e-4]) * 1e200)
+    books = annsearch.fit(x[::2], words=32)
+    guess, bound = annsearch.bounded_guesses(x, *annsearch.coded(x, books), books)
+    assert (x @ x.T <= bound).all()
+    assert np.corrcoef(guess.ravel(), (x @ x.T).ravel())[0, 1] > 0.9
+
+
 def test_neighbours_with_few_candidates_and_ties(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (40, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in annsearch.search(spark, df, F.col("vec_id") == 0).orderBy("rank").collect()]
