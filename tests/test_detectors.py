@@ -129,3 +129,23 @@ def test_diff_of_a_run_with_itself_is_empty(spark):
     assert d.diff(d.cycles(f), d.cycles(f)).collect() == []
     changes = [r["change"] for r in d.diff(d.cycles(facts(spark)), d.cycles(f)).collect()]
     assert changes == ["new"]
+
+
+@pytest.mark.parametrize("detector", sorted(d.PER_CHANNEL))
+def test_channel_findings_are_counted_before_services_are_named(spark, detector):
+    """Producers that consume, that do not and that share a name: the counts equal those of the findings, and no flow carries a list of services."""
+    services = [{"id": i, "repository_id": 1, "name": "twin" if i in (4, 5) else f"s{i}"} for i in range(1, 8)]
+    at = lambda row, i: row | {"service_id": i}
+    edges = [at(e, i) | {"id": i * 10 + k} for i in range(1, 8) for k, e in enumerate((WRITE, PUBLISH, CONSUMER_WRITE))]
+    edges += [at(PUBLISH, 1) | {"id": 99, "to_symbol": "order.lost"}]
+    consuming = (1, 2, 4, 5, 6)
+    f = facts(
+        spark, services=services, flow_edges=edges, static_resilience_policies=[at(RETRY, i) for i in range(1, 8)],
+        static_message_contracts=[at(CONSUMES, i) for i in consuming] + [at(CONSUMES, 1) | {"channel": "order.lost"}],
+        entrypoints=[at(CONSUMER, i) | {"id": 900 + i} for i in consuming], entrypoint_contracts=[CONTRACT | {"entrypoint_id": 900 + i} for i in consuming],
+    )
+    full = d.DETECTORS[detector](f).selectExpr("kind", "array_join(services, ',') AS services", "subject", "CAST(size(evidence) AS BIGINT) AS evidence", "confidence")
+    want = full.groupBy(*full.columns).count().collect()
+    assert sorted(map(tuple, d.per_channel_counts(f, detector).collect())) == sorted(map(tuple, want)) and len(want) > 1
+    flows, _ = d._per_channel(f, d.PER_CHANNEL[detector][0](f))
+    assert not [c.name for c in flows.schema if c.dataType.simpleString() == "array<string>"]
