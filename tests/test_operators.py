@@ -240,3 +240,12 @@ def test_identity_by_either_key(spark):
     left = spark.createDataFrame([(1, "x", 5), (2, None, 5), (3, "y", 6)], "i long, f string, s int")
     right = spark.createDataFrame([(10, "x", 9), (11, None, 5), (12, "z", 5), (13, "y", None)], "j long, f string, s int")
     assert rows(relational.same_identity(left, right, "f", "s", "i", "j")) == [(1, 10), (1, 11), (2, 11), (2, 12), (3, 13)]
+
+
+def test_pairs_of_identities_are_not_shuffled_to_tell_them_apart(spark):
+    """Ids that stand in several rows give each pair once; pairs of other ids reach the result without a shuffle after their join."""
+    left = spark.createDataFrame([(1, "x", 5), (1, "x", 6), (1, None, 6), (1, None, 6), (2, "x", 6), (None, "x", 1)], "i long, f string, s int")
+    right = spark.createDataFrame([(10, "x", 6), (11, "x", 7), (11, None, 6), (12, None, 5)], "j long, f string, s int")
+    out = relational.same_identity(left, right, "f", "s", "i", "j")
+    assert rows(out) == sorted([(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (None, 10), (None, 11)], key=str)
+    assert out._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
