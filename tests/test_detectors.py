@@ -4,6 +4,7 @@ import pytest
 
 from latticework import schemas
 from latticework.plans import detectors as d
+from latticework.plans.detector_queries import QUERIES, code_facts
 
 EV = ("src/a.py", 1, 2)
 SERVICES = [(1, 1, "orders"), (2, 1, "payments"), (3, 1, "stock")]
@@ -149,3 +150,30 @@ def test_channel_findings_are_counted_before_services_are_named(spark, detector)
     assert sorted(map(tuple, d.per_channel_counts(f, detector).collect())) == sorted(map(tuple, want)) and len(want) > 1
     flows, _ = d._per_channel(f, d.PER_CHANNEL[detector][0](f))
     assert not [c.name for c in flows.schema if c.dataType.simpleString() == "array<string>"]
+
+
+def test_unmapped_errors_are_counted_before_callers_meet_answers(spark):
+    """Twins by name on both sides, equal rows, endpoints, calls without a path and inferred calls: the counts equal those of the findings."""
+    services = [{"id": i, "repository_id": 1, "name": n} for i, n in ((1, "orders"), (2, "payments"), (3, "Payments"), (4, "orders"), (5, "stock"), (6, "orders"), (7, "payments"))]
+    at = lambda row, i, **more: row | {"service_id": i} | more
+    asks = [at(HTTP, i) for i in (1, 1, 4, 5, 6)] + [at(HTTP, 4, target_method=None, target_path=None), at(HTTP, 6, target_method="post", target_service="PAYMENTS"), at(HTTP, 1, target_service=None), at(HTTP, 9)]
+    errors = [at(RAISES, i, internal_type=t) for i in (2, 2, 3, 5, 7) for t in ("Gone", "Denied")] + [at(RAISES, 2, source="Pay.other"), at(RAISES, 7, source=None), at(RAISES, 3, transport_code="500")]
+    errors += [at(RAISES, i, role="maps", internal_type=t) for i, t in ((4, "Gone"), (4, "Gone"), (6, "Gone"), (5, "Denied"), (1, "Other"))]
+    entry = {"id": 20, "service_id": 2, "kind": "http", "method": "POST", "name": "/charge", "symbol": "Pay.charge", "evidence": EV}
+    f = facts(
+        spark, services=services, static_service_calls=asks, static_error_contracts=errors, entrypoints=[entry], flow_edges=[edge(1, "invokes", RAISES["source"], "Pay.charge", 2)],
+        apis=[{"id": 900 + i, "service_id": i, "method": "GET", "path": "/a"} for i in range(1, 8)],
+        service_calls=[call(a, b, from_api_id=900 + a) for a, b in ((1, 5), (5, 1), (4, 5), (6, 5), (6, 5), (1, 2), (2, 5), (3, 5), (7, None), (5, 9))],
+    )
+    full = d.unmapped_downstream_errors(f).selectExpr("kind", "array_join(services, ',') AS services", "subject", "CAST(size(evidence) AS BIGINT) AS evidence", "confidence")
+    want = full.groupBy(*full.columns).count().collect()
+    assert sorted(map(tuple, d.unmapped_downstream_counts(f).collect())) == sorted(map(tuple, want))
+    assert {r["confidence"] for r in want} == {0.75, 0.6, 0.35} and max(r["count"] for r in want) > 4
+
+
+def test_unmapped_errors_are_paired_from_counted_tables(spark):
+    """The step that pairs reads neither lines nor parts: reading them once for each use, with the parts collected each time, filled the driver."""
+    read = QUERIES["finds_unmapped_downstream_errors"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [x for x in read if x.endswith(("lineitem.parquet", "part.parquet"))]
+    stated = code_facts(spark, "/root/testdata/sf0.001", spread=True)["static_error_contracts"]
+    assert "BroadcastHashJoin" not in stated._jdf.queryExecution().executedPlan().toString()
