@@ -177,3 +177,34 @@ def test_unmapped_errors_are_paired_from_counted_tables(spark):
     assert read and not [x for x in read if x.endswith(("lineitem.parquet", "part.parquet"))]
     stated = code_facts(spark, "/root/testdata/sf0.001", spread=True)["static_error_contracts"]
     assert "BroadcastHashJoin" not in stated._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("detector", ["retry_reaches_persistent_consumers"])
+def test_channel_findings_are_named_from_counted_tables(spark, detector):
+    """The step that names services reads neither lines nor parts: flows and consumers that carried evidence through every join filled the disk."""
+    read = QUERIES[f"finds_{detector}"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [x for x in read if x.endswith(("lineitem.parquet", "part.parquet"))]
+
+
+def test_evidence_of_few_consumers_stands_for_all(spark):
+    """Seven consumers, twins among the first names, a flow of each: what the first names' consumers show is what all flows show."""
+    at = lambda row, i, **more: row | {"service_id": i} | more
+    services = [{"id": i, "repository_id": 1, "name": "a" if i in (1, 5) else f"b{9 - i}"} for i in range(1, 9)]
+    writes = [at(CONSUMER_WRITE, i, id=100 * i + k, to_symbol=f"t{k}") for i in range(1, 8) for k in range(i % 4 + 1)]
+    flows = [at(e, i, id=10 * i + k) for i in range(1, 9) for k, e in enumerate((WRITE, PUBLISH))]
+    f = facts(
+        spark, services=services, flow_edges=flows + writes, static_resilience_policies=[at(RETRY, i, value=k) for i in range(1, 9) for k in range(i)],
+        static_message_contracts=[at(CONSUMES, i, evidence=(f"f{k}", k, k)) for i in range(1, 8) for k in range(i % 3 + 1)], entrypoints=[at(CONSUMER, i, id=900 + i) for i in range(1, 8)],
+    )
+    full = d.retry_reaches_persistent_consumers(f).selectExpr("kind", "array_join(services, ',') AS services", "subject", "CAST(size(evidence) AS BIGINT) AS evidence", "confidence")
+    want = full.groupBy(*full.columns).count().collect()
+    assert sorted(map(tuple, d.per_channel_counts(f, "retry_reaches_persistent_consumers").collect())) == sorted(map(tuple, want)) and len({r["evidence"] for r in want}) > 3
+
+
+def test_a_service_is_put_at_its_place_among_the_names(spark):
+    """First, last, between, beside a prefix and a longer name, and none; letters of several bytes."""
+    names = ["b", "bé", "d,d", "é"]
+    added = ["a", "ba", "b ", "c", "z", "éa", "日", None]
+    counts = spark.createDataFrame([("t", "s", 1, a, 1) for a in added], "channel string, subject string, evidence long, added string, n long")
+    found = d._with_services(counts, spark.createDataFrame([("t", n) for n in names], "channel string, name string")).collect()
+    assert {r["added"]: r["services"] for r in found} == {a: ",".join(sorted([*names, *([a] if a else [])], key=str.encode)) for a in added}
