@@ -179,7 +179,7 @@ def test_unmapped_errors_are_paired_from_counted_tables(spark):
     assert "BroadcastHashJoin" not in stated._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("detector", ["retry_reaches_persistent_consumers"])
+@pytest.mark.parametrize("detector", ["retry_reaches_persistent_consumers", "retry_reaches_unrecovered_consumers"])
 def test_channel_findings_are_named_from_counted_tables(spark, detector):
     """The step that names services reads neither lines nor parts: flows and consumers that carried evidence through every join filled the disk."""
     read = QUERIES[f"finds_{detector}"](spark, "/root/testdata/sf0.001").inputFiles()
